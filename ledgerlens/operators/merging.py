@@ -100,7 +100,7 @@ def propagate_last(
         sources.select(
             F.explode(target_ids).alias("__id"), value.alias("__value"), F.struct(*rank).alias("__r")
         )
-        .filter((F.col("__value") != "") & (F.col("__id") != ""))
+        .filter((F.col("__value") != "") & (F.col("__id").cast("string") != ""))
         .groupBy("__id")
         .agg(F.max_by("__value", "__r").alias("__value"))
     )

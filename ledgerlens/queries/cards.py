@@ -114,7 +114,7 @@ def explore(t: Tables) -> DataFrame:
         count(*) AS "count" FROM orders GROUP BY 2
     UNION ALL SELECT 'statuses', o_orderstatus, count(*) FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 2
     UNION ALL SELECT * FROM (SELECT 'top_codes', CAST(o_custkey AS VARCHAR), count(*) FROM orders
-        WHERE o_orderpriority <> '5-LOW' GROUP BY 2 ORDER BY 3 DESC, o_custkey LIMIT 10)
+        WHERE o_orderpriority <> '5-LOW' GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 10)
     UNION ALL SELECT 'monthly', concat(year(d), '-', coalesce(CAST(NULL AS VARCHAR), '')), count(*) FROM {ORDERS_DATED} o
         WHERE o_orderpriority <> '5-LOW' GROUP BY year(d)
     UNION ALL SELECT 'budget', o_orderstatus, count(*) FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 2

@@ -288,9 +288,9 @@ def catalog_ingest(t: Tables) -> DataFrame:
 
 @query("q_prune_refs", """
     WITH l AS (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS flags FROM lineitem GROUP BY 1)
-    SELECT l_orderkey AS urn, len(list_filter(flags, x -> x = 'R')) AS removed_count,
-        array_to_string(list_filter(flags, x -> x <> 'R'), ',') AS formulas,
-        array_to_string(list_filter(flags, x -> x <> 'R'), ',') AS main_columns,
+    SELECT l_orderkey AS urn, len(list_filter(flags, lambda x: x = 'R')) AS removed_count,
+        array_to_string(list_filter(flags, lambda x: x <> 'R'), ',') AS formulas,
+        array_to_string(list_filter(flags, lambda x: x <> 'R'), ',') AS main_columns,
         CASE WHEN flags[1] = 'R' THEN 0 ELSE 1 END AS main_order_by
     FROM l
 """)

@@ -77,10 +77,10 @@ FLOW_FAILED = """upper(dataset_status) <> 'DISABLED' AND (contains(upper(last_ex
 @query("q_dataflow_health", f"""
     SELECT 'dataflow' AS "type", v AS verdict, id, name, provider_type AS database_type,
         CASE WHEN v = 'failed' AND last_execution_state = '' THEN dataset_status ELSE last_execution_state END AS last_execution_state,
-        CASE WHEN v <> 'ok' THEN strftime(at + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') || ' JST' END AS last_seen,
-        CASE WHEN v = 'stale' THEN CAST(floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(at)) / 3600000000) AS BIGINT) END AS hours_ago
-    FROM (SELECT *, CASE WHEN {FLOW_FAILED} THEN 'failed' WHEN at < TIMESTAMP '2024-02-01' - INTERVAL 480 HOUR THEN 'stale' ELSE 'ok' END AS v
-          FROM (SELECT *, CASE WHEN last_updated <> 0 THEN ts END AS at FROM {DATASETS} d))
+        CASE WHEN v <> 'ok' THEN strftime(ran + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') || ' JST' END AS last_seen,
+        CASE WHEN v = 'stale' THEN CAST(floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ran)) / 3600000000) AS BIGINT) END AS hours_ago
+    FROM (SELECT *, CASE WHEN {FLOW_FAILED} THEN 'failed' WHEN ran < TIMESTAMP '2024-02-01' - INTERVAL 480 HOUR THEN 'stale' ELSE 'ok' END AS v
+          FROM (SELECT *, CASE WHEN last_updated <> 0 THEN ts END AS ran FROM {DATASETS} d))
 """)
 def dataflow_health(t: Tables) -> DataFrame:
     return monitor.dataflow_health(dataflows(t), NOW, stale_hours=480)
@@ -129,8 +129,8 @@ def list_datasets(t: Tables) -> DataFrame:
 
 
 @query("q_list_dataflows", f"""
-    SELECT id, last_execution_state FROM (SELECT *, CASE WHEN last_updated <> 0 THEN ts END AS at FROM {DATASETS} d)
-    WHERE upper(last_execution_state) = 'SUCCESS' ORDER BY at DESC NULLS LAST, id LIMIT 50
+    SELECT id, last_execution_state FROM (SELECT *, CASE WHEN last_updated <> 0 THEN ts END AS ran FROM {DATASETS} d)
+    WHERE upper(last_execution_state) = 'SUCCESS' ORDER BY ran DESC NULLS LAST, id LIMIT 50
 """)
 def list_dataflows(t: Tables) -> DataFrame:
     rows, _ = monitor.list_dataflows(dataflows(t), "success", limit=50)
@@ -272,7 +272,7 @@ def propagate_status(t: Tables) -> DataFrame:
         min(l_partkey) AS p FROM lineitem GROUP BY 1)
     SELECT CAST(l_orderkey AS VARCHAR) AS "dataflowId", p AS id, CAST(p % 2 = 0 AS INTEGER) AS failed,
         CASE WHEN p <> 0 THEN p / 1000.0 END AS duration_seconds, n AS input_count, 0 AS output_count, n AS error_count,
-        array_to_string(list_transform(list_filter(st, x -> x <> 'O')[1:5], x -> 'message ' || x), '|') AS error_messages
+        array_to_string(list_transform(list_filter(st, lambda x: x <> 'O')[1:5], lambda x: 'message ' || x), '|') AS error_messages
     FROM l
 """)
 def nested_records(t: Tables) -> DataFrame:
