@@ -25,25 +25,36 @@ _LOW33 = (1 << 33) - 1
 
 
 def global_row_number(
-    df: DataFrame, order: Sequence[Column], out: str, partitions: int | None = None
+    df: DataFrame,
+    order: Sequence[Column],
+    out: str,
+    restart: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Number all rows 1..n in the given order without a single-task sort."""
+    """Number all rows 1..n in the given order without a single-task sort.
+
+    With a restart column (of few values) each of its values is numbered from 1, in the same pass.
+    """
     n = partitions or default_partitions(df.sparkSession)
-    tied = df.withColumn("__tie", F.monotonically_increasing_id())
-    ranged = tied.repartitionByRange(n, *order, "__tie").sortWithinPartitions(*order, "__tie")
+    kind = F.col(restart) if restart else F.lit(0)
+    tied = df.withColumns({"__kind": kind, "__tie": F.monotonically_increasing_id()})
+    keys = ["__kind", *order, "__tie"]
+    ranged = tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     # The generated id holds the partition in its high bits and the position in its low 33 bits.
     pinned = pin(ranged.withColumn("__at", F.monotonically_increasing_id()).drop("__tie"))
     parts = pinned.withColumn("__part", F.shiftright("__at", 33))
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")
-    )
+    sizes = parts.groupBy("__kind", "__part").agg(F.count(F.lit(1)).alias("__size"))
+    earlier = (Window.unboundedPreceding, -1)
+    of_kind = Window.partitionBy("__kind").orderBy("__part").rowsBetween(*earlier)
+    in_part = Window.partitionBy("__part").orderBy("__kind").rowsBetween(*earlier)
+    total = lambda w: F.coalesce(F.sum("__size").over(w), F.lit(0))
+    # One row per range, and one more per value of the restart column.
+    starts = sizes.select("__kind", "__part", (total(of_kind) - total(in_part)).alias("__start"))
     position = F.col("__at").bitwiseAND(F.lit(_LOW33)) + 1
     return (
-        parts.join(F.broadcast(starts), "__part")
+        parts.join(F.broadcast(starts), ["__kind", "__part"])
         .withColumn(out, (F.col("__start") + position).cast("bigint"))
-        .drop("__part", "__at", "__start")
+        .select(*[F.col(f"`{c}`") for c in df.columns], out)
     )
 
 

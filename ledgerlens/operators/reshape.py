@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import broadcast_if_small
+from ledgerlens.session import BROADCAST_ROWS, broadcast_if_small
 
 # Lists of ids are packed into parts of about this many, so that no group is gathered whole.
 LIST_PART_SIZE = 1_000
@@ -48,11 +48,6 @@ def unpivot_numbered(
     return df.select(*[F.col(f"`{c}`") for c in rest], F.inline(F.array(*cells)))
 
 
-def month_calendar(calendar: DataFrame, date: str) -> tuple[DataFrame, object, object]:
-    bounds = calendar.agg(F.min(date), F.max(date)).first()
-    return calendar, bounds[0], bounds[1]
-
-
 def expand_months(
     df: DataFrame, start: Column, end: Column, calendar: DataFrame, date: str
 ) -> DataFrame:
@@ -61,18 +56,18 @@ def expand_months(
     The span is clipped to the calendar and generated per row, then matched to the calendar by an
     equi-join; repeated calendar dates repeat the row, as a range join would.
     """
-    calendar, lo, hi = month_calendar(calendar.filter(F.col(date).isNotNull()), date)
-    if lo is None:
-        return df.withColumn(date, F.lit(None).cast("date")).limit(0).join(calendar, date)
-    first = F.greatest(F.trunc(F.date_add(start, -1), "month") + F.expr("INTERVAL 1 MONTH"), F.lit(lo))
-    last = F.least(end, F.lit(hi))
-    spans = df.select("*", first.cast("date").alias("__first"), last.alias("__last"))
+    calendar = calendar.filter(F.col(date).isNotNull())
+    lo, hi, size = calendar.agg(F.min(date), F.max(date), F.count(F.lit(1))).first()
+    bound = lambda d: F.lit(d).cast("date")
+    next_month = F.trunc(F.date_add(start, -1), "month") + F.expr("INTERVAL 1 MONTH")
+    spans = df.select(
+        "*",
+        F.greatest(next_month.cast("date"), bound(lo)).alias("__first"),
+        F.least(end, bound(hi)).alias("__last"),
+    ).filter(start.isNotNull() & end.isNotNull() & (F.col("__first") <= F.col("__last")))
     months = F.sequence("__first", "__last", F.expr("INTERVAL 1 MONTH"))
-    rows = (
-        spans.filter(start.isNotNull() & (F.col("__first") <= F.col("__last")))
-        .select(*[F.col(f"`{c}`") for c in df.columns], F.explode(months).alias(date))
-    )
-    return rows.join(broadcast_if_small(calendar), date)
+    rows = spans.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(months).alias(date))
+    return rows.join(F.broadcast(calendar) if size <= BROADCAST_ROWS else calendar, date)
 
 
 def expand_months_by_range(

@@ -205,72 +205,67 @@ def calendar_months(calendar: DataFrame, first_year: int) -> DataFrame:
     )
 
 
-def _monthly_rows(
-    fees: DataFrame, start: str, months: DataFrame, ref_date: dt.date, cfg: RevenueConfig,
-    product: Column, code: Column,
+def product_code(code: Column) -> Column:
+    """Known product numbers as labels, any other as text."""
+    labels = F.create_map(*[F.lit(x) for kv in PRODUCT_CODES.items() for x in kv])
+    return F.coalesce(labels[code.try_cast("int")], code.cast("string"))
+
+
+def _spans(fees: DataFrame, kind: str, start: str, product: Column, code: Column) -> DataFrame:
+    return fees.filter(has_digits(F.col(start))).select(
+        F.lit(kind).alias("kind"),
+        product.alias("product"),
+        F.col("加盟店名").alias("shop"),
+        code.alias("code"),
+        F.col("`単価（円/税抜）`").cast("string").alias("price"),
+        parse_year_month(F.col(start)).alias("from_month"),
+        parse_year_month(F.col("終了年月")).alias("to_month"),
+    )
+
+
+def fee_spans(fees: DataFrame) -> DataFrame:
+    named = fees.filter(F.col("商品名").isNotNull())
+    return _spans(named, "fee", "開始年月", F.col("商品名"), product_code(F.col("ERAWAN")))
+
+
+def subscription_spans(subs: DataFrame) -> DataFrame:
+    product, code = F.lit(SUBSCRIPTION_PRODUCT), F.lit(SUBSCRIPTION_CODE)
+    return _spans(subs, "subscription", "請求開始年月", product, code)
+
+
+def branch_recurring(
+    spans: DataFrame, months: DataFrame, ref_date: dt.date, cfg: RevenueConfig
 ) -> DataFrame:
-    """One task per fee and calendar month of its span; open spans end in the month of ref_date."""
-    spans = fees.filter(has_digits(F.col(f"`{start}`"))).select(
-        product.alias("__product"),
-        F.col("加盟店名"),
-        code.cast("string").alias("__code"),
-        F.col("`単価（円/税抜）`").cast("string").alias("__price"),
-        parse_year_month(F.col(f"`{start}`")).alias("__from"),
-        F.coalesce(
-            parse_year_month(F.col("終了年月")), month_start(F.lit(ref_date).cast("date"))
-        ).alias("__to"),
+    """One task per fee or subscription and calendar month; open spans end in ref_date's month.
+
+    Tasks are numbered per kind in (month, title) order before the date floor; the further order
+    columns only settle ties.
+    """
+    end = F.coalesce("to_month", month_start(F.lit(ref_date).cast("date")))
+    rows = expand_months(
+        spans, F.col("from_month"), end, months.select("calendar_date", "calendar_month_int"),
+        "calendar_date",
     )
-    dates = months.select("calendar_date", "calendar_month_int")
-    rows = expand_months(spans, F.col("__from"), F.col("__to"), dates, "calendar_date")
     month = F.lpad(F.col("calendar_month_int").cast("string"), 2, "0")
-    titled = rows.withColumn(
-        "__title", joined(F.col("__product"), F.lit("("), month, F.lit(MONTH_PART))
-    )
-    # Numbered before the date floor, in (date, title) order; the rest only settles ties.
-    order = [F.col("calendar_date").asc(), F.col("__title").asc(),
-             F.col("加盟店名").asc_nulls_last(), F.col("__code").asc_nulls_last(),
-             F.col("__price").asc_nulls_last()]
-    numbered = global_row_number(titled, order, "__id", cfg.partitions)
+    titled = rows.withColumn("title", joined(F.col("product"), F.lit("("), month, F.lit(MONTH_PART)))
+    order = [F.col(c).asc_nulls_last() for c in ("calendar_date", "title", "shop", "code", "price")]
+    numbered = global_row_number(titled, order, "id", restart="kind", partitions=cfg.partitions)
     kept = numbered.filter(F.col("calendar_date") >= F.lit(cfg.fee_floor).cast("date"))
     return _conform(kept, {
         "プロジェクトID": F.lit(cfg.project_id),
-        "課題ID": F.col("__id"),
+        "課題ID": F.col("id"),
         "ステータス名": F.lit(STATUS_DONE),
-        "課題タイトル": F.col("__title"),
-        "加盟店名": F.col("加盟店名"),
+        "課題タイトル": F.col("title"),
+        "加盟店名": F.col("shop"),
         "開始日": F.col("calendar_date"),
         "期限日": month_end(F.col("calendar_date")),
-        "税抜費用": F.col("__price"),
+        "税抜費用": F.col("price"),
         "担当者①のウェイト": F.lit(FEE_WEIGHT),
         "請求日": F.col("calendar_date"),
-        "ERAWANコード": F.col("__code"),
+        "ERAWANコード": F.col("code"),
     })
 
 
-def product_code(code: Column) -> Column:
-    """Known product numbers as labels, any other as text."""
-    number = code.try_cast("bigint")
-    out = F.when(F.lit(False), F.lit(""))
-    for known, label in PRODUCT_CODES.items():
-        out = out.when(number == known, label)
-    return out.otherwise(code.cast("string"))
-
-
-def branch_monthly_fees(
-    fees: DataFrame, months: DataFrame, ref_date: dt.date, cfg: RevenueConfig
-) -> DataFrame:
-    named = fees.filter(F.col("商品名").isNotNull())
-    code = product_code(F.col("ERAWAN"))
-    return _monthly_rows(named, "開始年月", months, ref_date, cfg, F.col("商品名"), code)
-
-
-def branch_subscriptions(
-    subs: DataFrame, months: DataFrame, ref_date: dt.date, cfg: RevenueConfig
-) -> DataFrame:
-    product, code = F.lit(SUBSCRIPTION_PRODUCT), F.lit(SUBSCRIPTION_CODE)
-    return _monthly_rows(subs, "請求開始年月", months, ref_date, cfg, product, code)
-
-
 def conform_union(branches: list[DataFrame], projects: DataFrame, cfg: RevenueConfig) -> DataFrame:
     """Tasks of the one project, with its name.
 
@@ -384,11 +379,12 @@ def task_list(
 ) -> DataFrame:
     """All tasks of the project with period, cost and parent flag."""
     months = calendar_months(sources["calendar"], cfg.calendar_first_year)
+    spans = fee_spans(sources["monthly_fees"]).unionByName(
+        subscription_spans(sources["subscriptions"]))
     branches = [
         branch_issues(sources["issues"], cfg),
         branch_excel(sources["excel_tasks"]),
-        branch_monthly_fees(sources["monthly_fees"], months, ref_date, cfg),
-        branch_subscriptions(sources["subscriptions"], months, ref_date, cfg),
+        branch_recurring(spans, months, ref_date, cfg),
     ]
     return post_process(conform_union(branches, sources["projects"], cfg), ref_date)
 

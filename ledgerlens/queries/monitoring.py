@@ -16,7 +16,7 @@ STATUS = "CASE WHEN value > 15 THEN 'disabled_x' WHEN value > 10 THEN 'DISABLED'
 DATASETS = f"""(SELECT CAST(event_id AS VARCHAR) AS id, 'Dataset ' || event_id AS name,
     CAST(user_id AS INTEGER) AS card_count, CAST(user_id % 7 AS INTEGER) AS data_flow_count, upper(event_type) AS provider_type,
     {STATE} AS last_execution_state, {STATUS} AS dataset_status,
-    CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN CAST(floor(epoch_ms(ts) / 1000) AS BIGINT) ELSE epoch_ms(ts) END AS last_updated,
+    CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) ELSE (epoch_us(ts) // 1000) END AS last_updated,
     ts, event_type FROM events)"""
 
 
@@ -183,7 +183,7 @@ def export_dataflows(t: Tables) -> DataFrame:
 # ---- nested payloads ----
 
 @query("q_dataflow_ingest", """
-    WITH ex AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(epoch_ms(ts)) AS b FROM events GROUP BY 1)
+    WITH ex AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max((epoch_us(ts) // 1000)) AS b FROM events GROUP BY 1)
     SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS status, 0 AS paused, '' AS database_type,
         CASE WHEN b IS NOT NULL THEN strftime(make_timestamp(b * 1000), '%Y-%m-%d %H:%M') END AS ran_at, state AS last_execution_state,
         c_nationkey AS execution_count, '' AS owner, 2 AS output_dataset_count, c_custkey || ',' || c_name AS output_dataset_ids

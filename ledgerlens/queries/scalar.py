@@ -247,8 +247,8 @@ def epoch_autodetect(t: Tables) -> DataFrame:
 
 @query("q_duration", """
     SELECT event_id, CASE WHEN b <> 0 AND e <> 0 THEN (e - b) / 1000.0 END AS duration_seconds
-    FROM (SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN 0 ELSE epoch_ms(ts) END AS b,
-                 CASE WHEN event_type <> 'signup' THEN epoch_ms(ts) + CAST(round(value * 1000) AS BIGINT) END AS e
+    FROM (SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN 0 ELSE (epoch_us(ts) // 1000) END AS b,
+                 CASE WHEN event_type <> 'signup' THEN (epoch_us(ts) // 1000) + CAST(round(value * 1000) AS BIGINT) END AS e
           FROM events)
 """)
 def duration(t: Tables) -> DataFrame:

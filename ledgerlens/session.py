@@ -15,10 +15,14 @@ def build_session(app: str = "ledgerlens", master: str | None = None, **conf: st
     """Session with the settings the plans rely on; cluster sizing stays with spark-submit."""
     builder = (
         SparkSession.builder.appName(app)
+        .config("spark.checkpoint.compress", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Plans of hundreds of columns are built in Python; noting each call site would dominate.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
     )
     if master:
         builder = builder.master(master)
