@@ -113,18 +113,24 @@ def edges(df: DataFrame, key: str, targets: Column, source_name: str, target_nam
 
 
 def packed_lists(
-    df: DataFrame, keys: Sequence[str], item: str, out: str, part_size: int = LIST_PART_SIZE
+    df: DataFrame,
+    keys: Sequence[str],
+    item: str,
+    out: str,
+    part_size: int = LIST_PART_SIZE,
+    size: str | None = None,
 ) -> DataFrame:
     """Sorted lists of items per key, split into parts of about part_size items.
 
     Most keys have one part (number 0). A hot key is spread over many parts by a hash of the item,
-    so no task gathers it whole, and every item is in exactly one part.
+    so no task gathers it whole, and every item is in exactly one part. The rows of a key are
+    counted first unless a column already says how many there are.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    parts = F.ceil(F.col("__n") / part_size)
-    spread = df.join(sizes, list(keys)).withColumn(
-        "list_part", F.pmod(F.xxhash64(item), parts).cast("int")
-    )
-    return spread.groupBy(*keys, "__n", "list_part").agg(
+    if size is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+        df, size = df.select(*keys, item).join(sizes, list(keys)), "cnt"
+    parts = F.ceil(F.col(size) / part_size)
+    part = F.pmod(F.xxhash64(item), parts).cast("int")
+    return df.groupBy(*keys, F.col(size).alias("cnt"), part.alias("list_part")).agg(
         F.sort_array(F.collect_list(item)).alias(out)
-    ).withColumnRenamed("__n", "cnt")
+    )

@@ -186,8 +186,8 @@ def duplicate_groups(
     df: DataFrame, key: str, id_col: str = "bm_id", k: int = MAX_DUPLICATE_GROUPS
 ) -> DataFrame:
     """The same groups as sorted id lists; a group beyond the part size has several rows."""
-    members = duplicate_members(df, key, id_col, k).select(key, id_col)
-    return packed_lists(members, [key], id_col, f"{id_col}s")
+    members = duplicate_members(df, key, id_col, k)
+    return packed_lists(members, [key], id_col, f"{id_col}s", size="cnt")
 
 
 def with_names(analysis: DataFrame, formulas: DataFrame) -> DataFrame:

@@ -53,7 +53,9 @@ HASHED = f"(SELECT doc_id, {HASHES} FROM documents)"
 
 
 def _groups(t: Tables, key: str) -> DataFrame:
-    groups = fx.duplicate_groups(document_fingerprints(t), key, "doc_id")
+    # Read twice, once to count and once for the members: keep the digests, not the texts.
+    hashed = document_fingerprints(t).select("doc_id", key).persist()
+    groups = fx.duplicate_groups(hashed, key, "doc_id")
     return groups.select(F.col(key).alias("k"), "cnt", "list_part",
                          F.array_join("doc_ids", ",").alias("ids"))
 
