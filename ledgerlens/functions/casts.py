@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Epoch numbers above this are milliseconds, others seconds (fixed value).
 EPOCH_MILLIS_ABOVE = 10_000_000_000
 
+# White space in text: everything Unicode calls so, and the four separator controls (fixed value).
+SPACE = r"\s\x1c-\x1f"
+
 
 def try_date(text: Column) -> Column:
     """Text to DATE: year-month-day with `-` or `/`; year-month alone is not a date."""
@@ -64,7 +67,12 @@ def epoch_timestamp(epoch: Column) -> Column:
 
 def strip_space(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)\A[{SPACE}]+|[{SPACE}]+\z", "")
+
+
+def squeeze_space(text: Column) -> Column:
+    """Every run of white space to one blank, none at the ends; single blanks need no rewriting."""
+    return F.trim(F.regexp_replace(text, rf"(?U)[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " "))
 
 
 def blank_to_null(text: Column) -> Column:

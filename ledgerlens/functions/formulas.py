@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.casts import strip_space
+from ledgerlens.functions.casts import squeeze_space, strip_space
 
 # Placeholders of the structural form, and the digest length.
 REF_MARK = "BM_REF"
@@ -20,26 +20,22 @@ DIGEST_CHARS = 12
 DEFAULT_REF_TOKEN = "FORMULA_REF"
 
 
-def squeeze_space(text: Column) -> Column:
-    return strip_space(F.regexp_replace(text, r"(?U)\s+", " "))
-
-
 def normalised(text: Column) -> Column:
     """Comments and backticks removed, lower case, white space squeezed."""
     bare = F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), r"--[^\n]*", "")
     return squeeze_space(F.replace(F.lower(bare), F.lit("`"), F.lit("")))
 
 
-def structural(text: Column, ref_token: str = DEFAULT_REF_TOKEN) -> Column:
-    """The normalised text with references, strings, quoted names and numbers masked."""
+def structural(out: Column, ref_token: str = DEFAULT_REF_TOKEN) -> Column:
+    """A normalised text with references, strings, quoted names and numbers masked."""
     token = re.escape(ref_token.lower())
     masks = [
         (rf"(?U){token}\(\d+\)", REF_MARK),
         (r"'[^']*'", STRING_MARK),
         (r'"[^"]*"', NAME_MARK),
-        (r"(?U)\b\d+(\.\d+)?\b", NUMBER_MARK),
+        # The look-ahead lets the matcher skip everything that is no digit cheaply.
+        (r"(?U)(?=\d)\b\d+(\.\d+)?\b", NUMBER_MARK),
     ]
-    out = normalised(text)
     for pattern, mark in masks:
         out = F.regexp_replace(out, pattern, mark)
     return squeeze_space(out)
@@ -49,15 +45,25 @@ def digest(text: Column) -> Column:
     return F.left(F.md5(F.encode(text, "UTF-8")), F.lit(DIGEST_CHARS))
 
 
-def fingerprints(expression: Column, ref_token: str = DEFAULT_REF_TOKEN) -> dict[str, Column]:
-    """Exact, normalised and structural fingerprints; empty text has none."""
-    text = strip_space(F.coalesce(expression, F.lit("")))
+def with_fingerprints(
+    df: DataFrame, expression: str, ref_token: str = DEFAULT_REF_TOKEN
+) -> DataFrame:
+    """Add the exact, normalised and structural fingerprints; empty text has none.
+
+    Each form is made once, in its own step, and the next one builds on it.
+    """
+    text, normal = F.col("__text"), F.col("__normal")
     only = lambda c: F.when(text == "", "").otherwise(digest(c))
-    return {
-        "duplicate_hash": only(text),
-        "normalized_hash": only(normalised(text)),
-        "structure_hash": only(structural(text, ref_token)),
-    }
+    return (
+        df.withColumn("__text", strip_space(F.coalesce(expression, F.lit(""))))
+        .withColumn("__normal", normalised(text))
+        .withColumns({
+            "duplicate_hash": only(text),
+            "normalized_hash": only(normal),
+            "structure_hash": only(structural(normal, ref_token)),
+        })
+        .drop("__text", "__normal")
+    )
 
 
 def complexity(expression: Column, ref_token: str = DEFAULT_REF_TOKEN) -> Column:

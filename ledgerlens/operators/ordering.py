@@ -70,13 +70,15 @@ def running_sums(
     order: Sequence[Column],
     max_group_rows: int = WINDOW_GROUP_ROWS,
     partitions: int | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add running sums per key group in the given order, from the first row to the current one.
 
     The group sizes are counted first (one small shuffle of partial counts): ordinary groups use a
-    window, and as soon as one group is too large for a task all are summed by range.
+    window, and as soon as one group is too large for a task all are summed by range. When df is
+    costly, pass a cheaper frame with the same rows per key as sized_by.
     """
-    if largest_group(df, keys) <= max_group_rows:
+    if largest_group(df if sized_by is None else sized_by, keys) <= max_group_rows:
         w = Window.partitionBy(*keys).orderBy(*order)
         w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(v).over(w).alias(name) for name, v in sums.items()])

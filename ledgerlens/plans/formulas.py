@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.formulas import (
-    DEFAULT_REF_TOKEN, bare_card_id, complexity, fingerprints, first_names, json_list,
-    referenced_ids,
+    DEFAULT_REF_TOKEN, bare_card_id, complexity, first_names, json_list, referenced_ids,
+    with_fingerprints,
 )
 from ledgerlens.functions.predicates import contains_ci
 from ledgerlens.operators.ordering import top, window_of_rows
@@ -135,7 +135,15 @@ def classify_usage(
     lang: str = "vi",
 ) -> DataFrame:
     """The analysis table: one row per formula. Its card ids are in `card_lists`."""
-    facts = usage_facts(formulas, cards_of, deps, cards)
+    # The text is read and digested before any join, so that only digests are shuffled.
+    described = with_fingerprints(formulas, "expression", ref_token).select(
+        "id", "owner_id",
+        first_names(json_list(F.col("datasources"))).alias("dataset_names"),
+        complexity(F.col("expression"), ref_token).alias("complexity_score"),
+        "duplicate_hash", "normalized_hash", "structure_hash",
+        F.coalesce("legacy_id", F.lit("")).alias("legacy_id"),
+    )
+    facts = usage_facts(described, cards_of, deps, cards)
     if owners is None:
         named = facts.withColumn("owner_name", F.lit(""))
     else:
@@ -148,13 +156,11 @@ def classify_usage(
         "bm_id",
         group.alias("group_number"),
         labelled(group, lang).alias("group_label"),
-        "active_cards_count", "total_views", "referenced_by_count",
-        first_names(json_list(F.col("datasources"))).alias("dataset_names"),
+        "active_cards_count", "total_views", "referenced_by_count", "dataset_names",
         F.lit("").alias("naming_flag"),
-        complexity(F.col("expression"), ref_token).alias("complexity_score"),
-        *[c.alias(n) for n, c in fingerprints(F.col("expression"), ref_token).items()],
+        "complexity_score", "duplicate_hash", "normalized_hash", "structure_hash",
         F.concat(F.lit(url_base), F.col("bm_id").cast("string")).alias("url"),
-        F.coalesce("legacy_id", F.lit("")).alias("legacy_id"),
+        "legacy_id",
         F.coalesce("owner_name", F.lit("")).alias("owner_name"),
     )
 

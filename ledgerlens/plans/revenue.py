@@ -299,7 +299,9 @@ def post_process(tasks: DataFrame, ref_date: dt.date) -> DataFrame:
     })
 
 
-def cumulative_sales(tasks: DataFrame, cfg: RevenueConfig) -> DataFrame:
+def cumulative_sales(
+    tasks: DataFrame, cfg: RevenueConfig, sized_by: DataFrame | None = None
+) -> DataFrame:
     """Forecast and actual running totals per period.
 
     Both share one sort. The actual total is then looked up by (date, id, title), so tasks equal in
@@ -311,7 +313,8 @@ def cumulative_sales(tasks: DataFrame, cfg: RevenueConfig) -> DataFrame:
              F.col("課題タイトル").asc_nulls_last(), F.col("税抜費用").asc_nulls_last(),
              F.col("ステータス名").asc_nulls_last()]
     sums = {"累計売上額（見込み）": cost, "__actual": F.when(billed, cost)}
-    both = running_sums(tasks, sums, ["請求日（期）"], order, cfg.window_group_rows, cfg.partitions)
+    both = running_sums(
+        tasks, sums, ["請求日（期）"], order, cfg.window_group_rows, cfg.partitions, sized_by)
     keys = ["請求日", "課題ID", "課題タイトル"]
     actual = both.filter(billed).select(
         *[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)],
@@ -414,7 +417,7 @@ def final_output(
         F.broadcast(children.filter(F.col("__parent") == HISTORY_TASK_ID)), is_child, "left"
     ).drop("__parent")
     branches = {
-        "cumulative_sales": (cumulative_sales(with_children, cfg), CATEGORY_TASKS),
+        "cumulative_sales": (cumulative_sales(with_children, cfg, tasks), CATEGORY_TASKS),
         "weight_rows": (weight_rows(with_children), CATEGORY_WEIGHTS),
         "budget": (budget_cumulative(sources["budget"], ref_date, cfg), CATEGORY_BUDGET),
         "history": (history, CATEGORY_TASKS),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.formulas import complexity, fingerprints
+from ledgerlens.functions.formulas import complexity, with_fingerprints
 from ledgerlens.plans import formulas as fx
 from ledgerlens.queries.registry import Tables, query
+from ledgerlens.session import spread
 
 # ---- Text forms in SQL ----
 BARE = r"""regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', '', 'g'), '--[^\n]*', '', 'g')"""
@@ -23,8 +24,8 @@ HASHES = f"""CASE WHEN {STRIPPED} = '' THEN '' ELSE left(md5({STRIPPED}), 12) EN
 
 @query("q_fingerprints", f"SELECT doc_id, {HASHES} FROM documents")
 def document_fingerprints(t: Tables) -> DataFrame:
-    return t.documents.select(
-        "doc_id", *[c.alias(n) for n, c in fingerprints(F.col("text")).items()])
+    texts = spread(t.documents.select("doc_id", "text"))
+    return with_fingerprints(texts, "text").drop("text")
 
 
 @query("q_complexity", r"""
@@ -132,7 +133,7 @@ def catalog(t: Tables) -> dict[str, DataFrame]:
     rare = (F.col("l_quantity") == 1) & (F.col("l_discount") > 0.08)
     seen = F.when(F.col("o_orderpriority") != "1-URGENT", F.floor(F.col("o_totalprice") / 50000))
     return {
-        "formulas": t.documents.select(
+        "formulas": spread(t.documents.select("doc_id", "text", "lang", "source")).select(
             F.col("doc_id").alias("id"), F.concat("lang", F.lit(" "), "source").alias("name"),
             F.col("text").alias("expression"), (F.col("doc_id") % 30).alias("owner_id"),
             F.to_json(F.array("source")).alias("datasources"), F.col("lang").alias("legacy_id")),
@@ -233,7 +234,7 @@ def with_card(t: Tables) -> DataFrame:
 def export_labels(t: Tables) -> DataFrame:
     parts = catalog(t)
     return fx.export_catalog(
-        analysed(t, parts), parts["formulas"], parts["cards_of"], "ja", group=3, card_url_base=CARD_URL)
+        analysed(t, parts).persist(), parts["formulas"], parts["cards_of"], "ja", group=3, card_url_base=CARD_URL)
 
 
 @query("q_catalog_summary", f"""
@@ -247,7 +248,7 @@ def export_labels(t: Tables) -> DataFrame:
 """)
 def catalog_summary(t: Tables) -> DataFrame:
     parts = catalog(t)
-    s = fx.catalog_summary(analysed(t, parts), parts["formulas"])
+    s = fx.catalog_summary(analysed(t, parts).persist(), parts["formulas"])
     shape = lambda name, key, n: s[name].select(
         F.lit(name).alias("section"), F.col(key).cast("string").alias("key"), F.col(n).alias("n"))
     return (shape("groups", "group_number", "count")

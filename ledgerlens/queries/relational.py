@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +13,7 @@ from ledgerlens.operators.aggregates import child_counts, count_by, distinct_val
 from ledgerlens.queries.registry import (
     ORDERS_DATED, REF_DATE, Tables, orders_dated, period_sql, query,
 )
-from ledgerlens.session import broadcast_if_small
+from ledgerlens.session import broadcast_if_small, scratch_path
 from ledgerlens.sources.files import read_csv_named
 from ledgerlens.sources.sinks import read_snapshot, replace_table, write_csv, write_snapshot
 
@@ -386,15 +383,11 @@ def extract_refs(t: Tables) -> DataFrame:
 
 # ---- sources and sinks ----
 
-def _scratch() -> str:
-    return tempfile.mkdtemp(prefix="ledgerlens-")
-
-
 @query("q_csv_roundtrip", """
     SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || '、"引用"' || chr(10) || '改行' AS n_name FROM nation
 """)
 def csv_roundtrip(t: Tables) -> DataFrame:
-    path = str(Path(_scratch()) / "nation")
+    path = scratch_path(t.spark, "nation")
     name = F.concat("n_name", F.lit('、"引用"\n改行')).alias("n_name")
     write_csv(t.nation.select("n_regionkey", name, "n_nationkey"), path)
     return read_csv_named(t.spark, path, ["n_nationkey", "n_name"])
@@ -402,7 +395,7 @@ def csv_roundtrip(t: Tables) -> DataFrame:
 
 @query("q_parquet_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def parquet_roundtrip(t: Tables) -> DataFrame:
-    path = str(Path(_scratch()) / "nation")
+    path = scratch_path(t.spark, "nation")
     replace_table(t.nation.limit(1), path)
     replace_table(t.nation, path)
     return t.spark.read.parquet(path)
@@ -410,7 +403,7 @@ def parquet_roundtrip(t: Tables) -> DataFrame:
 
 @query("q_snapshot_upsert", UPSERT_SQL)
 def snapshot_upsert(t: Tables) -> DataFrame:
-    path = str(Path(_scratch()) / "customer")
+    path = scratch_path(t.spark, "customer")
     target, updates = _upserted(t)
     write_snapshot(target, path)
     stored = read_snapshot(t.spark, path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,18 +32,24 @@ def build_session(app: str = "ledgerlens", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; a local folder only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors reach, from spark.checkpoint.dir; a local one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        return shared
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="ledgerlens-")
+    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate files in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -60,3 +67,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan with fewer splits than cores over all cores, before costly work per row.
+
+    One quoted CSV or one Parquet row group is a single split, however large. A table with enough
+    splits, as any large one has, is left as it is. Meant for scans: the plan has no shuffle yet.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ledgerlens.session import spread
+
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
     """Every CSV column is read as text; types are decided by forgiving casts afterwards."""
@@ -58,7 +60,7 @@ def load_inputs(
         if name not in files:
             raise ValueError(f"no file configured for input table '{name}'")
         try:
-            df = read_csv_named(spark, os.path.join(folder, files[name]), wanted, multi_line)
+            df = spread(read_csv_named(spark, os.path.join(folder, files[name]), wanted, multi_line))
         except AnalysisException as e:
             raise FileNotFoundError(f"input table '{name}': cannot read {files[name]}") from e
         df.createOrReplaceTempView(name)
