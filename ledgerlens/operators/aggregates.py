@@ -82,8 +82,14 @@ def filter_values(df: DataFrame, columns: Sequence[str], max_distinct: int = 200
     )
     few = (
         counted.groupBy("column")
-        .agg(F.count(F.lit(1)).alias("__distinct"))
+        .agg(F.sum(F.least("count", F.lit(1))).alias("__distinct"))
         .filter(F.col("__distinct") <= max_distinct)
     )
-    kept = counted.join(F.broadcast(few), "column").filter(F.col("value") != "")
-    return kept.select("column", "value", "count")
+    # A condition on the finished count: on the value alone it would move below the aggregate, and
+    # the two uses of the counted rows would no longer be one.
+    shown = F.when(F.col("value") != "", F.col("count"))
+    return (
+        counted.join(F.broadcast(few), "column")
+        .select("column", "value", shown.alias("count"))
+        .filter(F.col("count").isNotNull())
+    )

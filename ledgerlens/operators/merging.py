@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Keys with more rows than this are looked up by broadcast, at most so many of them.
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 1_000
+SALTS = 100_000
+
 
 def _columns(df: DataFrame, skip: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c not in set(skip)]
@@ -29,9 +34,13 @@ def best_per_key(
 
 
 def upsert(
-    target: DataFrame, updates: DataFrame, keys: Sequence[str], sequence: str | None = None
+    target: DataFrame,
+    updates: DataFrame,
+    keys: Sequence[str],
+    sequence: str | None = None,
+    insert: bool = True,
 ) -> DataFrame:
-    """Insert or update by key; only columns present in the updates change.
+    """Insert or update by key (or only update); only columns present in the updates change.
 
     With a sequence column, repeated keys in the updates are reduced to the last write first.
     """
@@ -44,7 +53,7 @@ def upsert(
         F.lit(True).alias("__hit"),
     )
     same = [F.col(f"`{k}`") == F.col(f"__k_{k}") for k in keys]
-    merged = target.join(new, same, "full_outer")
+    merged = target.join(new, same, "full_outer" if insert else "left")
     out = []
     for c in target.columns:
         if c in keys:
@@ -76,6 +85,39 @@ def overlay(base: DataFrame, detail: DataFrame, keys: Sequence[str]) -> DataFram
     return joined.select(*out, *[F.col(c) for c in extra])
 
 
+def lookup(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Left join to a table with one row per key, whatever the skew of the left keys.
+
+    Keys with more than hot_rows rows (the largest MAX_HOT_KEYS of them) find their row by
+    broadcast. For the shuffle, rows with such a key or none get a random second key: they match
+    nothing there, and are spread over all tasks instead of meeting in one.
+    """
+    k, values = F.col(f"`{left_key}`"), _columns(right, [right_key])
+    sizes = left.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.filter((F.col("n") > hot_rows) & F.col("k").isNotNull())
+    hot = [r["k"] for r in large.orderBy(F.desc("n")).limit(MAX_HOT_KEYS).collect()]
+
+    away = k.isNull() | k.isin(hot) if hot else k.isNull()
+    salted = left.withColumn("__salt", F.when(away, F.floor(F.rand() * SALTS) + 1).otherwise(0))
+    side = right.withColumns({"__zero": F.lit(0).cast("bigint")})
+    joined = salted.join(
+        side, (k == F.col(f"`{right_key}`")) & (F.col("__salt") == F.col("__zero")), "left"
+    )
+    if not hot:
+        return joined.select(*[F.col(f"`{c}`") for c in left.columns + values])
+    few = right.filter(F.col(f"`{right_key}`").isin(hot)).select(
+        F.col(f"`{right_key}`").alias("__hot"), *[F.col(f"`{c}`").alias(f"__h_{c}") for c in values]
+    )
+    both = joined.join(F.broadcast(few), k == F.col("__hot"), "left")
+    found = [
+        F.when(F.col("__hot").isNotNull(), F.col(f"__h_{c}")).otherwise(F.col(f"`{c}`")).alias(c)
+        for c in values
+    ]
+    return both.select(*[F.col(f"`{c}`") for c in left.columns], *found)
+
+
 def first_wins(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Union of lists in order; for a repeated key the row of the earliest list stays."""
     ranked = [f.withColumn("__rank", F.lit(i)) for i, f in enumerate(frames)]

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import BROADCAST_ROWS, broadcast_if_small
+from ledgerlens.session import BROADCAST_ROWS
 
+# Most pivot headers, and most calendar dates that may go into a plan as constants.
+MAX_HEADERS = 1_000
+MAX_CALENDAR = 10_000
 # Lists of ids are packed into parts of about this many, so that no group is gathered whole.
 LIST_PART_SIZE = 1_000
 
@@ -70,12 +73,28 @@ def expand_months(
     return rows.join(F.broadcast(calendar) if size <= BROADCAST_ROWS else calendar, date)
 
 
-def expand_months_by_range(
+def expand_by_calendar(
     df: DataFrame, start: Column, end: Column, calendar: DataFrame, date: str
 ) -> DataFrame:
-    """The same rows as a range join, for a calendar small enough to broadcast."""
-    cal = broadcast_if_small(calendar)
-    return df.join(cal, (F.col(date) >= start) & (F.col(date) <= end))
+    """The same rows for a calendar of any dates, as long as it is counted to be small.
+
+    Its dates go into the plan as one sorted array that every row filters, so nothing is joined.
+    """
+    few = calendar.select(date).filter(F.col(date).isNotNull()).limit(MAX_CALENDAR + 1).collect()
+    if len(few) > MAX_CALENDAR:
+        raise ValueError(f"calendar has more than {MAX_CALENDAR} dates; use expand_months")
+    dates = F.lit(",".join(sorted(r[0].isoformat() for r in few)))
+    days = F.when(dates != "", F.split(dates, ",").cast("array<date>"))
+    inside = F.filter(days, lambda d: (d >= start) & (d <= end))
+    return df.select("*", F.explode(inside).alias(date))
+
+
+def few_values(df: DataFrame, column: str) -> list:
+    """Sorted distinct values that become column headers; too many of them is an error."""
+    distinct = df.select(column).distinct().limit(MAX_HEADERS + 1).collect()
+    if len(distinct) > MAX_HEADERS:
+        raise ValueError(f"{column} has more than {MAX_HEADERS} values to pivot on")
+    return sorted((r[0] for r in distinct if r[0] is not None))
 
 
 def pivot_sum(
@@ -83,7 +102,7 @@ def pivot_sum(
 ) -> tuple[DataFrame, list]:
     """Sums by row keys and header values, missing cells 0. Headers are few; found first if not given."""
     if headers is None:
-        headers = [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
+        headers = few_values(df, column)
     wide = df.groupBy(*rows).pivot(column, list(headers)).agg(F.sum(value))
     cells = [F.coalesce(F.col(f"`{h}`"), F.lit(0)).alias(str(h)) for h in headers]
     return wide.select(*rows, *cells), list(headers)
@@ -113,24 +132,25 @@ def edges(df: DataFrame, key: str, targets: Column, source_name: str, target_nam
 
 
 def packed_lists(
-    df: DataFrame,
-    keys: Sequence[str],
-    item: str,
-    out: str,
-    part_size: int = LIST_PART_SIZE,
-    size: str | None = None,
+    df: DataFrame, keys: Sequence[str], item: str, out: str, part_size: int = LIST_PART_SIZE
 ) -> DataFrame:
-    """Sorted lists of items per key, split into parts of about part_size items.
+    """Sorted lists of items per key with their total number, in parts of about part_size items.
 
-    Most keys have one part (number 0). A hot key is spread over many parts by a hash of the item,
-    so no task gathers it whole, and every item is in exactly one part. The rows of a key are
-    counted first unless a column already says how many there are.
+    Most keys have one part, number 0. The largest keys are spread over many parts by a hash of the
+    item; as these are at most BROADCAST_ROWS keys they are looked up by broadcast, so rows of a hot
+    key never meet in one task. Every item is in exactly one part.
     """
-    if size is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
-        df, size = df.select(*keys, item).join(sizes, list(keys)), "cnt"
-    parts = F.ceil(F.col(size) / part_size)
-    part = F.pmod(F.xxhash64(item), parts).cast("int")
-    return df.groupBy(*keys, F.col(size).alias("cnt"), part.alias("list_part")).agg(
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    large = sizes.filter(F.col("__n") > part_size)
+    large = large.orderBy(F.desc("__n")).limit(BROADCAST_ROWS)
+    large = large.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__n")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    parted = df.select(*keys, item).join(F.broadcast(large), same, "left")
+    part = F.pmod(F.xxhash64(item), F.ceil(F.col("__n") / part_size)).cast("int")
+    lists = parted.groupBy(*keys, "__n", F.coalesce(part, F.lit(0)).alias("list_part")).agg(
         F.sort_array(F.collect_list(item)).alias(out)
     )
+    total = F.coalesce("__n", F.size(out).cast("bigint")).alias("cnt")
+    return lists.select(*keys, total, "list_part", out)

@@ -13,7 +13,7 @@ from ledgerlens.functions.periods import as_date, month_label
 from ledgerlens.functions.predicates import where_all
 from ledgerlens.operators.aggregates import column_profile, count_by, filter_values
 from ledgerlens.operators.ordering import page
-from ledgerlens.operators.reshape import pivot_sum
+from ledgerlens.operators.reshape import few_values, pivot_sum
 from ledgerlens.plans.revenue import CATEGORY_BUDGET, CATEGORY_TASKS
 
 # Columns offered as card filters, and the largest list of values shown.
@@ -192,7 +192,7 @@ def build_card(df: DataFrame, spec: CardSpec, headers: Sequence | None = None) -
     groups = hits.groupBy(spec.row)
     if spec.pivot:
         if headers is None:
-            headers = [r[0] for r in hits.select(spec.pivot).distinct().orderBy(spec.pivot).collect()]
+            headers = few_values(hits, spec.pivot)
         out = groups.pivot(spec.pivot, list(headers)).agg(value).orderBy(spec.row)
     else:
         out = groups.agg(value.alias("value"))

@@ -23,6 +23,7 @@ from ledgerlens.functions.predicates import (
     all_of, keep_unless_like, on_or_after_or_undated, one_of,
 )
 from ledgerlens.operators.aggregates import child_counts
+from ledgerlens.operators.merging import HOT_ROWS, lookup
 from ledgerlens.operators.ordering import WINDOW_GROUP_ROWS, global_row_number, running_sums
 from ledgerlens.operators.reshape import expand_months, unpivot_numbered, unpivot_pairs
 from ledgerlens.session import broadcast_if_small, pin
@@ -149,6 +150,7 @@ class RevenueConfig:
     calendar_first_year: int = 2024
     link_base: str = "https://tracker.example/view/"
     window_group_rows: int = WINDOW_GROUP_ROWS
+    hot_rows: int = HOT_ROWS
     partitions: int | None = None
 
 
@@ -410,12 +412,10 @@ def final_output(
     children = child_counts(tasks, "親課題ID", "課題ID", "子課題数").withColumnRenamed(
         "親課題ID", "__parent"
     )
-    is_child = F.col("課題ID") == F.col("__parent")
-    with_children = tasks.join(children, is_child, "left").drop("__parent")
-    # All history rows carry one id, so their side of the lookup is at most one grouped row.
-    history = history_monthly(sources["history"], cfg).join(
-        F.broadcast(children.filter(F.col("__parent") == HISTORY_TASK_ID)), is_child, "left"
-    ).drop("__parent")
+    with_children = lookup(tasks, children, "課題ID", "__parent", cfg.hot_rows)
+    # All history rows carry one id: one number for all of them, not a join on a constant.
+    of_history = children.filter(F.col("__parent") == HISTORY_TASK_ID).select("子課題数").scalar()
+    history = history_monthly(sources["history"], cfg).withColumn("子課題数", of_history)
     branches = {
         "cumulative_sales": (cumulative_sales(with_children, cfg, tasks), CATEGORY_TASKS),
         "weight_rows": (weight_rows(with_children), CATEGORY_WEIGHTS),

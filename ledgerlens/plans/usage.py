@@ -49,8 +49,7 @@ def view_updates(info: DataFrame) -> DataFrame:
 
 def refresh_view_counts(cards: DataFrame, info: DataFrame) -> DataFrame:
     """Existing cards updated by the info records; unknown cards are not added."""
-    known = view_updates(info).join(cards.select("id"), "id", "left_semi")
-    return upsert(cards, known, ["id"])
+    return upsert(cards, view_updates(info), ["id"], insert=False)
 
 
 def card_list(

@@ -9,6 +9,7 @@ from ledgerlens.functions.formulas import complexity, with_fingerprints
 from ledgerlens.plans import formulas as fx
 from ledgerlens.queries.registry import Tables, query
 from ledgerlens.session import spread
+from ledgerlens.sources.payloads import payload_schema
 
 # ---- Text forms in SQL ----
 BARE = r"""regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', '', 'g'), '--[^\n]*', '', 'g')"""
@@ -266,47 +267,43 @@ def missing_expressions(t: Tables) -> DataFrame:
 
 
 @query("q_catalog_ingest", """
-    WITH l AS (SELECT l_orderkey, list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (l_linestatus = 'F') AS ds
-               FROM lineitem GROUP BY 1)
-    SELECT l_orderkey AS id, 'order ' || l_orderkey AS name, l_orderkey % 25 AS owner_id,
-        CASE WHEN ds IS NULL THEN '[]' ELSE '["' || array_to_string(ds, '","') || '"]' END AS datasources FROM l
+    SELECT l_orderkey * 10 + l_linenumber AS id, 'order ' || l_orderkey AS name, l_suppkey AS owner_id,
+        CASE WHEN l_linestatus = 'F' THEN '["' || l_partkey || '","' || l_suppkey || '"]' ELSE '["' || l_suppkey || '"]' END AS datasources
+    FROM lineitem
 """)
 def catalog_ingest(t: Tables) -> DataFrame:
     """Search payloads as JSON text, parsed back and flattened to the formula table."""
-    from ledgerlens.sources.payloads import payload_schema
-
     kind = F.when(F.col("l_linestatus") == "F", "DATA_SOURCE").otherwise("CARD")
-    link = F.struct(
-        "l_linenumber", "l_partkey", "l_suppkey",
-        F.struct(F.lit(True).alias("active"), F.struct(
-            kind.alias("type"), F.col("l_partkey").cast("string").alias("id")).alias("resource")).alias("link"))
-    grouped = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(link)).alias("links"))
+    link = lambda kind, key: F.struct(
+        F.lit(True).alias("active"),
+        F.struct(kind.alias("type"), F.col(key).cast("string").alias("id")).alias("resource"))
     payload = F.to_json(F.struct(
-        F.col("l_orderkey").alias("id"), F.concat(F.lit("order "), "l_orderkey").alias("name"),
-        (F.col("l_orderkey") % 25).alias("owner"),
-        F.transform("links", lambda x: x["link"]).alias("links")))
-    parsed = grouped.select(F.from_json(payload, payload_schema("formula_search")).alias("r")).select("r.*")
-    return fx.formula_table(parsed)
+        _line_id().alias("id"), F.concat(F.lit("order "), "l_orderkey").alias("name"),
+        F.col("l_suppkey").alias("owner"),
+        F.array(link(kind, "l_partkey"), link(F.lit("DATA_SOURCE"), "l_suppkey")).alias("links")))
+    parsed = t.lineitem.select(F.from_json(payload, payload_schema("formula_search")).alias("r"))
+    return fx.formula_table(parsed.select("r.*"))
+
+
+def _line_id():
+    return F.col("l_orderkey") * 10 + F.col("l_linenumber")
 
 
 @query("q_prune_refs", """
-    WITH l AS (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS flags FROM lineitem GROUP BY 1)
-    SELECT l_orderkey AS urn, len(list_filter(flags, lambda x: x = 'R')) AS removed_count,
-        array_to_string(list_filter(flags, lambda x: x <> 'R'), ',') AS formulas,
-        array_to_string(list_filter(flags, lambda x: x <> 'R'), ',') AS main_columns,
-        CASE WHEN flags[1] = 'R' THEN 0 ELSE 1 END AS main_order_by
-    FROM l
+    SELECT l_orderkey * 10 + l_linenumber AS urn, len(list_filter(ids, lambda x: x = 'R')) AS removed_count,
+        array_to_string(list_filter(ids, lambda x: x <> 'R'), ',') AS formulas,
+        array_to_string(list_filter(ids, lambda x: x <> 'R'), ',') AS main_columns,
+        CASE WHEN ids[1] = 'R' THEN 0 ELSE 1 END AS main_order_by
+    FROM (SELECT *, [l_returnflag, l_linestatus, CASE WHEN l_quantity < 10 THEN 'R' ELSE 'Q' END] AS ids FROM lineitem)
 """)
 def prune_refs(t: Tables) -> DataFrame:
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("flag"))
-    flags = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    formula = F.transform("items", lambda x: F.struct(x["flag"].alias("id")))
-    ref = lambda x: F.struct(x["flag"].alias("formulaId"))
-    refs = F.transform("items", ref)
+    last = F.when(F.col("l_quantity") < 10, "R").otherwise("Q")
+    flags = t.lineitem.select(_line_id().alias("urn"), F.array("l_returnflag", "l_linestatus", last).alias("ids"))
+    refs = F.transform("ids", lambda x: F.struct(x.alias("formulaId")))
     subscription = F.struct(
         refs.alias("columns"), F.slice(refs, 1, 1).alias("orderBy"), refs.alias("groupBy"))
     definitions = flags.select(
-        F.col("l_orderkey").alias("urn"), formula.alias("formulas"),
+        "urn", F.transform("ids", lambda x: F.struct(x.alias("id"))).alias("formulas"),
         F.create_map(F.lit("main"), subscription).alias("subscriptions"))
     pruned = fx.prune_formula(definitions, "R")
     main = fx.main_subscription(F.col("subscriptions"))

@@ -268,27 +268,26 @@ def propagate_status(t: Tables) -> DataFrame:
 
 
 @query("q_nested_records", """
-    WITH l AS (SELECT l_orderkey, list(l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey) AS st, count(*) AS n,
-        min(l_partkey) AS p FROM lineitem GROUP BY 1)
-    SELECT CAST(l_orderkey AS VARCHAR) AS "dataflowId", p AS id, CAST(p % 2 = 0 AS INTEGER) AS failed,
-        CASE WHEN p <> 0 THEN p / 1000.0 END AS duration_seconds, n AS input_count, 0 AS output_count, n AS error_count,
-        array_to_string(list_transform(list_filter(st, lambda x: x <> 'O')[1:5], lambda x: 'message ' || x), '|') AS error_messages
-    FROM l
+    SELECT CAST(l_orderkey AS VARCHAR) AS "dataflowId", l_linenumber AS id, CAST(l_partkey % 2 = 0 AS INTEGER) AS failed,
+        CASE WHEN l_partkey <> 0 THEN l_partkey / 1000.0 END AS duration_seconds, 2 AS input_count, 0 AS output_count, 7 AS error_count,
+        array_to_string(list_filter(['first', 'm1', CASE WHEN l_linestatus <> 'O' THEN 'message ' || l_linestatus END, 'm3', 'm4', 'm5'],
+            lambda x: x IS NOT NULL)[1:5], '|') AS error_messages
+    FROM lineitem
 """)
 def nested_records(t: Tables) -> DataFrame:
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
-    grouped = t.lineitem.groupBy("l_orderkey").agg(
-        F.sort_array(F.collect_list(item)).alias("items"), F.min("l_partkey").alias("p"))
-    error = lambda x: F.struct(
-        F.lit("").alias("localizedMessage"),
-        F.when(x["l_linestatus"] != "O", F.concat(F.lit("message "), x["l_linestatus"])).alias("message"))
+    error = lambda localized, plain: F.struct(
+        localized.cast("string").alias("localizedMessage"), plain.cast("string").alias("message"))
+    none, blank = F.lit(None), F.lit("")
+    status = F.when(F.col("l_linestatus") != "O", F.concat(F.lit("message "), "l_linestatus"))
+    errors = F.array(
+        error(F.lit("first"), F.lit("unused")), error(blank, F.lit("m1")), error(none, blank),
+        error(blank, status), *[error(none, F.lit(f"m{i}")) for i in (3, 4, 5)])
     payload = F.to_json(F.struct(
-        F.col("l_orderkey").cast("string").alias("dataflowId"), F.col("p").alias("id"),
-        F.when(F.col("p") % 2 == 0, True).alias("failed"), F.col("p").alias("beginTime"),
-        (F.col("p") * 2).alias("endTime"),
-        F.transform("items", lambda x: x["l_linestatus"]).alias("inputDataSources"),
-        F.transform("items", error).alias("errors")))
-    runs = grouped.select(F.from_json(payload, payload_schema("execution")).alias("r")).select("r.*")
+        F.col("l_orderkey").cast("string").alias("dataflowId"), F.col("l_linenumber").alias("id"),
+        F.when(F.col("l_partkey") % 2 == 0, True).alias("failed"),
+        F.col("l_partkey").alias("beginTime"), (F.col("l_partkey") * 2).alias("endTime"),
+        F.array("l_linestatus", "l_returnflag").alias("inputDataSources"), errors.alias("errors")))
+    runs = t.lineitem.select(F.from_json(payload, payload_schema("execution")).alias("r")).select("r.*")
     return monitor.execution_history(runs).select(
         "dataflowId", "id", "failed", F.col("duration_seconds").cast("double").alias("duration_seconds"),
         "input_count", "output_count", "error_count",

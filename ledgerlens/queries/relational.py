@@ -53,7 +53,7 @@ def _subscriptions(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query("q_expand_months", EXPAND_SQL)
 def expand_months(t: Tables) -> DataFrame:
     subs, months = _subscriptions(t)
-    rows = reshape.expand_months_by_range(subs, F.col("s"), F.col("e"), months, "month_first")
+    rows = reshape.expand_by_calendar(subs, F.col("s"), F.col("e"), months, "month_first")
     return rows.select("o_orderkey", "month_first")
 
 
@@ -91,8 +91,19 @@ def nullsafe_join(t: Tables) -> DataFrame:
 def child_count(t: Tables) -> DataFrame:
     parent = F.when(F.col("l_returnflag") != "R", F.col("l_orderkey")).alias("parent")
     counts = child_counts(t.lineitem.select(parent, "l_linenumber"), "parent", "l_linenumber", "children")
-    return t.orders.join(counts, F.col("o_orderkey") == F.col("parent"), "left").select(
-        "o_orderkey", "children")
+    return merging.lookup(t.orders.select("o_orderkey"), counts, "o_orderkey", "parent")
+
+
+@query("q_lookup_hot_keys", """
+    SELECT event_id, c_name FROM events
+    LEFT JOIN customer ON CASE event_type WHEN 'click' THEN 7 WHEN 'view' THEN NULL ELSE user_id END = c_custkey
+""")
+def lookup_hot_keys(t: Tables) -> DataFrame:
+    kind = F.col("event_type")
+    key = F.when(kind == "click", 7).when(kind != "view", F.col("user_id"))
+    rows = t.events.select("event_id", key.alias("key"))
+    names = t.customer.select("c_custkey", "c_name")
+    return merging.lookup(rows, names, "key", "c_custkey", hot_rows=100).select("event_id", "c_name")
 
 
 @query("q_conform_filter", """

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -34,11 +35,15 @@ def test_month_expansion_both_ways(spark):
     calendar = spark.createDataFrame([(day(m),) for m in (1, 2, 3, 4, 6)] + [(day(3),), (None,)], "d date")
     args = (spans, F.col("s"), F.col("e"), calendar, "d")
     got = rows(reshape.expand_months(*args).select("k", "d"))
-    assert got == rows(reshape.expand_months_by_range(*args).select("k", "d"))
+    assert got == rows(reshape.expand_by_calendar(*args).select("k", "d"))
     assert got == sorted([("inside", day(2)), ("inside", day(3)), ("inside", day(3)), ("inside", day(4)),
                           ("single", day(3)), ("single", day(3)), ("early", day(1)), ("late", day(6))], key=repr)
     empty = calendar.filter("d > '2050-01-01'")
     assert reshape.expand_months(spans, F.col("s"), F.col("e"), empty, "d").count() == 0
+    assert reshape.expand_by_calendar(spans, F.col("s"), F.col("e"), empty, "d").count() == 0
+    days = spark.range(20_000).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    with pytest.raises(ValueError, match="10000"):
+        reshape.expand_by_calendar(spans, F.col("s"), F.col("e"), days, "d")
 
 
 def test_pivot_cells_sum_to_the_base(spark):
@@ -89,6 +94,33 @@ def test_overlay(spark):
     assert rows(merging.overlay(base, detail, ["id"])) == [("1", "a", 0, "x"), ("2", "B", 6, "y"), ("3", "c", 7, None)]
 
 
+def test_update_without_insert(spark):
+    target = spark.createDataFrame([(1, "a")], "id int, name string")
+    updates = spark.createDataFrame([(1, "b"), (2, "c")], "id int, name string")
+    assert rows(merging.upsert(target, updates, ["id"], insert=False)) == [(1, "b")]
+
+
+def test_lookup_with_hot_and_missing_keys(spark):
+    left = spark.range(900).select(
+        "id", F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 3 == 1, F.col("id")).alias("k"))
+    right = spark.createDataFrame([(5, "five"), (1, "one"), (4, None)], "key bigint, name string")
+    plain = rows(left.join(right, left.k == right.key, "left").select("id", "k", "name"))
+    for hot_rows in (10**9, 100):
+        assert rows(merging.lookup(left, right, "k", "key", hot_rows)) == plain
+
+
+def test_pivot_refuses_too_many_headers(spark):
+    with pytest.raises(ValueError, match="1000"):
+        reshape.few_values(spark.range(2000), "id")
+
+
+def test_filter_values_counts_once(spark, tmp_path):
+    spark.createDataFrame([("a", "b")], "x string, y string").write.parquet(str(tmp_path / "v"))
+    out = aggregates.filter_values(spark.read.parquet(str(tmp_path / "v")), ["x", "y"])
+    assert rows(out) == [("x", "a", 1), ("y", "b", 1)]
+    assert "ReusedExchange" in str(out._jdf.queryExecution().executedPlan().toString())
+
+
 def test_first_wins(spark):
     a = spark.createDataFrame([(1, "type")], "id int, by string")
     b = spark.createDataFrame([(1, "cards"), (2, "cards")], "id int, by string")

@@ -158,7 +158,7 @@ def test_budget_and_history(report):
 
 
 def test_split_running_totals_agree(sources, report):
-    small = revenue.RevenueConfig(window_group_rows=1, partitions=4)
+    small = revenue.RevenueConfig(window_group_rows=1, hot_rows=1, partitions=4)
     assert rows(revenue.final_output(sources, REF, small)) == rows(report)
 
 
