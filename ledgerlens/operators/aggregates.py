@@ -74,22 +74,18 @@ def filter_values(df: DataFrame, columns: Sequence[str], max_distinct: int = 200
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
         for c in listed
     ])
+    # Both uses of the counted rows read the same aggregates, so that they are computed only once.
     counted = (
         df.select(F.inline(cells))
         .filter(F.col("value").isNotNull())
         .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.count(F.lit(1)).alias("count"), F.max(F.col("value") != "").alias("__shown"))
     )
     few = (
         counted.groupBy("column")
-        .agg(F.sum(F.least("count", F.lit(1))).alias("__distinct"))
-        .filter(F.col("__distinct") <= max_distinct)
-    )
-    # A condition on the finished count: on the value alone it would move below the aggregate, and
-    # the two uses of the counted rows would no longer be one.
-    shown = F.when(F.col("value") != "", F.col("count"))
-    return (
-        counted.join(F.broadcast(few), "column")
-        .select("column", "value", shown.alias("count"))
-        .filter(F.col("count").isNotNull())
+        .agg(F.sum(F.least("count", F.lit(1))).alias("__distinct"), F.max("__shown").alias("__any"))
+        .filter((F.col("__distinct") <= max_distinct) & F.col("__any").isNotNull())
+        .select("column")
     )
+    kept = counted.join(F.broadcast(few), "column").filter("__shown")
+    return kept.select("column", "value", "count")

@@ -101,7 +101,8 @@ def lookup(
 
     away = k.isNull() | k.isin(hot) if hot else k.isNull()
     salted = left.withColumn("__salt", F.when(away, F.floor(F.rand() * SALTS) + 1).otherwise(0))
-    side = right.withColumns({"__zero": F.lit(0).cast("bigint")})
+    # Always 0, but not a constant to the optimizer: that would drop it from the shuffle keys.
+    side = right.withColumn("__zero", F.pmod(F.xxhash64(F.col(f"`{right_key}`")), F.lit(1)))
     joined = salted.join(
         side, (k == F.col(f"`{right_key}`")) & (F.col("__salt") == F.col("__zero")), "left"
     )

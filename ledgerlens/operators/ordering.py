@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.session import default_partitions, pin
 
 # A group up to this many rows is summed by one ordinary window; larger ones are split by range.
-WINDOW_GROUP_ROWS = 5_000_000
+WINDOW_GROUP_ROWS = 1_000_000
 # Pages ending up to this row are a plain top-n; deeper ones go through row numbers.
 TOP_N_ROWS = 100_000
 

@@ -115,6 +115,31 @@ def merge_dataset_detail(base: DataFrame, detail: DataFrame) -> DataFrame:
     }).drop("__detail_status", "__detail_provider", "schedule_active")
 
 
+def merge_schedule(base: DataFrame, detail: DataFrame, streams: DataFrame) -> DataFrame:
+    """Search records with counts from their details and states from their streams' schedules.
+
+    The state of the stream's last execution wins over the status of the details.
+    """
+    d = detail.select(
+        "id", F.col("row_count").alias("__rows"), F.col("card_count").alias("__cards"),
+        F.col("status").alias("__status"), blank_to_null(F.col("stream_id")).alias("__stream"),
+    )
+    s = stream_detail(streams).select(
+        F.col("stream_id").cast("string").alias("__stream"), F.lit(True).alias("__found"),
+        F.col("last_execution.state").alias("__state"), F.col("schedule_state").alias("__schedule"),
+    )
+    state = F.coalesce(blank_to_null(F.col("state")), F.col("status"), F.lit(""))
+    return base.join(d, "id", "left").join(s, "__stream", "left").withColumns({
+        "row_count": F.coalesce("__rows", "row_count"),
+        "card_count": F.coalesce("__cards", "card_count"),
+        "stream_id": F.coalesce("__stream", "stream_id"),
+        "schedule_state": F.when(F.col("__found"), F.col("__schedule")).otherwise(F.col("schedule_state")),
+        "dataset_status": F.when(F.upper(state) == INACTIVE, DISABLED).otherwise(state),
+        "last_execution_state": F.coalesce(
+            blank_to_null(F.col("__state")), blank_to_null(F.col("__status")), F.lit("")),
+    }).drop("__stream", "__found", "__state", "__schedule", "__rows", "__cards", "__status")
+
+
 def dataset_table(merged: DataFrame, crawled_at: dt.datetime) -> DataFrame:
     """The stored dataset table: epoch times become timestamps."""
     return merged.select(

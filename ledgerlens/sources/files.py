@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping, Sequence
 
@@ -47,6 +48,16 @@ def read_csv_named(
     return df.select(*[df[f"`{c}`"] for c in columns])
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A report's configuration document: name, cards, and inputs of {"name", "file"}."""
+    text = spark.read.option("wholetext", True).text(path).first()[0]
+    return json.loads(text)
+
+
+def input_files(config: Mapping) -> dict[str, str]:
+    return {entry["name"]: entry["file"] for entry in config["inputs"]}
+
+
 def load_inputs(
     spark: SparkSession,
     folder: str,

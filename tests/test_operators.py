@@ -1,6 +1,7 @@
 """Reshaping, merging and aggregate operators on small hand-checked rows."""
 
 import datetime as dt
+import re
 
 import pytest
 from conftest import rows
@@ -109,6 +110,22 @@ def test_lookup_with_hot_and_missing_keys(spark):
         assert rows(merging.lookup(left, right, "k", "key", hot_rows)) == plain
 
 
+def test_lookup_spreads_hot_and_missing_keys(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        left = spark.range(8000).select(F.when(F.col("id") % 2 == 0, 5).alias("k"), "id")
+        right = spark.range(100).select(F.col("id").alias("key"), F.lit("x").alias("name"))
+        out = merging.lookup(left, right, "k", "key", hot_rows=100)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(.*__salt#", plan)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert out.count() == 8000 and max(sizes) < 3000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_pivot_refuses_too_many_headers(spark):
     with pytest.raises(ValueError, match="1000"):
         reshape.few_values(spark.range(2000), "id")

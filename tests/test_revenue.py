@@ -2,13 +2,14 @@
 
 import csv
 import datetime as dt
+import json
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from ledgerlens.plans import cards, revenue
-from ledgerlens.sources.files import load_inputs
+from ledgerlens.sources.files import input_files, load_inputs, read_config
 from ledgerlens.sources.sinks import StepCounts
 
 REF = "2025-05-10"
@@ -67,6 +68,13 @@ def folder(tmp_path_factory):
     return str(root)
 
 
+def test_config_names_the_files(spark, tmp_path):
+    doc = {"name": "r", "cards": [{"id": 1}], "inputs": [{"name": "issues", "file": "i.csv", "id": "x"}]}
+    (tmp_path / "config.json").write_text(json.dumps(doc, ensure_ascii=False, indent=1), encoding="utf-8")
+    config = read_config(spark, str(tmp_path / "config.json"))
+    assert config == doc and input_files(config) == {"issues": "i.csv"}
+
+
 FILES = {name: f"{name} 表.csv" for name in DATA}
 
 
