@@ -50,7 +50,7 @@ def read_csv_named(
 
 def read_config(spark: SparkSession, path: str) -> dict:
     """A report's configuration document: name, cards, and inputs of {"name", "file"}."""
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     return json.loads(text)
 
 
