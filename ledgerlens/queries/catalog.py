@@ -83,7 +83,8 @@ def duplicates_structural(t: Tables) -> DataFrame:
     SELECT structure_hash, cnt, doc_id FROM {HASHED} JOIN g USING (structure_hash)
 """)
 def duplicate_members(t: Tables) -> DataFrame:
-    return fx.duplicate_members(document_fingerprints(t), "structure_hash", "doc_id")
+    hashed = document_fingerprints(t).select("doc_id", "structure_hash").persist()
+    return fx.duplicate_members(hashed, "structure_hash", "doc_id")
 
 
 @query("q_duplicate_names", """
@@ -281,7 +282,8 @@ def catalog_ingest(t: Tables) -> DataFrame:
         _line_id().alias("id"), F.concat(F.lit("order "), "l_orderkey").alias("name"),
         F.col("l_suppkey").alias("owner"),
         F.array(link(kind, "l_partkey"), link(F.lit("DATA_SOURCE"), "l_suppkey")).alias("links")))
-    parsed = t.lineitem.select(F.from_json(payload, payload_schema("formula_search")).alias("r"))
+    rows = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus"))
+    parsed = rows.select(F.from_json(payload, payload_schema("formula_search")).alias("r"))
     return fx.formula_table(parsed.select("r.*"))
 
 
@@ -298,7 +300,8 @@ def _line_id():
 """)
 def prune_refs(t: Tables) -> DataFrame:
     last = F.when(F.col("l_quantity") < 10, "R").otherwise("Q")
-    flags = t.lineitem.select(_line_id().alias("urn"), F.array("l_returnflag", "l_linestatus", last).alias("ids"))
+    rows = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity"))
+    flags = rows.select(_line_id().alias("urn"), F.array("l_returnflag", "l_linestatus", last).alias("ids"))
     refs = F.transform("ids", lambda x: F.struct(x.alias("formulaId")))
     subscription = F.struct(
         refs.alias("columns"), F.slice(refs, 1, 1).alias("orderBy"), refs.alias("groupBy"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.plans import monitor
 from ledgerlens.queries.registry import NOW, Tables, query
+from ledgerlens.session import spread
 from ledgerlens.sources.payloads import payload_schema
 
 # Words the event types stand for.
@@ -249,6 +250,31 @@ def dataset_ingest(t: Tables) -> DataFrame:
         "last_execution_state")
 
 
+@query("q_schedule_merge", """
+    SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(s_nationkey, c_nationkey) AS row_count, coalesce(CAST(s_suppkey AS VARCHAR), '') AS stream_id,
+        CASE WHEN o_orderkey IS NULL THEN '' ELSE o_orderpriority END AS schedule_state,
+        CASE WHEN c_acctbal < 0 THEN 'DISABLED' ELSE 'VALID' END AS dataset_status,
+        coalesce(nullif(CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END, ''), CASE WHEN s_nationkey < 12 THEN 'SUCCESS' END, '') AS last_execution_state
+    FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey LEFT JOIN orders ON o_orderkey = s_suppkey
+""")
+def schedule_merge(t: Tables) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    base = t.customer.select(
+        text("c_custkey").alias("id"), F.col("c_nationkey").alias("row_count"), F.lit(0).alias("card_count"),
+        F.lit("").alias("stream_id"), F.lit("").alias("schedule_state"),
+        F.when(F.col("c_acctbal") < 0, "inactive").otherwise("").alias("state"), F.lit("VALID").alias("status"))
+    detail = t.supplier.select(
+        text("s_suppkey").alias("id"), F.col("s_nationkey").alias("row_count"), F.lit(1).alias("card_count"),
+        F.when(F.col("s_nationkey") < 12, "SUCCESS").otherwise("").alias("status"), text("s_suppkey").alias("stream_id"))
+    state = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).otherwise("")
+    payload = F.to_json(F.struct(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("scheduleState"),
+        F.struct(state.alias("currentState")).alias("lastExecution")))
+    streams = t.orders.select(F.from_json(payload, payload_schema("stream")).alias("r")).select("r.*")
+    return monitor.merge_schedule(base, detail, streams).select(
+        "id", "row_count", "stream_id", "schedule_state", "dataset_status", "last_execution_state")
+
+
 @query("q_propagate_status", """
     WITH hits AS (SELECT unnest([CAST(user_id AS VARCHAR), CAST(user_id + 3 AS VARCHAR)]) AS id, event_type, ts, event_id FROM events
                   WHERE event_type <> 'view'),
@@ -287,7 +313,8 @@ def nested_records(t: Tables) -> DataFrame:
         F.when(F.col("l_partkey") % 2 == 0, True).alias("failed"),
         F.col("l_partkey").alias("beginTime"), (F.col("l_partkey") * 2).alias("endTime"),
         F.array("l_linestatus", "l_returnflag").alias("inputDataSources"), errors.alias("errors")))
-    runs = t.lineitem.select(F.from_json(payload, payload_schema("execution")).alias("r")).select("r.*")
+    rows = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "l_returnflag"))
+    runs = rows.select(F.from_json(payload, payload_schema("execution")).alias("r")).select("r.*")
     return monitor.execution_history(runs).select(
         "dataflowId", "id", "failed", F.col("duration_seconds").cast("double").alias("duration_seconds"),
         "input_count", "output_count", "error_count",

@@ -13,7 +13,7 @@ from ledgerlens.operators.aggregates import child_counts, count_by, distinct_val
 from ledgerlens.queries.registry import (
     ORDERS_DATED, REF_DATE, Tables, orders_dated, period_sql, query,
 )
-from ledgerlens.session import broadcast_if_small, scratch_path
+from ledgerlens.session import broadcast_if_small, scratch_path, spread
 from ledgerlens.sources.files import read_csv_named
 from ledgerlens.sources.sinks import read_snapshot, replace_table, write_csv, write_snapshot
 
@@ -387,7 +387,8 @@ def extract_refs(t: Tables) -> DataFrame:
     text = F.format_string(
         "CASE WHEN FORMULA_REF(%d) > 0 THEN FORMULA_REF(%d) ELSE formula_ref(1) + FORMULA_REF(x) END",
         "l_partkey", "l_suppkey")
-    formulas = t.lineitem.select("l_orderkey", text.alias("expression"))
+    rows = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey"))
+    formulas = rows.select("l_orderkey", text.alias("expression"))
     return reshape.edges(
         formulas, "l_orderkey", referenced_ids(F.col("expression")), "bm_id", "depends_on_bm_id")
 

@@ -17,6 +17,7 @@ def build_session(app: str = "ledgerlens", master: str | None = None, **conf: st
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.checkpoint.compress", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
