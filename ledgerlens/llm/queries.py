@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination
+from ledgerlens.llm import decontamination, quality
 from ledgerlens.llm.registry import query, table
 
 
@@ -18,3 +18,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "c.items"), 256).alias("items_sha256"),
         decontamination.contaminated("c").alias("contaminated"),
         "c.spans")
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(table(spark, folder, "documents"), into="q", keep=["doc_id"])
+    return judged.select("doc_id", *[f"q.{c}" for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", "class_distance", "word_distance")])
