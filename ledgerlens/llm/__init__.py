@@ -1,8 +1 @@
-"""Operators of a training-data pipeline, and the queries that apply each to its whole table."""
-
-from __future__ import annotations
-
-from ledgerlens.llm.registry import ORACLE, QUERIES
-from ledgerlens.llm import queries  # noqa: F401  (importing registers the queries)
-
-__all__ = ["ORACLE", "QUERIES"]
+"""Operators of a training-data pipeline; `queries` applies each to its whole table."""

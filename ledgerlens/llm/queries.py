@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination, quality
-from ledgerlens.llm.registry import query, table
+from ledgerlens.llm import decontamination, quality, warc
+from ledgerlens.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
+from ledgerlens.session import scratch_path
 
 
 @query("op10_benchmark_decontamination")
@@ -26,3 +27,15 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[f"q.{c}" for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "kept", "class_distance", "word_distance")])
+
+
+@query("op5_warc_salvage")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, folder, "pages"), scratch_path(spark, "warc"))
+    records = warc.read_archives(spark, archives).filter("quarantined IS NULL")
+    return records.select(
+        F.expr("nullif(headers['x-row-key'], '')").cast("bigint").alias("page_id"),
+        F.expr("try_element_at(headers, 'x-payload-length')").cast("bigint").alias("payload_bytes"),
+        F.expr("substring(headers['warc-payload-digest'], 6)").alias("payload_digest"),
+        F.expr("headers['warc-type']").alias("record_type"),
+        F.expr("try_element_at(headers, 'x-refers-to-key')").cast("bigint").alias("refers_to"))
