@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination, quality, warc
+from ledgerlens.llm import decontamination, packing, quality, warc
 from ledgerlens.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
+from ledgerlens.llm.tokens import word_tokenizer_path
 from ledgerlens.session import scratch_path
 
 
@@ -39,3 +40,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("substring(headers['warc-payload-digest'], 6)").alias("payload_digest"),
         F.expr("headers['warc-type']").alias("record_type"),
         F.expr("try_element_at(headers, 'x-refers-to-key')").cast("bigint").alias("refers_to"))
+
+
+@query("op6_mixture_packing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"), word_tokenizer_path())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset")
