@@ -63,3 +63,23 @@ def add_struct(
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 of each text without decoding it."""
     return column.cast(pa.binary()).to_pylist()
+
+
+_TYPES = {
+    "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(),
+    "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType(),
+}
+
+
+def row_type(**fields: str) -> T.StructType:
+    """A schema by names of types; unlike DDL text it can be made inside a task."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in fields.items()])
+
+
+def to_table(rows: Sequence[Sequence], schema: T.StructType) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.table(
+        [pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, schema)],
+        names=schema.names)

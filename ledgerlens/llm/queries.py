@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination, packing, quality, warc
+from ledgerlens.llm import decontamination, packing, quality, scoring, warc
 from ledgerlens.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from ledgerlens.llm.tokens import word_tokenizer_path
 from ledgerlens.session import scratch_path
@@ -48,3 +48,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset")
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 10 == 0
+    docs = table(spark, folder, "documents")
+    scored = scoring.score(docs, ~held_out, into="m", keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "m.*")

@@ -31,7 +31,7 @@ class WordEncoder:
         self.cache: dict[bytes, list[int]] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.cache.keys())
+        new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache, new = {}, list(words)
         for at in range(0, len(new), 20_000):
