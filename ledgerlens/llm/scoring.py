@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.llm import messages
 from ledgerlens.llm.arrow import as_bytes, row_type, slices, to_table
-from ledgerlens.llm.blocks import BLOCK_CHARS, block_of, count_blocks
+from ledgerlens.llm.blocks import block_of, count_blocks
 
 ORDER = 2
 PRIOR_MASS = 100.0
@@ -37,6 +37,8 @@ _MESSAGE = row_type(
     __part="int", __block="int", __order="int", __n="int", __keys="binary", __counts="binary")
 _ANSWER = row_type(__block="int", __part="int", __order="int", __n="int", __totals="binary")
 _NUMBERS = row_type(n_tokens="long", n_known="long", base_score="double", score="double")
+# A block and its automaton take some forty times this many bytes.
+BLOCK_CHARS = 5_000_000
 BEGIN, END = 0, 1
 
 
