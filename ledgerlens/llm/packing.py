@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.arrow import as_bytes, slices
+from ledgerlens.llm import messages
+from ledgerlens.llm.arrow import as_bytes, row_type, slices
 from ledgerlens.llm.blocks import BLOCK_CHARS, block_of, count_blocks
 from ledgerlens.llm.tokens import WordEncoder
 from ledgerlens.session import pin
@@ -124,26 +125,22 @@ def source_key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{column}`").cast("string")), F.lit(""))
 
 
-def count_tokens(df: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Tokens per block and source of df(__block, __source, __text)."""
+def encode_texts(df: DataFrame, path: str, end_id: int) -> DataFrame:
+    """Replace __text by __n, the number of its ids, and __ids, the packed ids."""
+    kept = [f for f in df.schema.fields if f.name != "__text"]
+    schema = T.StructType([*kept, *row_type(__n="long", __ids="binary").fields])
 
-    def count(batches):
+    def encode(batches):
         encoder = WordEncoder(path)
         for batch in slices(batches):
-            sizes: dict = {}
             ids = encoder.encode(as_bytes(batch.column("__text")), end_id)
-            keys = zip(batch.column("__block").to_pylist(), batch.column("__source").to_pylist())
-            for key, own in zip(keys, ids):
-                sizes[key] = sizes.get(key, 0) + len(own)
-            if sizes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in sizes], pa.int32()),
-                     pa.array([k[1] for k in sizes], pa.string()),
-                     pa.array(list(sizes.values()), pa.int64())],
-                    names=["__block", "__source", "__n"])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(f.name) for f in kept],
+                 pa.array([len(i) for i in ids], pa.int64()),
+                 pa.array([messages.pack_numbers(i) for i in ids], pa.binary())],
+                names=schema.names)
 
-    partial = df.mapInArrow(count, "__block int, __source string, __n long")
-    return partial.groupBy("__block", "__source").agg(F.sum("__n").alias("__n"))
+    return df.mapInArrow(encode, schema)
 
 
 def queues_of(
@@ -214,7 +211,9 @@ def pack(
         block_of(hashed, blocks).alias("__block"), source_key(source_column).alias("__source"),
         F.col(f"`{text_column}`").alias("__text"),
         *[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)])
-    sizes = pin(count_tokens(given.select("__block", "__source", "__text"), tokenizer_path, end_id))
+    # Texts are tokenised once; the ids are read again when every queue's length is known.
+    encoded = pin(encode_texts(given, tokenizer_path, end_id))
+    sizes = pin(encoded.groupBy("__block", "__source").agg(F.sum("__n").alias("__n")))
     queue_of, totals, weights = queues_of(sizes, targets, window)
     phases = plan(totals, weights)
     other = len(totals) - 1
@@ -237,13 +236,13 @@ def pack(
     width = len(keep)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        encoder = WordEncoder(tokenizer_path)
         start_of = dict(zip(right["__queue"].to_pylist(), right["__begin"].to_pylist()))
-        texts, sources = as_bytes(left["__text"]), left["__source"].to_pylist()
+        packed, sources = left["__ids"].to_pylist(), left["__source"].to_pylist()
+        sizes = left["__n"].to_pylist()
         # The order in the block decides where each lies: by values only, so a rerun agrees.
         names = list(zip(*[map(repr, left[f"__k{i}"].to_pylist()) for i in range(width)]))
-        order = sorted(range(len(texts)), key=lambda r: (
-            names[r] if width else (), sources[r], texts[r] or b""))
+        order = sorted(range(len(packed)), key=lambda r: (
+            names[r] if width else (), sources[r], packed[r]))
         by_queue: dict[int, list[int]] = {}
         for r in order:
             by_queue.setdefault(queue_of.get(sources[r], other), []).append(r)
@@ -251,8 +250,8 @@ def pack(
         for queue, own in by_queue.items():
             for at in range(0, len(own), 500):
                 part = own[at:at + 500]
-                tokens = encoder.encode([texts[r] for r in part], end_id)
-                length = np.array([len(t) for t in tokens], np.int64)
+                tokens = [messages.unpack_numbers(packed[r], sizes[r]) for r in part]
+                length = np.array([sizes[r] for r in part], np.int64)
                 ends = start_of[queue] + np.cumsum(length)
                 doc, begin, size, sequence, offset = pieces_of(
                     phases, queue, start_of[queue], ends, window)
@@ -267,7 +266,7 @@ def pack(
             [*[left[f"__k{i}"].take(pa.array(taken)) for i in range(width)],
              *[pa.array(v) for v in values], pa.array(ids, pa.binary())], names=schema.names)
 
-    pieces = given.groupBy("__block").cogroup(begins.groupBy("__block")).applyInArrow(cut, schema)
+    pieces = encoded.groupBy("__block").cogroup(begins.groupBy("__block")).applyInArrow(cut, schema)
     clash = [c.lower() for c in result]
     names = [f"doc_{c}" if c.lower() in clash else c for c in keep]
     return pieces.select(

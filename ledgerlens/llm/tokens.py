@@ -28,16 +28,55 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[bytes, list[int]] = {}
 
+    def _each(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of letters alone, many at a time: each ends with its one word-end token."""
+        out: list[list[int]] = []
+        for at in range(0, len(words), 2000):
+            part = words[at:at + 2000]
+            ids = self._each([" ".join(part)])[0]
+            stops = np.flatnonzero(self.ends[ids]) + 1 if ids else []
+            if len(stops) != len(part) or stops[-1] != len(ids):  # some letter is not one to it
+                out += self._each(part)
+                continue
+            start = 0
+            for stop in stops.tolist():
+                out.append(ids[start:stop])
+                start = stop
+        return out
+
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache, new = {}, list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.cache.update((w, e.ids) for w, e in zip(part, found))
+        cache = self.cache
+        new = [w for w in words if w not in cache]
+        if len(cache) + len(new) > CACHE_WORDS:
+            self.cache = cache = {}
+            new = list(words)
+        # Most new words are letters with a mark behind, which is a piece of its own.
+        split, odd = [], []
+        for word in new:
+            text = word.decode()
+            core = text.rstrip(".,;:!?")
+            if core.isalpha():
+                folded = core.lower() if core.isascii() else core
+                split.append((word, folded.encode(), text[len(core):].encode()))
+            else:
+                odd.append(text)
+        cores = list({c for _, c, _ in split if c not in cache})
+        cache.update(zip(cores, self._letters([c.decode() for c in cores])))
+        odd += {t.decode() for _, _, t in split if t and t not in cache}
+        for at in range(0, len(odd), 20_000):
+            part = odd[at:at + 20_000]
+            cache.update(zip([t.encode() for t in part], self._each(part)))
+        for word, core, tail in split:
+            if tail or word != core:
+                cache[word] = cache[core] + cache[tail] if tail else cache[core]
 
     def encode(self, texts: list[bytes | None], end_id: int) -> list[np.ndarray]:
         """Ids of each text, with the end id last; a null text has the end id alone."""
