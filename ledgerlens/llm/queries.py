@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination, packing, quality, scoring, warc
+from ledgerlens.llm import decontamination, neardup, packing, quality, scoring, warc
 from ledgerlens.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from ledgerlens.llm.tokens import word_tokenizer_path
 from ledgerlens.session import scratch_path
@@ -56,3 +56,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = scoring.score(docs, ~held_out, into="m", keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "m.*")
+
+
+@query("op7_minhash_near_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.find_groups(table(spark, folder, "documents"), shingle_words=2)
