@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from ledgerlens.llm import messages
 from ledgerlens.llm.arrow import as_bytes, row_type, slices
 from ledgerlens.llm.blocks import BLOCK_CHARS, block_of, count_blocks
-from ledgerlens.llm.tokens import WordEncoder
+from ledgerlens.llm.tokens import encoder
 from ledgerlens.session import pin
 
 WINDOW_TOKENS = 4096
@@ -131,9 +131,9 @@ def encode_texts(df: DataFrame, path: str, end_id: int) -> DataFrame:
     schema = T.StructType([*kept, *row_type(__n="long", __ids="binary").fields])
 
     def encode(batches):
-        encoder = WordEncoder(path)
+        own = encoder(path)
         for batch in slices(batches):
-            ids = encoder.encode(as_bytes(batch.column("__text")), end_id)
+            ids = own.encode(as_bytes(batch.column("__text")), end_id)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(f.name) for f in kept],
                  pa.array([len(i) for i in ids], pa.int64()),

@@ -7,7 +7,9 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_WORDS = 300_000
+# Words remembered in each of two generations of the cache.
+CACHE_WORDS = 250_000
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
 def word_tokenizer_path() -> str:
@@ -16,11 +18,19 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python process; a later task finds the words of the earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 class WordEncoder:
     """Ids of texts, word by word with a cache.
 
     The tokenizer file must treat white space only as a separator. ASCII white space then never
-    lies inside a token, so a text's ids are those of its words, one after the other.
+    lies inside a token, so a text's ids are those of its words, one after the other. The cache
+    holds ids as little-endian unsigned 32-bit bytes, which are joined like text.
     """
 
     def __init__(self, path: str) -> None:
@@ -31,36 +41,41 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[bytes, list[int]] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _each(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _each(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _letters(self, words: list[str]) -> list[list[int]]:
+    def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters alone, many at a time: each ends with its one word-end token."""
-        out: list[list[int]] = []
+        out: list[bytes] = []
         for at in range(0, len(words), 2000):
             part = words[at:at + 2000]
-            ids = self._each([" ".join(part)])[0]
-            stops = np.flatnonzero(self.ends[ids]) + 1 if ids else []
+            ids = np.frombuffer(self._each([" ".join(part)])[0], "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or stops[-1] != len(ids):  # some letter is not one to it
                 out += self._each(part)
                 continue
-            start = 0
-            for stop in stops.tolist():
-                out.append(ids[start:stop])
+            data, start = ids.tobytes(), 0
+            for stop in (4 * stops).tolist():
+                out.append(data[start:stop])
                 start = stop
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        cache = self.cache
-        new = [w for w in words if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
-            self.cache = cache = {}
-            new = list(words)
+        """Bring the ids of all these words into the cache."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        missing = [w for w in words if w not in cache]
+        cache.update((w, older[w]) for w in missing if w in older)
         # Most new words are letters with a mark behind, which is a piece of its own.
         split, odd = [], []
-        for word in new:
+        for word in missing:
+            if word in older:
+                continue
             text = word.decode()
             core = text.rstrip(".,;:!?")
             if core.isalpha():
@@ -69,6 +84,8 @@ class WordEncoder:
             else:
                 odd.append(text)
         cores = list({c for _, c, _ in split if c not in cache})
+        cache.update((c, older[c]) for c in cores if c in older)
+        cores = [c for c in cores if c not in older]
         cache.update(zip(cores, self._letters([c.decode() for c in cores])))
         odd += {t.decode() for _, _, t in split if t and t not in cache}
         for at in range(0, len(odd), 20_000):
@@ -82,8 +99,6 @@ class WordEncoder:
         """Ids of each text, with the end id last; a null text has the end id alone."""
         split = [(t or b"").split() for t in texts]
         self.learn(set(chain.from_iterable(split)))
-        ids_of = self.cache.__getitem__
+        ids_of, end = self.cache.__getitem__, np.array([end_id], "<u4").tobytes()
         return [
-            np.fromiter(chain(chain.from_iterable(map(ids_of, words)), (end_id,)), np.dtype("<u4"))
-            for words in split
-        ]
+            np.frombuffer(b"".join(map(ids_of, words)) + end, np.dtype("<u4")) for words in split]
