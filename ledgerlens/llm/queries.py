@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination, neardup, packing, quality, scoring, warc
+from ledgerlens.llm import (
+    decontamination, neardup, packing, quality, scoring, substrings, warc,
+)
 from ledgerlens.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from ledgerlens.llm.tokens import word_tokenizer_path
 from ledgerlens.session import scratch_path
@@ -61,3 +63,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_minhash_near_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.find_groups(table(spark, folder, "documents"), shingle_words=2)
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, folder, "documents"), into="d", keep=["doc_id"])
+    kept = F.filter(F.split("d.text", r"[ \t-\r]+"), lambda w: w != "")
+    return cut.select("doc_id", "d.n_words", "d.n_removed", F.sha2(
+        F.concat_ws(" ", kept), 256).alias("kept_sha256"), "d.spans")
