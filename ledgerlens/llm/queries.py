@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    decontamination, neardup, packing, quality, scoring, substrings, warc,
+    decontamination, licenses, neardup, packing, quality, scoring, substrings, tokenfiles, urls, warc,
 )
 from ledgerlens.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from ledgerlens.llm.tokens import word_tokenizer_path
@@ -71,3 +71,79 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     kept = F.filter(F.split("d.text", r"[ \t-\r]+"), lambda w: w != "")
     return cut.select("doc_id", "d.n_words", "d.n_removed", F.sha2(
         F.concat_ws(" ", kept), 256).alias("kept_sha256"), "d.spans")
+
+
+# A list of dated entries for the pages' hosts and their parent domains, by digits of their MD5.
+_DIGIT = "ascii(substring(md5(p), {}, 1))"
+_ADDED = f"(7 * {_DIGIT.format(1)} + 13 * {_DIGIT.format(2)} + {_DIGIT.format(3)}) % 365"
+LIST_RULES = [
+    ("block", "add", _ADDED, f"{_DIGIT.format(4)} % 3 = 0"),
+    ("block", "remove", f"{_ADDED} + 20 + {_DIGIT.format(5)}", f"{_DIGIT.format(6)} % 2 = 0"),
+    ("block", "add", f"{_ADDED} + 150 + {_DIGIT.format(7)}", f"{_DIGIT.format(8)} % 4 = 0"),
+    ("allow", "add", f"{_ADDED} + {_DIGIT.format(9)}", f"{_DIGIT.format(10)} % 4 = 0"),
+]
+_FETCHED = "(page_id * 7919) % 365"
+_HOST_SQL = """nullif(lower(regexp_extract(url,
+    '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '')"""
+_OP3_SQL = f"""
+WITH captures AS (
+    SELECT page_id, {_HOST_SQL} AS host, DATE '2024-01-01' + CAST({_FETCHED} AS INT) AS day
+    FROM pages),
+named AS (
+    SELECT DISTINCT p FROM (
+        SELECT host AS p FROM captures
+        UNION ALL SELECT regexp_replace(host, '^[^.]*[.]', '') FROM captures) x
+    WHERE p IS NOT NULL),
+entries AS ({" UNION ALL ".join(
+    f"SELECT p AS pattern, '{kind}' AS list, '{action}' AS action,"
+    f" DATE '2024-01-01' + CAST({day} AS INT) AS day FROM named WHERE {where}"
+    for kind, action, day, where in LIST_RULES)}),
+spans AS (
+    SELECT pattern, list, action, day AS since,
+        coalesce(lead(day) OVER (PARTITION BY pattern, list ORDER BY day), DATE '9999-12-31') AS until
+    FROM (SELECT pattern, list, day, max(action) AS action FROM entries GROUP BY ALL) d),
+active AS (
+    SELECT c.page_id, s.pattern, s.list, row_number() OVER (PARTITION BY c.page_id ORDER BY
+        length(s.pattern) - length(replace(s.pattern, '.', '')) DESC, s.list) AS nth,
+        count(*) OVER (PARTITION BY c.page_id) AS n
+    FROM captures c JOIN spans s ON s.action = 'add' AND s.since <= c.day AND c.day < s.until
+        AND (c.host = s.pattern OR suffix(c.host, '.' || s.pattern)))
+SELECT c.page_id, c.host, CAST(c.day AS VARCHAR) AS day, coalesce(a.n, 0) AS n_active, a.pattern,
+    a.list, coalesce(a.list = 'allow', true) AS kept
+FROM captures c LEFT JOIN active a ON a.page_id = c.page_id AND a.nth = 1"""
+
+
+@query("op3_url_filters", _OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), F.expr(n).cast("int"))
+    pages = table(spark, folder, "pages").select("page_id", "url", day(_FETCHED).alias("day"))
+    host = urls.host_of(F.col("url"))
+    parent = F.regexp_replace(host, "^[^.]*[.]", "")
+    named = pages.select(F.explode(F.array(host, parent)).alias("p")).dropna().distinct()
+    entries = named.select("p", F.explode(F.array(*[
+        F.when(F.expr(where), F.struct(
+            F.lit(kind).alias("list"), F.lit(action).alias("action"), day(n).alias("day")))
+        for kind, action, n, where in LIST_RULES])).alias("e"))
+    entries = entries.filter("e IS NOT NULL").select(F.col("p").alias("pattern"), "e.*")
+    judged = urls.judge(pages, entries, into="u", keep=["page_id", "day"])
+    return judged.select("page_id", "u.host", F.col("day").cast("string").alias("day"),
+                         "u.n_active", "u.pattern", "u.list", "u.kept")
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = licenses.scan(table(spark, folder, "documents"), into="l", keep=["doc_id"])
+    return scanned.select(
+        "doc_id", "l.n_words", F.size("l.found").cast("long").alias("n_licenses"),
+        F.array_join("l.found.name", ",").alias("licenses"),
+        F.coalesce(F.array_max("l.found.containment"), F.lit(0)).alias("containment"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    written = tokenfiles.write_token_files(
+        docs, scratch_path(spark, "tokens"), word_tokenizer_path())
+    counted = tokenfiles.count_tokens(spark, written)
+    return counted.join(written, ["path", "ordinal"]).select(
+        F.col("id").alias("doc_id"), "n_tokens", "start", "ordinal")

@@ -9,7 +9,7 @@ import numpy as np
 
 # Words remembered in each of two generations of the cache.
 CACHE_WORDS = 250_000
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
 def word_tokenizer_path() -> str:
@@ -18,11 +18,14 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str) -> WordEncoder:
-    """The encoder of this Python process; a later task finds the words of the earlier ones."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, plain: bool = False) -> WordEncoder:
+    """The encoder of this Python process; a later task finds the words of the earlier ones.
+
+    plain: special tokens' strings in a text are ordinary text.
+    """
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = WordEncoder(path, plain)
+    return _ENCODERS[path, plain]
 
 
 class WordEncoder:
@@ -33,11 +36,12 @@ class WordEncoder:
     holds ids as little-endian unsigned 32-bit bytes, which are joined like text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
