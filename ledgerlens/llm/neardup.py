@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,11 +98,15 @@ def promising(similarity: float, filled: int, per_cent: int) -> bool:
     return similarity >= limit - 5 * (limit * (1 - limit) / max(filled, 1)) ** 0.5
 
 
+def row_key_of(id_column: str, text_column: str) -> Column:
+    return F.xxhash64(f"`{id_column}`", f"`{text_column}`")
+
+
 def sketch(docs: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
     """id, __row (a key of the row's values), __n (set size), __node (set digest), __regs."""
     given = docs.select(
         F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text_column}`").alias("__text"),
-        F.xxhash64(f"`{id_column}`", f"`{text_column}`").alias("__row"))
+        row_key_of(id_column, text_column).alias("__row"))
     kind = given.schema["__id"]
     schema = T.StructType([
         kind, *row_type(__row="long", __n="long", __node="binary", __regs="binary").fields])
@@ -128,7 +132,7 @@ def wanted_sets(
 ) -> DataFrame:
     """(__node, __n, __regs, __set) of the wanted classes, from one row of each."""
     texts = docs.select(
-        F.xxhash64(f"`{id_column}`", f"`{text_column}`").alias("__r"),
+        row_key_of(id_column, text_column).alias("__r"),
         F.col(f"`{text_column}`").alias("__text"))
     joined = wanted.join(texts, F.col("__row") == F.col("__r")).select(
         "__node", "__n", "__regs", "__text")
@@ -314,6 +318,7 @@ def find_groups(
     text_column: str = "text",
     shingle_words: int = SHINGLE_WORDS,
     per_cent: int = SIMILARITY,
+    row_key: str | None = None,
 ) -> DataFrame:
     """n_shingles, component_id and kept of every document.
 
@@ -324,7 +329,8 @@ def find_groups(
 
     Repeated rows, and ties of equal sets, are one class. A row without an id belongs to its
     group but cannot name it; a group of none but such rows has no component_id, and they are
-    kept. An empty table gives no rows. Only the two named columns are read.
+    kept. An empty table gives no rows. Only the two named columns are read. `row_key` names one more
+    column to return, row_key_of(id_column, text_column), by which rows can be found again.
     """
     rows = pin(sketch(docs, id_column, text_column, shingle_words))
     classes = rows.filter("__node IS NOT NULL").groupBy("__node").agg(
@@ -354,4 +360,5 @@ def find_groups(
     component = F.when(F.col("__group").isNull(), F.col("__id")).otherwise(F.col("__least"))
     return named.select(
         F.col("__id").alias(id_column), F.col("__n").alias("n_shingles"),
-        component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"))
+        component.alias("component_id"), F.col("__id").eqNullSafe(component).alias("kept"),
+        *([F.col("__row").alias(row_key)] if row_key else []))
