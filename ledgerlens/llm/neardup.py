@@ -279,28 +279,30 @@ def cross_links(placed: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """Links across the components of each bucket that has several of them.
 
     placed: (bucket, node, root). Every class outside its bucket's largest component is compared
-    with the whole bucket, on whole sets. Both sides are dealt into cells of bounded size, so
+    with the whole bucket (and others of that component), on whole sets. Both sides are dealt into cells of bounded size, so
     rows are (class, cell), never pairs; only links leave a cell.
     """
     sized = placed.join(
         sets.select(F.col("__node").alias("k"), "__n"), F.col("node") == F.col("k")).drop("k")
-    counts = sized.groupBy("bucket", "root").agg(
-        F.count(F.lit(1)).alias("c"), F.sum("__n").alias("w"))
+    counts = sized.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("w").alias("all"),
-        F.max(F.struct("c", "root", "w")).alias("m")).filter("parts > 1")
+        F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "root"))["root"].alias("main"))
+    # Buckets of one largest component hold much the same classes: each meets it once.
+    several = sized.join(main.filter("parts > 1"), "bucket").select(
+        "main", "node", "root", "__n").distinct()
     cells = lambda w: F.ceil(w / CELL_SHINGLES).cast("int")
-    main = main.select(
-        "bucket", F.col("m.root").alias("main"), cells(F.col("all")).alias("blocks"),
-        cells(F.col("all") - F.col("m.w")).alias("chunks"))
-    several = sized.join(main, "bucket")
+    weights = several.groupBy(F.col("main").alias("m")).agg(
+        cells(F.sum("__n")).alias("blocks"),
+        cells(F.sum(F.when(F.col("root") != F.col("main"), F.col("__n")))).alias("chunks"))
+    dealt = several.join(weights, F.col("main") == F.col("m")).select(
+        "main", "node", "root", "blocks", "chunks")
     deal = lambda n: F.pmod(F.xxhash64("node"), n)
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     shape = lambda df: df.select(
-        "bucket", F.col("block").cast("int"), F.col("chunk").cast("int"), "node", "root", "asks")
-    members = several.withColumns({"block": deal(F.col("blocks")), "asks": F.lit(False)})
+        "main", F.col("block").cast("int"), F.col("chunk").cast("int"), "node", "root", "asks")
+    members = dealt.withColumns({"block": deal(F.col("blocks")), "asks": F.lit(False)})
     members = members.withColumn("chunk", each(F.col("chunks")))
-    asking = several.filter("root <> main").withColumns(
+    asking = dealt.filter("root <> main").withColumns(
         {"chunk": deal(F.col("chunks")), "asks": F.lit(True)}).withColumn("block", each(F.col("blocks")))
     both = shape(members).union(shape(asking)).join(
         sets.select(F.col("__node").alias("k"), "__n", "__set"), F.col("node") == F.col("k")).drop("k")
@@ -309,7 +311,7 @@ def cross_links(placed: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     def work(cell):
         return to_table(compare_cell(cell, per_cent), pair)
 
-    return both.groupBy("bucket", "block", "chunk").applyInArrow(work, pair).distinct()
+    return both.groupBy("main", "block", "chunk").applyInArrow(work, pair).distinct()
 
 
 def find_groups(
