@@ -41,9 +41,9 @@ def main() -> None:
             start = time.time()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             took.append(time.time() - start)
+            spark.catalog.clearCache()  # a later run must not read what an earlier one kept
         seconds[name] = round(statistics.median(took[1:] or took), 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
-        spark.catalog.clearCache()
     print(json.dumps({
         "metric": "sum of median query times", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))

@@ -11,19 +11,33 @@ EPOCH_MILLIS_ABOVE = 10_000_000_000
 # White space in text: everything Unicode calls so, and the four separator controls (fixed value).
 SPACE = r"\s\x1c-\x1f"
 
+# Year, month and day, and a time of day or nothing (fixed value).
+DATE_TEXT = (
+    r"^\s*(\d{1,6}-\d{1,2}-\d{1,2})"
+    r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:[+-]\d{2}(?::?\d{2})?)?)?\s*\z")
+
 
 def try_date(text: Column) -> Column:
-    """Text to DATE: year-month-day with `-` or `/`; year-month alone is not a date."""
+    """Text to DATE: year-month-day with `-` or `/`, and a time of day or nothing after it."""
     iso = F.replace(text.cast("string"), F.lit("/"), F.lit("-"))
-    full = iso.rlike(r"^\s*\d{1,6}-\d{1,2}-\d{1,2}")
-    return F.when(full, iso.try_cast("date"))
+    day = F.regexp_extract(iso, DATE_TEXT, 1)
+    return F.when(day != "", day.try_cast("date"))
 
 
 def try_bigint(text: Column) -> Column:
-    """Text to BIGINT: whole numbers exactly, decimals and exponents rounded half away from zero."""
-    s = text.cast("string")
+    """Text to BIGINT: whole numbers exactly, decimals and exponents rounded half away from zero.
+
+    Single underscores between digits are skipped, and 0x and 0b begin other bases. Only ASCII
+    digits count.
+    """
+    s = F.when(text.cast("string").rlike(r"^[\x00-\x7f]*\z"), text.cast("string"))
+    s = F.regexp_replace(s, r"(?<=[0-9])_(?=[0-9])", "")
     rounded = F.round(s.try_cast("decimal(38,6)")).try_cast("bigint")
-    return F.coalesce(s.try_cast("bigint"), rounded)
+    number = F.coalesce(s.try_cast("bigint"), rounded)
+    for prefix, digit, base in (("0[xX]", "[0-9a-fA-F]{1,15}", 16), ("0[bB]", "[01]{1,62}", 2)):
+        other = F.regexp_extract(s, rf"^\s*{prefix}({digit})\s*\z", 1)
+        number = F.when(other != "", F.conv(other, base, 10).try_cast("bigint")).otherwise(number)
+    return number
 
 
 def double_to_bigint(x: Column) -> Column:

@@ -33,6 +33,15 @@ def best_per_key(
     return best.select(*keys, *[F.col("__best")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def last_writes(df: DataFrame, keys: Sequence[str], sequence: str | None = None) -> DataFrame:
+    """One row per key: the last by the sequence column, of equal ones the greatest by its values."""
+    rest = [F.col(f"`{f.name}`") for f in df.schema if f.name not in {*keys, sequence}
+            and "map<" not in f.dataType.simpleString()]
+    rank = [F.col(f"`{sequence}`")] if sequence else []
+    reduced = best_per_key(df, keys, [*rank, *rest] or [F.lit(0)])
+    return reduced.drop(sequence) if sequence else reduced
+
+
 def upsert(
     target: DataFrame,
     updates: DataFrame,
@@ -42,10 +51,9 @@ def upsert(
 ) -> DataFrame:
     """Insert or update by key (or only update); only columns present in the updates change.
 
-    With a sequence column, repeated keys in the updates are reduced to the last write first.
+    Repeated keys in the updates are reduced to the last write first; see last_writes.
     """
-    if sequence:
-        updates = best_per_key(updates, keys, [F.col(sequence)]).drop(sequence)
+    updates = last_writes(updates, keys, sequence)
     changed = [c for c in _columns(updates, keys) if c in target.columns]
     new = updates.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
@@ -65,8 +73,14 @@ def upsert(
     return merged.select(*out)
 
 
-def overlay(base: DataFrame, detail: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Columns of the detail row win where they are neither NULL nor empty; base rows all stay."""
+def overlay(
+    base: DataFrame, detail: DataFrame, keys: Sequence[str], sequence: str | None = None
+) -> DataFrame:
+    """Columns of the detail row win where they are neither NULL nor empty; base rows all stay.
+
+    Of several details of a key the last write counts; see last_writes.
+    """
+    detail = last_writes(detail, keys, sequence)
     shared = [c for c in _columns(detail, keys) if c in base.columns]
     extra = [c for c in _columns(detail, keys) if c not in base.columns]
     side = detail.select(
@@ -91,8 +105,8 @@ def lookup(
     """Left join to a table with one row per key, whatever the skew of the left keys.
 
     Keys with more than hot_rows rows (the largest MAX_HOT_KEYS of them) find their row by
-    broadcast. For the shuffle, rows with such a key or none get a random second key: they match
-    nothing there, and are spread over all tasks instead of meeting in one.
+    broadcast. For the shuffle, rows with such a key or none get a second key from a hash of their
+    values, the same on a rerun: they match nothing there, and do not meet in one task.
     """
     k, values = F.col(f"`{left_key}`"), _columns(right, [right_key])
     sizes = left.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -100,7 +114,9 @@ def lookup(
     hot = [r["k"] for r in large.orderBy(F.desc("n")).limit(MAX_HOT_KEYS).collect()]
 
     away = k.isNull() | k.isin(hot) if hot else k.isNull()
-    salted = left.withColumn("__salt", F.when(away, F.floor(F.rand() * SALTS) + 1).otherwise(0))
+    hashable = [F.col(f"`{f.name}`") for f in left.schema if "map<" not in f.dataType.simpleString()]
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(SALTS)) + 1
+    salted = left.withColumn("__salt", F.when(away, spread).otherwise(0))
     # Always 0, but not a constant to the optimizer: that would drop it from the shuffle keys.
     side = right.withColumn("__zero", F.pmod(F.xxhash64(F.col(f"`{right_key}`")), F.lit(1)))
     joined = salted.join(

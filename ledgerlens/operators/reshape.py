@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import BROADCAST_ROWS
 
-# Most pivot headers, and most calendar dates that may go into a plan as constants.
+# Most pivot headers that may go into a plan as constants.
 MAX_HEADERS = 1_000
-MAX_CALENDAR = 10_000
 # Lists of ids are packed into parts of about this many, so that no group is gathered whole.
 LIST_PART_SIZE = 1_000
 
@@ -73,22 +72,6 @@ def expand_months(
     return rows.join(F.broadcast(calendar) if size <= BROADCAST_ROWS else calendar, date)
 
 
-def expand_by_calendar(
-    df: DataFrame, start: Column, end: Column, calendar: DataFrame, date: str
-) -> DataFrame:
-    """The same rows for a calendar of any dates, as long as it is counted to be small.
-
-    Its dates go into the plan as one sorted array that every row filters, so nothing is joined.
-    """
-    few = calendar.select(date).filter(F.col(date).isNotNull()).limit(MAX_CALENDAR + 1).collect()
-    if len(few) > MAX_CALENDAR:
-        raise ValueError(f"calendar has more than {MAX_CALENDAR} dates; use expand_months")
-    dates = F.lit(",".join(sorted(r[0].isoformat() for r in few)))
-    days = F.when(dates != "", F.split(dates, ",").cast("array<date>"))
-    inside = F.filter(days, lambda d: (d >= start) & (d <= end))
-    return df.select("*", F.explode(inside).alias(date))
-
-
 def few_values(df: DataFrame, column: str) -> list:
     """Sorted distinct values that become column headers; too many of them is an error."""
     distinct = df.select(column).distinct().limit(MAX_HEADERS + 1).collect()

@@ -191,9 +191,15 @@ def build_card(df: DataFrame, spec: CardSpec, headers: Sequence | None = None) -
         return hits.agg(value.alias("value"))
     groups = hits.groupBy(spec.row)
     if spec.pivot:
+        # Rows without a pivot value have a column of their own, named null as Spark names it.
+        named = F.coalesce(F.col(f"`{spec.pivot}`").cast("string"), F.lit("null"))
         if headers is None:
             headers = few_values(hits, spec.pivot)
-        out = groups.pivot(spec.pivot, list(headers)).agg(value).orderBy(spec.row)
+            if not hits.filter(F.col(f"`{spec.pivot}`").isNull()).isEmpty():
+                headers = [*headers, "null"]
+        labels = hits.sparkSession.range(1).select(*[F.lit(h).cast("string") for h in headers]).first()
+        out = hits.withColumn("__pivot", named).groupBy(spec.row).pivot(
+            "__pivot", list(labels)).agg(value).orderBy(spec.row)
     else:
         out = groups.agg(value.alias("value"))
         first = F.col("value").asc_nulls_last() if spec.sort.upper() == "ASC" else F.desc_nulls_last("value")

@@ -31,7 +31,7 @@ HEADERS = {
         "structure_hash": "構造ハッシュ", "url": "URL",
     },
     "vi": {
-        "bm_id": "BM ID", "bm_name": "Tên BM", "legacy_id": "Legacy ID",
+        "bm_id": "BM ID", "bm_name": "Tên Beast Mode", "legacy_id": "Legacy ID",
         "group_number": "Nhóm số", "group_label": "Nhãn nhóm", "owner_name": "Người tạo",
         "active_cards_count": "Số Card đang dùng", "total_views": "Tổng lượt xem",
         "referenced_by_count": "Số BM tham chiếu", "dataset_names": "Tên Dataset",
@@ -252,9 +252,12 @@ def group_listing(
 
 
 def search_formulas(analysis: DataFrame, formulas: DataFrame, text: str, limit: int = 50) -> DataFrame:
-    """Digits search the id, anything else the name; a blank search finds nothing."""
+    """Digits search the id, anything else the name; a blank search finds nothing.
+
+    Digits of other scripts and numbers beyond 64 bits name no id, so they search the name.
+    """
     text = text.strip()
-    if text.isdigit():
+    if text.isascii() and text.isdecimal() and int(text) < 1 << 63:
         hit = F.col("bm_id") == int(text)
     else:
         hit = contains_ci(F.col("bm_name"), text) if text else F.lit(False)

@@ -15,7 +15,9 @@ from ledgerlens.functions.predicates import (
     failed_by_word, severity, severity_exact, where_all,
 )
 from ledgerlens.operators.aggregates import distinct_values, state_counts
-from ledgerlens.operators.merging import best_per_key, first_wins, overlay, propagate_last
+from ledgerlens.operators.merging import (
+    best_per_key, first_wins, last_writes, overlay, propagate_last,
+)
 from ledgerlens.operators.ordering import top, window_of_rows
 from ledgerlens.sources.sinks import append_table
 
@@ -120,11 +122,11 @@ def merge_schedule(base: DataFrame, detail: DataFrame, streams: DataFrame) -> Da
 
     The state of the stream's last execution wins over the status of the details.
     """
-    d = detail.select(
+    d = last_writes(detail, ["id"]).select(
         "id", F.col("row_count").alias("__rows"), F.col("card_count").alias("__cards"),
         F.col("status").alias("__status"), blank_to_null(F.col("stream_id")).alias("__stream"),
     )
-    s = stream_detail(streams).select(
+    s = last_writes(stream_detail(streams), ["stream_id"]).select(
         F.col("stream_id").cast("string").alias("__stream"), F.lit(True).alias("__found"),
         F.col("last_execution.state").alias("__state"), F.col("schedule_state").alias("__schedule"),
     )

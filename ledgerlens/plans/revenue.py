@@ -289,7 +289,7 @@ def conform_union(branches: list[DataFrame], projects: DataFrame, cfg: RevenueCo
 def route_cost(cost: Column) -> Column:
     """Digit-only cost as a number; text, blank and NULL costs have none."""
     clean = F.replace(F.coalesce(cost, F.lit("")), F.lit(","), F.lit(""))
-    return F.when(clean.rlike(r"^[0-9]+$"), clean.try_cast("bigint"))
+    return F.when(clean.rlike(r"^[0-9]+\z"), clean.try_cast("bigint"))
 
 
 def post_process(tasks: DataFrame, ref_date: dt.date) -> DataFrame:

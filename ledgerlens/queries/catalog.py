@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.formulas import complexity, with_fingerprints
 from ledgerlens.plans import formulas as fx
 from ledgerlens.queries.registry import Tables, query
-from ledgerlens.session import spread
+
 from ledgerlens.sources.payloads import payload_schema
 
 # ---- Text forms in SQL ----
@@ -25,7 +25,7 @@ HASHES = f"""CASE WHEN {STRIPPED} = '' THEN '' ELSE left(md5({STRIPPED}), 12) EN
 
 @query("q_fingerprints", f"SELECT doc_id, {HASHES} FROM documents")
 def document_fingerprints(t: Tables) -> DataFrame:
-    texts = spread(t.documents.select("doc_id", "text"))
+    texts = t.documents.select("doc_id", "text")
     return with_fingerprints(texts, "text").drop("text")
 
 
@@ -135,7 +135,7 @@ def catalog(t: Tables) -> dict[str, DataFrame]:
     rare = (F.col("l_quantity") == 1) & (F.col("l_discount") > 0.08)
     seen = F.when(F.col("o_orderpriority") != "1-URGENT", F.floor(F.col("o_totalprice") / 50000))
     return {
-        "formulas": spread(t.documents.select("doc_id", "text", "lang", "source")).select(
+        "formulas": t.documents.select("doc_id", "text", "lang", "source").select(
             F.col("doc_id").alias("id"), F.concat("lang", F.lit(" "), "source").alias("name"),
             F.col("text").alias("expression"), (F.col("doc_id") % 30).alias("owner_id"),
             F.to_json(F.array("source")).alias("datasources"), F.col("lang").alias("legacy_id")),
@@ -282,7 +282,7 @@ def catalog_ingest(t: Tables) -> DataFrame:
         _line_id().alias("id"), F.concat(F.lit("order "), "l_orderkey").alias("name"),
         F.col("l_suppkey").alias("owner"),
         F.array(link(kind, "l_partkey"), link(F.lit("DATA_SOURCE"), "l_suppkey")).alias("links")))
-    rows = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
     parsed = rows.select(F.from_json(payload, payload_schema("formula_search")).alias("r"))
     return fx.formula_table(parsed.select("r.*"))
 
@@ -300,7 +300,7 @@ def _line_id():
 """)
 def prune_refs(t: Tables) -> DataFrame:
     last = F.when(F.col("l_quantity") < 10, "R").otherwise("Q")
-    rows = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
     flags = rows.select(_line_id().alias("urn"), F.array("l_returnflag", "l_linestatus", last).alias("ids"))
     refs = F.transform("ids", lambda x: F.struct(x.alias("formulaId")))
     subscription = F.struct(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.plans import monitor
 from ledgerlens.queries.registry import NOW, Tables, query
-from ledgerlens.session import spread
+
 from ledgerlens.sources.payloads import payload_schema
 
 # Words the event types stand for.
@@ -313,7 +313,7 @@ def nested_records(t: Tables) -> DataFrame:
         F.when(F.col("l_partkey") % 2 == 0, True).alias("failed"),
         F.col("l_partkey").alias("beginTime"), (F.col("l_partkey") * 2).alias("endTime"),
         F.array("l_linestatus", "l_returnflag").alias("inputDataSources"), errors.alias("errors")))
-    rows = spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "l_returnflag"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "l_returnflag")
     runs = rows.select(F.from_json(payload, payload_schema("execution")).alias("r")).select("r.*")
     return monitor.execution_history(runs).select(
         "dataflowId", "id", "failed", F.col("duration_seconds").cast("double").alias("duration_seconds"),

@@ -69,9 +69,9 @@ ORDERS_DATED = """(SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
 
 
 def period_sql(date: str, ref: dt.date = REF_DATE) -> str:
-    """The half-year label in SQL."""
-    idx = f"floor((year({date}) - 2024) * 2 + ((month({date}) - 1) / 6.0))"
-    now = (ref.year - 2024) * 2 + (ref.month - 1) // 6
-    return f"""CASE WHEN {date} IS NULL THEN '請求日未入力' WHEN {idx} = {now} THEN '今期'
-        WHEN {idx} = {now - 1} THEN '前期'
-        ELSE concat(CAST(CAST({idx} + 36 AS DOUBLE) AS VARCHAR), '期') END"""
+    """The half-year label in SQL: twice the years, and one more from July on."""
+    half = f"(2 * year({date}) + CASE WHEN month({date}) > 6 THEN 1 ELSE 0 END)"
+    now = 2 * ref.year + (1 if ref.month > 6 else 0)
+    return f"""CASE WHEN {date} IS NULL THEN '請求日未入力' WHEN {half} = {now} THEN '今期'
+        WHEN {half} = {now - 1} THEN '前期'
+        ELSE CAST({half} - {2 * 2024 - 36} AS VARCHAR) || '.0期' END"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from ledgerlens.operators.aggregates import child_counts, count_by, distinct_val
 from ledgerlens.queries.registry import (
     ORDERS_DATED, REF_DATE, Tables, orders_dated, period_sql, query,
 )
-from ledgerlens.session import broadcast_if_small, scratch_path, spread
-from ledgerlens.sources.files import read_csv_named
+from ledgerlens.session import broadcast_if_small, scratch_path
+from ledgerlens.sources.files import read_csv, read_csv_named, text_schema
 from ledgerlens.sources.sinks import read_snapshot, replace_table, write_csv, write_snapshot
 
 
@@ -22,12 +24,11 @@ from ledgerlens.sources.sinks import read_snapshot, replace_table, write_csv, wr
 
 @query("q_left_join_dim", """
     SELECT c_custkey, c_name, n_name FROM customer
-    LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) n ON c_nationkey = n_nationkey
+    LEFT JOIN nation n ON c_nationkey + 10 = n_nationkey
 """)
 def left_join_dim(t: Tables) -> DataFrame:
-    nations = t.nation.filter("n_regionkey < 3")
-    joined = t.customer.join(
-        broadcast_if_small(nations), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    # Shifted keys, so that some customers have no nation.
+    joined = t.customer.join(t.nation, F.col("c_nationkey") + 10 == F.col("n_nationkey"), "left")
     return joined.select("c_custkey", "c_name", "n_name")
 
 
@@ -53,7 +54,7 @@ def _subscriptions(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query("q_expand_months", EXPAND_SQL)
 def expand_months(t: Tables) -> DataFrame:
     subs, months = _subscriptions(t)
-    rows = reshape.expand_by_calendar(subs, F.col("s"), F.col("e"), months, "month_first")
+    rows = reshape.expand_months(subs.select("e", "s", "o_orderkey"), F.col("s"), F.col("e"), months, "month_first")
     return rows.select("o_orderkey", "month_first")
 
 
@@ -140,7 +141,9 @@ def overlay_detail(t: Tables) -> DataFrame:
         F.col("s_suppkey").alias("id"),
         F.when(F.col("s_nationkey") < 10, "").otherwise(F.col("s_name")).alias("name"),
         F.when(F.col("s_nationkey") < 18, F.col("s_acctbal")).alias("balance"))
-    return merging.overlay(base, detail, ["id"])
+    # A lesser row of every key, which must not count nor double the base row.
+    lesser = detail.withColumns({"name": F.lit(None).cast("string"), "balance": F.lit(None).cast("double")})
+    return merging.overlay(base, lesser.unionByName(detail), ["id"])
 
 
 @query("q_first_wins_merge", """
@@ -387,14 +390,49 @@ def extract_refs(t: Tables) -> DataFrame:
     text = F.format_string(
         "CASE WHEN FORMULA_REF(%d) > 0 THEN FORMULA_REF(%d) ELSE formula_ref(1) + FORMULA_REF(x) END",
         "l_partkey", "l_suppkey")
-    rows = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey"))
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey")
     formulas = rows.select("l_orderkey", text.alias("expression"))
     return reshape.edges(
         formulas, "l_orderkey", referenced_ids(F.col("expression")), "bm_id", "depends_on_bm_id")
 
 
+@query("q_upsert_repeated", UPSERT_SQL)
+def upsert_repeated(t: Tables) -> DataFrame:
+    """Repeated keys without a sequence: the greatest row counts."""
+    target, updates = _upserted(t)
+    updates = updates.withColumn("c_name", F.when(F.col("seq") == 1, "A").otherwise(F.col("c_name")))
+    return merging.upsert(target, updates.drop("seq"), ["c_custkey"])
+
+
 # ---- sources and sinks ----
 
+@query("q_csv_malformed", """
+    SELECT setting, selection, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders,
+        (VALUES ('lines'), ('multi')) s(setting), (VALUES ('all'), ('one'), ('count')) c(selection)
+    WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 GROUP BY setting, selection
+""")
+def csv_malformed(t: Tables) -> DataFrame:
+    """Rows too short or too long are skipped, whatever the setting and the columns selected."""
+    path = scratch_path(t.spark, "orders")
+    key = F.col("o_orderkey").cast("string")
+    line = F.when(F.col("o_orderkey") % 7 == 0, key).when(
+        F.col("o_orderkey") % 11 == 0, F.concat(key, F.lit(",F,more"))).otherwise(
+        F.concat_ws(",", key, "o_orderstatus"))
+    # A tab as separator leaves the commas, also of the header, as they are.
+    lines = t.orders.select(line.alias("o_orderkey,o_orderstatus"))
+    lines.write.option("header", True).option("sep", "\t").csv(path)
+    out = []
+    for setting, multi_line in (("lines", False), ("multi", True)):
+        df = read_csv(t.spark, path, text_schema(["o_orderkey", "o_orderstatus"]), multi_line)
+        total = F.sum(F.col("o_orderkey").cast("bigint")).alias("total")
+        whole = df.agg(F.count("o_orderstatus").alias("n"), total)
+        one = df.select("o_orderkey").agg(F.count("o_orderkey").alias("n"), total)
+        count = df.agg(F.count(F.lit(1)).alias("n")).crossJoin(one.select("total"))
+        for selection, found in (("all", whole), ("one", one), ("count", count)):
+            out.append(found.select(F.lit(setting).alias("setting"), F.lit(selection).alias("selection"), "n", "total"))
+    return functools.reduce(DataFrame.union, out)
+
+
 @query("q_csv_roundtrip", """
     SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || '、"引用"' || chr(10) || '改行' AS n_name FROM nation
 """)
@@ -408,7 +446,7 @@ def csv_roundtrip(t: Tables) -> DataFrame:
 @query("q_parquet_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def parquet_roundtrip(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "nation")
-    replace_table(t.nation.limit(1), path)
+    replace_table(t.region, path)
     replace_table(t.nation, path)
     return t.spark.read.parquet(path)
 

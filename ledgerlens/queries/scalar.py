@@ -109,13 +109,14 @@ DATE_TEXT = """CASE o_orderpriority
     WHEN '3-MEDIUM' THEN left(CAST(d AS STRING), 7)
     WHEN '4-NOT SPECIFIED' THEN CAST(year(d) AS STRING) || '-' || CAST(month(d) AS STRING) || '-' || CAST(day(d) AS STRING)
     ELSE CASE o_orderstatus WHEN 'F' THEN CAST(d AS STRING) || ' 10:20:30'
-        WHEN 'O' THEN CAST(year(d) AS STRING) || '-13-01' ELSE '未定' END END"""
+        WHEN 'O' THEN CAST(year(d) AS STRING) || '-13-01' ELSE CAST(d AS STRING) || ' abc' END END"""
 NUMBER_TEXT = """CASE o_orderstatus
     WHEN 'F' THEN CAST(cents AS STRING)
     WHEN 'O' THEN left(CAST(cents AS STRING), length(CAST(cents AS STRING)) - 1) || '.' || right(CAST(cents AS STRING), 1)
     ELSE CASE o_orderpriority WHEN '1-URGENT' THEN '-' || left(CAST(cents AS STRING), 2) || '.5'
         WHEN '2-HIGH' THEN right(CAST(cents AS STRING), 1) || 'e3' WHEN '3-MEDIUM' THEN ' ' || CAST(cents AS STRING) || ' '
-        WHEN '4-NOT SPECIFIED' THEN '' ELSE CAST(cents AS STRING) || '円' END END"""
+        WHEN '4-NOT SPECIFIED' THEN '' ELSE CASE o_orderkey % 5 WHEN 0 THEN '１２' WHEN 1 THEN '1_000'
+        WHEN 2 THEN '0x1F' WHEN 3 THEN '0b11' ELSE CAST(cents AS STRING) || '円' END END END"""
 
 
 @query("q_try_casts", f"""
@@ -138,10 +139,12 @@ MONTH_TEXT = """CASE o_orderstatus
 
 
 @query("q_parse_year_month", f"""
-    SELECT o_orderkey, txt, CAST(TRY_CAST(concat(left(dg, 4), '-', right(dg, 2), '-01') AS DATE) AS VARCHAR) AS month_first
+    SELECT o_orderkey, txt, CASE WHEN mo BETWEEN 1 AND 12 THEN CAST(make_date(yr, mo, 1) AS VARCHAR) END AS month_first
     FROM (SELECT *, regexp_replace(txt, '[^0-9]', '', 'g') AS dg
+              , TRY_CAST(substr(regexp_replace(txt, '[^0-9]', '', 'g'), 1, 4) AS BIGINT) AS yr,
+              TRY_CAST(regexp_replace(txt, '[^0-9]', '', 'g') AS BIGINT) % 100 AS mo
           FROM (SELECT o_orderkey, {MONTH_TEXT} AS txt FROM {ORDERS_DATED} o))
-    WHERE dg <> ''
+    WHERE length(dg) > 0
 """)
 def parse_year_month(t: Tables) -> DataFrame:
     texts = orders_dated(t).selectExpr("o_orderkey", f"{MONTH_TEXT} AS txt")

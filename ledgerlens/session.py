@@ -68,13 +68,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan with fewer splits than cores over all cores, before costly work per row.
-
-    One quoted CSV or one Parquet row group is a single split, however large. A table with enough
-    splits, as any large one has, is left as it is. Meant for scans: the plan has no shuffle yet.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

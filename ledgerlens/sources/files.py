@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from ledgerlens.session import spread
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -21,7 +20,7 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = True
 ) -> DataFrame:
-    """CSV with a header row; malformed rows are skipped.
+    """CSV with a header row; malformed rows are skipped, whichever columns a query selects.
 
     Quoted line breaks make a file unsplittable, so pass multi_line=False for large plain files.
     """
@@ -30,6 +29,8 @@ def read_csv(
         .option("header", True)
         .option("mode", "DROPMALFORMED")
         .option("multiLine", multi_line)
+        # A pruned scan would not notice that a row is broken in the columns it skips.
+        .option("columnPruning", False)
         .option("encoding", "UTF-8")
         .option("escape", '"')
         .csv(path)
@@ -71,7 +72,7 @@ def load_inputs(
         if name not in files:
             raise ValueError(f"no file configured for input table '{name}'")
         try:
-            df = spread(read_csv_named(spark, os.path.join(folder, files[name]), wanted, multi_line))
+            df = read_csv_named(spark, os.path.join(folder, files[name]), wanted, multi_line)
         except AnalysisException as e:
             raise FileNotFoundError(f"input table '{name}': cannot read {files[name]}") from e
         df.createOrReplaceTempView(name)

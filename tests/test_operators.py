@@ -26,7 +26,7 @@ def test_unpivot_numbered_keeps_null(spark):
     assert rows(reshape.unpivot_numbered(df, ["1月", "2月"], "m", "v")) == [("2024", 1, 5), ("2024", 2, None)]
 
 
-def test_month_expansion_both_ways(spark):
+def test_month_expansion(spark):
     day = lambda m: dt.date(2024, m, 1)
     spans = spark.createDataFrame([
         ("inside", day(2), day(4)), ("single", day(3), day(3)), ("reversed", day(5), day(2)),
@@ -36,15 +36,10 @@ def test_month_expansion_both_ways(spark):
     calendar = spark.createDataFrame([(day(m),) for m in (1, 2, 3, 4, 6)] + [(day(3),), (None,)], "d date")
     args = (spans, F.col("s"), F.col("e"), calendar, "d")
     got = rows(reshape.expand_months(*args).select("k", "d"))
-    assert got == rows(reshape.expand_by_calendar(*args).select("k", "d"))
     assert got == sorted([("inside", day(2)), ("inside", day(3)), ("inside", day(3)), ("inside", day(4)),
                           ("single", day(3)), ("single", day(3)), ("early", day(1)), ("late", day(6))], key=repr)
     empty = calendar.filter("d > '2050-01-01'")
     assert reshape.expand_months(spans, F.col("s"), F.col("e"), empty, "d").count() == 0
-    assert reshape.expand_by_calendar(spans, F.col("s"), F.col("e"), empty, "d").count() == 0
-    days = spark.range(20_000).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
-    with pytest.raises(ValueError, match="10000"):
-        reshape.expand_by_calendar(spans, F.col("s"), F.col("e"), days, "d")
 
 
 def test_pivot_cells_sum_to_the_base(spark):
@@ -159,3 +154,43 @@ def test_filter_values_cut_off_counts_blank_but_not_null(spark):
     got = aggregates.filter_values(df, ["three", "two", "absent"], max_distinct=2)
     assert rows(got) == [("two", "p", 2), ("two", "q", 1)]
     assert rows(aggregates.filter_values(df, ["three"], 3)) == [("three", "a", 1), ("three", "b", 1)]
+
+
+def test_repeated_updates_without_a_sequence_give_one_row(spark):
+    target = spark.createDataFrame([(1, "a")], "id int, v string")
+    updates = spark.createDataFrame([(1, "b"), (1, "c"), (2, "d"), (2, "d")], "id int, v string")
+    assert rows(merging.upsert(target, updates, ["id"])) == [(1, "c"), (2, "d")]
+    assert rows(merging.overlay(target, updates, ["id"])) == [(1, "c")]
+
+
+def test_broken_csv_rows_stay_away_from_every_selection(spark, tmp_path):
+    from ledgerlens.sources.files import read_csv, read_csv_named, text_schema
+
+    (tmp_path / "x.csv").write_text("id,name\n1,a\n2\n3,c,more\n4,d\n")
+    for multi_line in (True, False):
+        df = read_csv(spark, str(tmp_path / "x.csv"), text_schema(["id", "name"]), multi_line)
+        assert rows(df) == [("1", "a"), ("4", "d")]
+        assert rows(df.select("id")) == [("1",), ("4",)] and df.count() == 2
+        named = read_csv_named(spark, str(tmp_path / "x.csv"), ["name"], multi_line)
+        assert rows(named) == [("a",), ("d",)]
+
+
+def test_pivot_keeps_rows_without_a_header(spark):
+    from ledgerlens.plans.cards import CardSpec, build_card
+
+    df = spark.createDataFrame([("a", "x", 1), ("a", None, 5), ("b", None, 7)], "r string, p string, v int")
+    card = build_card(df, CardSpec(row="r", value="v", pivot="p"))
+    assert card.columns == ["r", "x", "null"]
+    assert rows(card) == [("a", 1, 5), ("b", None, 7)]
+
+
+def test_casts_follow_the_whole_text(spark):
+    from ledgerlens.functions import casts
+    from ledgerlens.plans.revenue import route_cost
+
+    texts = ["2024-01-01 abc", "2024-01-01 10:20", "１２", "1_000", "0x10", "0b11", "123\n", "1_0.5"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        casts.try_date(F.col("t")).cast("string"), casts.try_bigint(F.col("t")), route_cost(F.col("t")))
+    assert [tuple(r) for r in df.collect()] == [
+        (None, None, None), ("2024-01-01", None, None), (None, None, None), (None, 1000, None),
+        (None, 16, None), (None, 3, None), (None, 123, None), (None, 11, None)]
