@@ -11,8 +11,6 @@ from ledgerlens.session import BROADCAST_ROWS
 
 # Most pivot headers that may go into a plan as constants.
 MAX_HEADERS = 1_000
-# Lists of ids are packed into parts of about this many, so that no group is gathered whole.
-LIST_PART_SIZE = 1_000
 
 
 def unpivot_pairs(
@@ -112,28 +110,3 @@ def edges(df: DataFrame, key: str, targets: Column, source_name: str, target_nam
     return df.select(
         F.col(key).alias(source_name), F.explode(targets).alias(target_name)
     ).distinct()
-
-
-def packed_lists(
-    df: DataFrame, keys: Sequence[str], item: str, out: str, part_size: int = LIST_PART_SIZE
-) -> DataFrame:
-    """Sorted lists of items per key with their total number, in parts of about part_size items.
-
-    Most keys have one part, number 0. The largest keys are spread over many parts by a hash of the
-    item; as these are at most BROADCAST_ROWS keys they are looked up by broadcast, so rows of a hot
-    key never meet in one task. Every item is in exactly one part.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    large = sizes.filter(F.col("__n") > part_size)
-    large = large.orderBy(F.desc("__n")).limit(BROADCAST_ROWS)
-    large = large.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__n")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    parted = df.select(*keys, item).join(F.broadcast(large), same, "left")
-    part = F.pmod(F.xxhash64(item), F.ceil(F.col("__n") / part_size)).cast("int")
-    lists = parted.groupBy(*keys, "__n", F.coalesce(part, F.lit(0)).alias("list_part")).agg(
-        F.sort_array(F.collect_list(item)).alias(out)
-    )
-    total = F.coalesce("__n", F.size(out).cast("bigint")).alias("cnt")
-    return lists.select(*keys, total, "list_part", out)

@@ -13,7 +13,7 @@ from ledgerlens.functions.formulas import (
 )
 from ledgerlens.functions.predicates import contains_ci
 from ledgerlens.operators.ordering import top, window_of_rows
-from ledgerlens.operators.reshape import edges, exploded_links, link_ids, packed_lists
+from ledgerlens.operators.reshape import edges, exploded_links, link_ids
 
 # ---- Fixed values: group labels, export headers, list lengths. ----
 LABELS = {
@@ -166,9 +166,8 @@ def classify_usage(
 
 
 def card_lists(cards_of: DataFrame) -> DataFrame:
-    """Active card ids per formula, packed; very long lists come in several parts."""
-    ids = cards_of.filter("is_active").select("bm_id", bare_card_id(F.col("card_id")).alias("card_id"))
-    return packed_lists(ids, ["bm_id"], "card_id", "card_ids")
+    """(formula, active card) rows; a list of any length, as no group is gathered anywhere."""
+    return cards_of.filter("is_active").select("bm_id", bare_card_id(F.col("card_id")).alias("card_id"))
 
 
 def duplicate_keys(df: DataFrame, key: str, k: int = MAX_DUPLICATE_GROUPS) -> DataFrame:
@@ -188,21 +187,14 @@ def duplicate_members(
     return df.select(key, id_col).join(keys, key).select(key, "cnt", id_col)
 
 
-def duplicate_groups(
-    df: DataFrame, key: str, id_col: str = "bm_id", k: int = MAX_DUPLICATE_GROUPS
-) -> DataFrame:
-    """The same groups as sorted id lists; a group beyond the part size has several rows."""
-    members = duplicate_members(df, key, id_col, k)
-    return packed_lists(members, [key], id_col, f"{id_col}s")
-
-
 def with_names(analysis: DataFrame, formulas: DataFrame) -> DataFrame:
     names = formulas.select(F.col("id").alias("bm_id"), F.col("name").alias("bm_name"))
     return analysis.join(names, "bm_id")
 
 
 def duplicate_names(analysis: DataFrame, formulas: DataFrame, k: int = MAX_DUPLICATE_GROUPS) -> DataFrame:
-    return duplicate_groups(with_names(analysis, formulas), "bm_name", "bm_id", k)
+    """(name, count, formula) rows of the k most repeated names."""
+    return duplicate_members(with_names(analysis, formulas), "bm_name", "bm_id", k)
 
 
 def dataset_cleanup_ranking(analysis: DataFrame, url_base: str = "", k: int = MAX_DATASETS) -> DataFrame:
@@ -227,13 +219,14 @@ def group_counts(analysis: DataFrame) -> DataFrame:
 
 
 def catalog_summary(analysis: DataFrame, formulas: DataFrame) -> dict[str, DataFrame]:
+    """Sections of the summary; duplicates are the repeated values with their numbers."""
     n = SUMMARY_DUPLICATES
     return {
         "groups": group_counts(analysis),
-        "duplicates_exact": duplicate_groups(analysis, "duplicate_hash", k=n),
-        "duplicates_normalized": duplicate_groups(analysis, "normalized_hash", k=n),
-        "duplicates_structure": duplicate_groups(analysis, "structure_hash", k=n),
-        "duplicates_names": duplicate_names(analysis, formulas, k=n),
+        "duplicates_exact": duplicate_keys(analysis, "duplicate_hash", n),
+        "duplicates_normalized": duplicate_keys(analysis, "normalized_hash", n),
+        "duplicates_structure": duplicate_keys(analysis, "structure_hash", n),
+        "duplicates_names": duplicate_keys(with_names(analysis, formulas), "bm_name", n),
         "top_dirty_datasets": dataset_cleanup_ranking(analysis, k=SUMMARY_DATASETS),
     }
 
@@ -274,21 +267,19 @@ def export_catalog(
     analysis: DataFrame, formulas: DataFrame, cards_of: DataFrame, lang: str = "vi",
     group: int = 0, card_url_base: str = "",
 ) -> DataFrame:
-    """Rows for the CSV export with translated headers and labels, card ids as links per line.
+    """Rows for the CSV export with translated headers and labels, one per formula and linked card.
 
-    A formula with a list of several parts has one row per part.
+    A formula without an active card has one row.
     """
     rows = analysis if group <= 0 else analysis.filter(F.col("group_number") == group)
     prefix = lambda x: F.concat(F.lit(card_url_base), x)
-    lists = card_lists(cards_of).select(
-        "bm_id", "list_part", F.array_join(F.transform("card_ids", prefix), "\n").alias("card_ids")
-    )
+    lists = card_lists(cards_of).select("bm_id", prefix(F.col("card_id")).alias("card_ids"))
     named = with_names(rows, formulas).join(lists, "bm_id", "left")
     labels = labelled(F.col("group_number"), lang)
     full = named.withColumns({
         "group_label": F.coalesce(labels, F.col("group_label")),
         "card_ids": F.coalesce("card_ids", F.lit("")),
-    }).orderBy("group_number", *_by_views(), F.col("list_part").asc_nulls_first())
+    }).orderBy("group_number", *_by_views(), "card_ids")
     return full.select(*[F.col(k).alias(v) for k, v in HEADERS[lang].items()])
 
 

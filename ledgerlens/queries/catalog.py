@@ -47,19 +47,16 @@ def _dup_sql(key: str, source: str, ident: str = "doc_id") -> str:
     WITH h AS (SELECT {ident} AS id, {key} AS k FROM {source}),
     g AS (SELECT k, count(*) AS cnt FROM h WHERE k <> '' GROUP BY k HAVING count(*) > 1
           ORDER BY cnt DESC, k LIMIT 100)
-    SELECT k, cnt, 0 AS list_part, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids
-    FROM h JOIN g USING (k) GROUP BY k, cnt"""
+    SELECT k, cnt, id FROM h JOIN g USING (k)"""
 
 
 HASHED = f"(SELECT doc_id, {HASHES} FROM documents)"
 
 
 def _groups(t: Tables, key: str) -> DataFrame:
-    # Read twice, once to count and once for the members: keep the digests, not the texts.
-    hashed = document_fingerprints(t).select("doc_id", key).persist()
-    groups = fx.duplicate_groups(hashed, key, "doc_id")
-    return groups.select(F.col(key).alias("k"), "cnt", "list_part",
-                         F.array_join("doc_ids", ",").alias("ids"))
+    hashed = document_fingerprints(t).select("doc_id", key)
+    groups = fx.duplicate_members(hashed, key, "doc_id")
+    return groups.select(F.col(key).alias("k"), "cnt", F.col("doc_id").alias("id"))
 
 
 @query("q_duplicates_exact", _dup_sql("duplicate_hash", HASHED))
@@ -83,7 +80,7 @@ def duplicates_structural(t: Tables) -> DataFrame:
     SELECT structure_hash, cnt, doc_id FROM {HASHED} JOIN g USING (structure_hash)
 """)
 def duplicate_members(t: Tables) -> DataFrame:
-    hashed = document_fingerprints(t).select("doc_id", "structure_hash").persist()
+    hashed = document_fingerprints(t).select("doc_id", "structure_hash")
     return fx.duplicate_members(hashed, "structure_hash", "doc_id")
 
 
@@ -91,16 +88,14 @@ def duplicate_members(t: Tables) -> DataFrame:
     WITH p AS (SELECT p_partkey, nullif(p_brand || ' ' || p_name, 'Brand#1 red plate') AS name FROM part),
     g AS (SELECT name, count(*) AS cnt FROM p WHERE name <> '' GROUP BY name HAVING count(*) > 1
           ORDER BY cnt DESC, name LIMIT 100)
-    SELECT name, cnt, 0 AS list_part, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids
-    FROM p JOIN g USING (name) GROUP BY name, cnt
+    SELECT name, cnt, p_partkey AS id FROM p JOIN g USING (name)
 """)
 def duplicate_names(t: Tables) -> DataFrame:
     name = F.nullif(F.concat("p_brand", F.lit(" "), "p_name"), F.lit("Brand#1 red plate"))
     catalog = t.part.select(F.col("p_partkey").alias("id"), name.alias("name"))
     analysis = t.part.select(F.col("p_partkey").alias("bm_id"))
     groups = fx.duplicate_names(analysis, catalog)
-    return groups.select(F.col("bm_name").alias("name"), "cnt", "list_part",
-                         F.array_join("bm_ids", ",").alias("ids"))
+    return groups.select(F.col("bm_name").alias("name"), "cnt", F.col("bm_id").alias("id"))
 
 
 # ---- The catalog: formulas, links, references, cards, owners ----
@@ -171,12 +166,10 @@ def group_counts(t: Tables) -> DataFrame:
 
 
 @query("q_card_lists", f"""
-    SELECT bm_id, count(*) AS cnt, 0 AS list_part,
-        string_agg(split_part(card_id, ':', 2), ',' ORDER BY split_part(card_id, ':', 2)) AS card_ids
-    FROM {LINKS} l WHERE is_active GROUP BY bm_id
+    SELECT bm_id, split_part(card_id, ':', 2) AS card_id FROM {LINKS} l WHERE is_active
 """)
 def card_lists(t: Tables) -> DataFrame:
-    return fx.card_lists(catalog(t)["cards_of"]).withColumn("card_ids", F.array_join("card_ids", ","))
+    return fx.card_lists(catalog(t)["cards_of"])
 
 
 @query("q_cleanup_ranking", f"""
@@ -226,17 +219,17 @@ def with_card(t: Tables) -> DataFrame:
 @query("q_export_labels", f"""
     SELECT bm_id AS "BM ID", bm_name AS "BM名", legacy AS "Legacy ID", group_number AS "グループ番号", {LABEL_JA} AS "グループラベル",
         owner_name AS "オーナー", n AS "使用カード数", views AS "合計閲覧数", refs AS "参照数", ds AS "データセット名",
-        coalesce((SELECT string_agg('{CARD_URL}' || split_part(card_id, ':', 2), chr(10) ORDER BY split_part(card_id, ':', 2))
-            FROM {LINKS} l WHERE is_active AND l.bm_id = a.bm_id), '') AS "リンクカード",
+        coalesce('{CARD_URL}' || split_part(c.card_id, ':', 2), '') AS "リンクカード",
         CAST(least(length(text) // 100, 5) + len(regexp_extract_all(text, '(?i)CASE\\s+WHEN')) AS INTEGER) AS "複雑度スコア",
         {HASHES.replace('duplicate_hash', '"重複ハッシュ"').replace('normalized_hash', '"正規化ハッシュ"').replace('structure_hash', '"構造ハッシュ"')},
         '{URL}' || bm_id AS "URL"
-    FROM {ANALYSIS} a WHERE group_number = 3
+    FROM {ANALYSIS} a LEFT JOIN (SELECT bm_id AS linked, card_id FROM {LINKS} l WHERE is_active) c ON linked = bm_id
+    WHERE group_number = 3
 """)
 def export_labels(t: Tables) -> DataFrame:
     parts = catalog(t)
     return fx.export_catalog(
-        analysed(t, parts).persist(), parts["formulas"], parts["cards_of"], "ja", group=3, card_url_base=CARD_URL)
+        analysed(t, parts), parts["formulas"], parts["cards_of"], "ja", group=3, card_url_base=CARD_URL)
 
 
 @query("q_catalog_summary", f"""
@@ -245,18 +238,22 @@ def export_labels(t: Tables) -> DataFrame:
         GROUP BY ds ORDER BY count(*) FILTER (group_number = 1) DESC, ds LIMIT 10)
     UNION ALL SELECT * FROM (SELECT 'duplicates_names', bm_name, count(*) FROM {ANALYSIS} a
         GROUP BY bm_name HAVING count(*) > 1 ORDER BY count(*) DESC, bm_name LIMIT 20)
-    UNION ALL SELECT * FROM (SELECT 'duplicates_exact', duplicate_hash, count(*) FROM {HASHED} h WHERE duplicate_hash <> ''
-        GROUP BY 2 HAVING count(*) > 1 ORDER BY count(*) DESC, 2 LIMIT 20)
-""")
+""" + "".join(f"""
+    UNION ALL SELECT * FROM (SELECT '{section}', {key}, count(*) FROM {HASHED} h WHERE {key} <> ''
+        GROUP BY 2 HAVING count(*) > 1 ORDER BY count(*) DESC, 2 LIMIT 20)""" for section, key in (
+    ("duplicates_exact", "duplicate_hash"), ("duplicates_normalized", "normalized_hash"),
+    ("duplicates_structure", "structure_hash"))))
 def catalog_summary(t: Tables) -> DataFrame:
     parts = catalog(t)
-    s = fx.catalog_summary(analysed(t, parts).persist(), parts["formulas"])
+    s = fx.catalog_summary(analysed(t, parts), parts["formulas"])
     shape = lambda name, key, n: s[name].select(
         F.lit(name).alias("section"), F.col(key).cast("string").alias("key"), F.col(n).alias("n"))
     return (shape("groups", "group_number", "count")
             .unionByName(shape("top_dirty_datasets", "dataset_id", "total"))
             .unionByName(shape("duplicates_names", "bm_name", "cnt"))
-            .unionByName(shape("duplicates_exact", "duplicate_hash", "cnt")))
+            .unionByName(shape("duplicates_exact", "duplicate_hash", "cnt"))
+            .unionByName(shape("duplicates_normalized", "normalized_hash", "cnt"))
+            .unionByName(shape("duplicates_structure", "structure_hash", "cnt")))
 
 
 @query("q_missing_expressions", """

@@ -48,17 +48,6 @@ def test_pivot_cells_sum_to_the_base(spark):
     assert years == [2024, 2025] and rows(wide) == [(1, 5, 7), (2, 0, 1)]
 
 
-def test_packed_lists_split_hot_keys_and_lose_nothing(spark):
-    df = spark.range(2500).select(F.when(F.col("id") < 2400, "hot").otherwise("cold").alias("k"), "id")
-    parts = reshape.packed_lists(df, ["k"], "id", "ids", part_size=100).collect()
-    for k, n in (("hot", 2400), ("cold", 100)):
-        mine = [r for r in parts if r["k"] == k]
-        assert sorted(x for r in mine for x in r["ids"]) == [i for i in range(2500) if (i < 2400) == (k == "hot")]
-        assert {r["cnt"] for r in mine} == {n}
-    assert len([r for r in parts if r["k"] == "cold"]) == 1
-    assert max(len(r["ids"]) for r in parts) < 200
-
-
 def test_links_and_edges(spark):
     schema = "id int, links array<struct<active: boolean, resource: struct<type: string, id: string>>>"
     df = spark.createDataFrame([(1, [(True, ("CARD", "c1")), (False, ("CARD", "c2")), (None, ("DATA_SOURCE", "d"))]),
