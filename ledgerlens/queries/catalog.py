@@ -104,8 +104,8 @@ FORMULAS = """(SELECT doc_id AS id, lang || ' ' || source AS name, text AS expre
     doc_id % 30 AS owner_id, source AS ds, lang AS legacy FROM documents)"""
 LINKS = """(SELECT l_partkey AS bm_id, 'dr:' || CAST(l_orderkey AS VARCHAR) || ':x' AS card_id,
     bool_or(l_quantity > 48 AND l_returnflag = 'N') AS is_active FROM lineitem GROUP BY 1, 2)"""
-REFS = """(SELECT DISTINCT l_suppkey AS bm_id, l_partkey AS depends_on_bm_id FROM lineitem
-    WHERE l_quantity = 1 AND l_discount > 0.08)"""
+# Every third formula is referred to, so that others stay without references.
+REFS = "(SELECT DISTINCT l_suppkey AS bm_id, 3 * (l_partkey // 3) AS depends_on_bm_id FROM lineitem)"
 CARDS = """(SELECT 'dr:' || CAST(o_orderkey AS VARCHAR) || ':x' AS id,
     CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(floor(o_totalprice / 50000) AS BIGINT) END AS view_count FROM orders)"""
 ANALYSIS = f"""(SELECT *, CASE WHEN n = 0 AND refs = 0 AND views = 0 THEN 1 WHEN n = 0 AND refs = 0 AND views > 0 THEN 2
@@ -127,7 +127,6 @@ CARD_URL = "https://bi.example/card/"
 def catalog(t: Tables) -> dict[str, DataFrame]:
     card = lambda key: F.concat(F.lit("dr:"), F.col(key).cast("string"), F.lit(":x"))
     busy = (F.col("l_quantity") > 48) & (F.col("l_returnflag") == "N")
-    rare = (F.col("l_quantity") == 1) & (F.col("l_discount") > 0.08)
     seen = F.when(F.col("o_orderpriority") != "1-URGENT", F.floor(F.col("o_totalprice") / 50000))
     return {
         "formulas": t.documents.select("doc_id", "text", "lang", "source").select(
@@ -136,8 +135,9 @@ def catalog(t: Tables) -> dict[str, DataFrame]:
             F.to_json(F.array("source")).alias("datasources"), F.col("lang").alias("legacy_id")),
         "cards_of": t.lineitem.groupBy(F.col("l_partkey").alias("bm_id"), card("l_orderkey").alias("card_id"))
         .agg(F.bool_or(busy).alias("is_active")),
-        "deps": t.lineitem.filter(rare).select(
-            F.col("l_suppkey").alias("bm_id"), F.col("l_partkey").alias("depends_on_bm_id")).distinct(),
+        "deps": t.lineitem.select(
+            F.col("l_suppkey").alias("bm_id"),
+            (F.col("l_partkey") - F.col("l_partkey") % 3).alias("depends_on_bm_id")).distinct(),
         "cards": t.orders.select(card("o_orderkey").alias("id"), seen.alias("view_count")),
         "owners": t.nation.select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name")),
     }
@@ -216,20 +216,38 @@ def with_card(t: Tables) -> DataFrame:
     return fx.with_card(analysed(t, parts), parts["cards_of"], "77").select("bm_id", "group_number")
 
 
-@query("q_export_labels", f"""
-    SELECT bm_id AS "BM ID", bm_name AS "BM名", legacy AS "Legacy ID", group_number AS "グループ番号", {LABEL_JA} AS "グループラベル",
-        owner_name AS "オーナー", n AS "使用カード数", views AS "合計閲覧数", refs AS "参照数", ds AS "データセット名",
-        coalesce('{CARD_URL}' || split_part(c.card_id, ':', 2), '') AS "リンクカード",
-        CAST(least(length(text) // 100, 5) + len(regexp_extract_all(text, '(?i)CASE\\s+WHEN')) AS INTEGER) AS "複雑度スコア",
-        {HASHES.replace('duplicate_hash', '"重複ハッシュ"').replace('normalized_hash', '"正規化ハッシュ"').replace('structure_hash', '"構造ハッシュ"')},
-        '{URL}' || bm_id AS "URL"
-    FROM {ANALYSIS} a LEFT JOIN (SELECT bm_id AS linked, card_id FROM {LINKS} l WHERE is_active) c ON linked = bm_id
-    WHERE group_number = 3
-""")
-def export_labels(t: Tables) -> DataFrame:
+EXPORT_JA = ["BM ID", "BM名", "Legacy ID", "グループ番号", "グループラベル", "オーナー", "使用カード数", "合計閲覧数",
+             "参照数", "データセット名", "リンクカード", "複雑度スコア", "重複ハッシュ", "正規化ハッシュ", "構造ハッシュ", "URL"]
+EXPORT_VI = ["BM ID", "Tên Beast Mode", "Legacy ID", "Nhóm số", "Nhãn nhóm", "Người tạo", "Số Card đang dùng",
+             "Tổng lượt xem", "Số BM tham chiếu", "Tên Dataset", "Link tới Card", "Độ phức tạp",
+             "Mã Hash Trùng Lặp", "Mã Hash Chuẩn Hóa", "Mã Hash Cấu Trúc", "Đường dẫn"]
+
+
+def _export_sql(headers: list[str], label: str, group: int) -> str:
+    score = r"CAST(least(length(text) // 100, 5) + len(regexp_extract_all(text, '(?i)CASE\s+WHEN')) AS INTEGER)"
+    cells = ["bm_id", "bm_name", "legacy", "group_number", label, "owner_name", "n", "views", "refs", "ds",
+             f"coalesce('{CARD_URL}' || split_part(c.card_id, ':', 2), '')", score,
+             "duplicate_hash", "normalized_hash", "structure_hash", f"'{URL}' || bm_id"]
+    return "SELECT " + ", ".join(f'{c} AS "{h}"' for c, h in zip(cells, headers)) + f"""
+    FROM (SELECT *, {HASHES} FROM {ANALYSIS} x) a
+    LEFT JOIN (SELECT bm_id AS linked, card_id FROM {LINKS} l WHERE is_active) c ON linked = bm_id
+    WHERE group_number = {group}"""
+
+
+def _exported(t: Tables, lang: str, group: int) -> DataFrame:
     parts = catalog(t)
     return fx.export_catalog(
-        analysed(t, parts), parts["formulas"], parts["cards_of"], "ja", group=3, card_url_base=CARD_URL)
+        analysed(t, parts), parts["formulas"], parts["cards_of"], lang, group=group, card_url_base=CARD_URL)
+
+
+@query("q_export_labels", _export_sql(EXPORT_JA, LABEL_JA, 3))
+def export_labels(t: Tables) -> DataFrame:
+    return _exported(t, "ja", 3)
+
+
+@query("q_export_labels_vi", _export_sql(EXPORT_VI, LABEL, 1))
+def export_labels_vi(t: Tables) -> DataFrame:
+    return _exported(t, "vi", 1)
 
 
 @query("q_catalog_summary", f"""

@@ -127,15 +127,18 @@ def low_by_dataset(t: Tables) -> DataFrame:
             WHEN o_orderpriority = '5-LOW' THEN 0 ELSE o_custkey END AS view_count,
         CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS last_seen,
         CASE WHEN o.o_orderkey IS NULL THEN c.datasource_id WHEN o_orderstatus = 'O' THEN o_orderpriority END AS datasource_id
-    FROM {CARDS} c LEFT JOIN orders o ON c.id = CAST(o_orderkey AS VARCHAR) AND o_orderpriority <> '1-URGENT'
+    FROM {CARDS} c LEFT JOIN orders o
+        ON c.id = CASE o_orderpriority WHEN '1-URGENT' THEN 'gone' ELSE '' END || CAST(o_orderkey AS VARCHAR)
 """)
 def refresh_views(t: Tables) -> DataFrame:
-    o, status = t.orders.filter("o_orderpriority <> '1-URGENT'"), F.col("o_orderstatus")
+    o, status = t.orders, F.col("o_orderstatus")
+    # Urgent orders bring records of cards that are not there.
+    gone = F.when(F.col("o_orderpriority") == "1-URGENT", "gone").otherwise("")
     ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
     source = F.struct(F.col("o_orderpriority").alias("dataSourceId"), status.alias("dataSourceName"))
     empty = F.array().cast("array<struct<dataSourceId:string,dataSourceName:string>>")
     info = o.select(
-        F.col("o_orderkey").cast("string").alias("id"),
+        F.concat(gone, F.col("o_orderkey").cast("string")).alias("id"),
         F.struct(
             F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey")).alias("totalViewCount"),
             F.when(status != "P", ms).otherwise(0).alias("lastViewedDate")).alias("viewInfo"),
