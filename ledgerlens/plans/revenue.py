@@ -306,8 +306,9 @@ def cumulative_sales(
 ) -> DataFrame:
     """Forecast and actual running totals per period.
 
-    Both share one sort. The actual total is then looked up by (date, id, title), so tasks equal in
-    all three pair up with each other, as the report has always done.
+    Both share one sort, whose result is pinned. The actual total is looked up by (date, id,
+    title), so tasks equal in all three pair up with each other, as the report has always done;
+    only they are joined, any other task has its own total.
     """
     cost = F.col("税抜費用（int）")
     billed = one_of(F.col("ステータス名"), BILLED_STATUSES, F.col("請求日"))
@@ -315,16 +316,20 @@ def cumulative_sales(
              F.col("課題タイトル").asc_nulls_last(), F.col("税抜費用").asc_nulls_last(),
              F.col("ステータス名").asc_nulls_last()]
     sums = {"累計売上額（見込み）": cost, "__actual": F.when(billed, cost)}
-    both = running_sums(
-        tasks, sums, ["請求日（期）"], order, cfg.window_group_rows, cfg.partitions, sized_by)
+    both = pin(running_sums(
+        tasks, sums, ["請求日（期）"], order, cfg.window_group_rows, cfg.partitions, sized_by))
     keys = ["請求日", "課題ID", "課題タイトル"]
-    actual = both.filter(billed).select(
-        *[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)],
-        F.col("__actual").alias("累計売上額（実績）"),
-    )
-    same = all_of(F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys))
-    joined_rows = both.drop("__actual").join(actual, same, "left")
-    return joined_rows.drop(*[f"__{i}" for i in range(len(keys))])
+    named = [F.col(k).alias(f"__{i}") for i, k in enumerate(keys)]
+    names = [f"__{i}" for i in range(len(keys))]
+    same = all_of(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names))
+    repeated = both.groupBy(*named).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    marked = both.join(repeated, same, "left").drop(*names)
+    out = "累計売上額（実績）"
+    single = marked.filter("__n IS NULL").withColumn(out, F.when(billed, F.col("__actual")))
+    several = marked.filter("__n IS NOT NULL")
+    actual = several.filter(billed).select(*named, F.col("__actual").alias(out))
+    paired = several.join(actual, same, "left").drop(*names)
+    return single.unionByName(paired).drop("__actual", "__n")
 
 
 def weight_rows(tasks: DataFrame) -> DataFrame:
