@@ -127,7 +127,7 @@ def distance(counts: str, reference: str) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of a histogram from a reference; null if empty."""
     half = lambda a, b: f"if({a} > 0, {a} * ln({a} * 2 / ({a} + {b})), 0D)"
     return F.expr(f"""
-        sqrt(greatest(0D, aggregate(zip_with(
+        sqrt(abs(aggregate(zip_with(
             transform({counts}, c -> c / nullif(
                 aggregate({counts}, 0D, (s, c) -> s + c), 0D)), {reference},
             (p, q) -> {half("p", "q")} + {half("q", "p")}), 0D, (s, v) -> s + v)
