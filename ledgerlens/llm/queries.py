@@ -145,5 +145,6 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     written = tokenfiles.write_token_files(
         docs, scratch_path(spark, "tokens"), word_tokenizer_path())
     counted = tokenfiles.count_tokens(spark, written)
-    return counted.join(written, ["path", "ordinal"]).select(
+    # The names compress so well that the list looks small enough to broadcast; it is not.
+    return counted.join(written.hint("merge"), ["path", "ordinal"]).select(
         F.col("id").alias("doc_id"), "n_tokens", "start", "ordinal")
