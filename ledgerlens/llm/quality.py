@@ -16,7 +16,8 @@ MIN_WORDS = 50
 # Texts shorter than this are not judged by their histograms, which would be chance.
 GUARD_WORDS = 50
 MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.5
+# Of the distance that a text without any common word has from its language's reference.
+MAX_WORD_DISTANCE = 0.8
 # Languages with a reference of their own; the documents of all others share the pooled one.
 MAX_LANGUAGES = 256
 
@@ -31,6 +32,8 @@ N_CLASSES = 5
 N_COMMON = 12
 
 _SPACE = r"[ \t-\r]"
+# Punctuation at the ends of a word, but no symbol: a word in symbols is no common word.
+_MARK = r"[\p{P}&&[^#*%&@/\\]]"
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -80,9 +83,16 @@ def word_counts(common: Column) -> Column:
 
 
 def with_histograms(df: DataFrame, language: Column) -> DataFrame:
-    """Add __classes and __common (null for a language without a list); needs __t and __w."""
+    """Add __classes and __common (null for a language without a list); needs __t and __w.
+
+    Common words are matched in lower case, without punctuation at their ends.
+    """
     every = sorted({w for words in COMMON_WORDS.values() for w in words})
-    df = once(df, __c=F.filter("__w", lambda w: w.isin(every)))
+    # All words at once; each run of marks is tried from its first one only.
+    plain = F.split(F.regexp_replace(
+        F.lower(F.array_join("__w", " ")),
+        f"(?<![^ ]){_MARK}++|(?<!{_MARK}){_MARK}++(?![^ ])", ""), " ")
+    df = once(df, __c=F.filter(plain, lambda w: w.isin(every)))
     return once(df, __classes=class_counts(), __common=word_counts(common_list(language)))
 
 
@@ -181,8 +191,11 @@ def judge(
     n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words are counted over the whole
     text. base_failed: fewer than 50 words, or over half of them in repeated three-word windows.
     class_distance and word_distance are Jensen-Shannon distances of the text's character classes
-    and common words from those of all documents of its language. kept: not base_failed, and
-    neither distance above its limit.
+    and common words from those of all documents of its language. kept: not base_failed,
+    class_distance at most max_class_distance, and word_distance at most max_word_distance times
+    the distance that a text without common words has, which depends on the language's share of
+    common words alone. Languages whose common words are partly the same stay close: of two such
+    (French judged as Spanish) most texts pass.
 
     A null text counts as empty: no words, base_failed. Texts under GUARD_WORDS words have null
     distances, which reject nothing; so have common words in a language without a list. A null
@@ -211,10 +224,11 @@ def judge(
         df,
         __da=F.when(guarded, distance("__classes", "__a")),
         __db=F.when(guarded, distance("__common", "__b")),
+        __dz=F.when(guarded, distance(f"array({'0, ' * N_COMMON}1)", "__b")),
         __fail=(F.col("__n") < MIN_WORDS) | (100 * F.col("__r") > 50 * F.col("__n")),
     )
     far = (F.coalesce(F.col("__da"), F.lit(0.0)) > max_class_distance) | (
-        F.coalesce(F.col("__db"), F.lit(0.0)) > max_word_distance)
+        F.coalesce(F.col("__db") > max_word_distance * F.col("__dz"), F.lit(False)))
     result = F.struct(
         F.col("__n").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("bigint").alias("word_chars"),

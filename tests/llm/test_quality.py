@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 
 import pytest
@@ -61,3 +62,29 @@ def test_distance_and_verdict(spark):
     assert not got[100]["kept"] and not got[100]["base_failed"]
     assert got[5]["kept"] and got[101]["kept"] and got[102]["kept"]
     assert got[102]["word_distance"] is None and got[5]["word_distance"] is not None
+
+
+def test_common_words_reject_what_character_classes_do_not(spark):
+    word = lambda i: chr(98 + i % 20) + chr(98 + i // 20 % 20) + chr(98 + i // 400) + "en"
+    rng = random.Random(5)
+    common = {"en": quality.COMMON_WORDS["en"], "de": quality.COMMON_WORDS["de"]}
+
+    def prose(lang, n, share=0.25):
+        return [rng.choice(common[lang]) if rng.random() < share else word(rng.randrange(8000)) for _ in range(n)]
+
+    rows = [(lang, i, " ".join(prose(lang, 300)), lang) for lang in common for i in range(30)]
+    rows += [
+        ("shout", 0, " ".join(f'"{w.capitalize()}",' for w in prose("en", 300)), "en"),
+        ("gibberish", 0, " ".join(word(rng.randrange(8000)) for _ in range(300)), "en"),
+        ("foreign", 0, " ".join(prose("de", 300)), "en"),
+        ("symbols", 0, " ".join(f"{w}#" for w in prose("en", 300)), "en"),
+        ("marks", 0, "." * 200_000 + "x " + " ".join(prose("en", 300)), "en"),
+    ]
+    docs = spark.createDataFrame(rows, "kind string, doc_id int, text string, lang string")
+    got = quality.judge(docs, into="q", max_class_distance=1.0).collect()
+    kept = {}
+    for r in got:
+        assert not r["q"]["base_failed"]
+        kept.setdefault(r["kind"], set()).add(r["q"]["kept"])
+    assert kept == {"en": {True}, "de": {True}, "shout": {True}, "marks": {True},
+                    "gibberish": {False}, "foreign": {False}, "symbols": {False}}
