@@ -1,7 +1,8 @@
 """Quality rules: distance of each document's histograms from its language's reference.
 
 Only built-in expressions: no Python runs on the executors. The counts of one text stay inside its
-row, so the only shuffle is the one that sums the histograms of each language.
+row, so the only shuffle is the one that sums the histograms of each language; texts are shuffled
+only if there are more than MAX_BROADCAST_LANGUAGES languages.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ledgerlens.operators import merging
+from ledgerlens.session import pin
 
 MIN_WORDS = 50
 # Texts shorter than this are not judged by their histograms, which would be chance.
@@ -18,8 +21,8 @@ GUARD_WORDS = 50
 MAX_CLASS_DISTANCE = 0.25
 # Of the distance that a text without any common word has from its language's reference.
 MAX_WORD_DISTANCE = 0.8
-# Languages with a reference of their own; the documents of all others share the pooled one.
-MAX_LANGUAGES = 256
+# More references than this are joined by a shuffle.
+MAX_BROADCAST_LANGUAGES = 10_000
 
 # The most common words of four languages.
 COMMON_WORDS = {
@@ -96,10 +99,11 @@ def with_histograms(df: DataFrame, language: Column) -> DataFrame:
     return once(df, __classes=class_counts(), __common=word_counts(common_list(language)))
 
 
-def references(docs: DataFrame, text_column: str, language_column: str) -> list[dict]:
-    """Summed histograms per language over all documents long enough, largest languages first.
+def references(docs: DataFrame, text_column: str, language_column: str) -> DataFrame:
+    """One row per language: __rl, and the shares of its summed histograms, __a and __b.
 
-    At most MAX_LANGUAGES + 1 rows come to the driver; the last is the pool of all languages.
+    The sums are over all documents long enough, so every language of a document that is judged by
+    its histograms has its row. __b is null for a language without a list of common words.
     """
     language = F.coalesce(F.col(f"`{language_column}`"), F.lit(""))
     narrow = docs.select(language.alias("__l"), F.col(f"`{text_column}`").alias("__x"))
@@ -107,30 +111,23 @@ def references(docs: DataFrame, text_column: str, language_column: str) -> list[
     long_enough = counted.filter(F.size("__w") >= GUARD_WORDS)
     sums = [F.sum(F.col("__classes")[i]).alias(f"a{i}") for i in range(N_CLASSES)]
     sums += [F.sum(F.get("__common", F.lit(i))).alias(f"b{i}") for i in range(N_COMMON + 1)]
-    rows = (
-        long_enough.groupBy("__l").agg(F.count(F.lit(1)).alias("n"), *sums)
-        .orderBy(F.desc("n"), "__l").limit(MAX_LANGUAGES).collect())
-    found = [{
-        "language": r["__l"],
-        "classes": [r[f"a{i}"] or 0 for i in range(N_CLASSES)],
-        "common": [r[f"b{i}"] or 0 for i in range(N_COMMON + 1)],
-    } for r in rows]
-    pool = [sum(col) for col in zip(*[f["classes"] for f in found])] or [0] * N_CLASSES
-    return [*found, {"language": None, "classes": pool, "common": [0] * (N_COMMON + 1)}]
-
-
-def _shares(counts: list[int]) -> str:
-    total = sum(counts)
-    return "array(" + ",".join(f"{c / total if total else 0.0:.12f}D" for c in counts) + ")"
-
-
-def _reference(refs: list[dict], kind: str, language: Column, default: str | None) -> Column:
-    """The shares of the row's language; written into the plan, since the list is short."""
-    out = F.expr(default) if default else F.lit(None)
-    for r in refs:
-        if r["language"] is not None and sum(r[kind]):
-            out = F.when(language == r["language"], F.expr(_shares(r[kind]))).otherwise(out)
-    return out
+    rows = long_enough.groupBy(F.col("__l").alias("__rl")).agg(*sums)
+    return pin(rows.select("__rl", _shares("a", N_CLASSES).alias("__a"),
+                           _shares("b", N_COMMON + 1).alias("__b")))
+
+
+def _shares(prefix: str, n: int) -> Column:
+    """The sums as parts of their total; null if they are null or all zero."""
+    names = [f"{prefix}{i}" for i in range(n)]
+    total = f"nullif({' + '.join(names)}, 0)"
+    return F.expr(f"if({total} IS NULL, NULL, array({', '.join(f'{c} / {total}' for c in names)}))")
+
+
+def with_references(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """Add __a and __b of the row's language __l."""
+    if refs.limit(MAX_BROADCAST_LANGUAGES + 1).count() > MAX_BROADCAST_LANGUAGES:
+        return merging.lookup(docs, refs, "__l", "__rl")
+    return docs.join(F.broadcast(refs), F.col("__l") == F.col("__rl"), "left").drop("__rl")
 
 
 def distance(counts: str, reference: str) -> Column:
@@ -199,7 +196,7 @@ def judge(
 
     A null text counts as empty: no words, base_failed. Texts under GUARD_WORDS words have null
     distances, which reject nothing; so have common words in a language without a list. A null
-    language is one of its own. Equal rows get equal results; an empty table stays empty. An
+    language is one of its own, as is every other, however many there are. Equal rows get equal results; an empty table stays empty. An
     input column named as `into` is replaced; others pass unchanged, whatever their names.
     """
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() != into.lower()]
@@ -208,13 +205,11 @@ def judge(
     df = docs.select(
         *stay, F.coalesce(F.col(f"`{language_column}`"), F.lit("")).alias("__l"),
         F.col(f"`{text_column}`").alias("__x"))
+    df = with_references(df, refs)
     df = with_histograms(with_words(df, F.col("__x")), F.col("__l"))
     df = once(df, __s=windows_sorted())
-    pool = _shares(refs[-1]["classes"])
     df = once(
         df,
-        __a=_reference(refs, "classes", F.col("__l"), pool),
-        __b=_reference(refs, "common", F.col("__l"), None).cast("array<double>"),
         __n=F.size("__w").cast("bigint"),
         __r=repeated_words(),
         __lines=F.expr(rf"filter(split(__t, '\n', -1), x -> x rlike '[^ \\t-\\r]')"),

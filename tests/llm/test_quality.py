@@ -88,3 +88,22 @@ def test_common_words_reject_what_character_classes_do_not(spark):
         kept.setdefault(r["kind"], set()).add(r["q"]["kept"])
     assert kept == {"en": {True}, "de": {True}, "shout": {True}, "marks": {True},
                     "gibberish": {False}, "foreign": {False}, "symbols": {False}}
+
+
+@pytest.mark.parametrize("broadcast", [10_000, 100])
+def test_every_language_has_its_own_reference(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "MAX_BROADCAST_LANGUAGES", broadcast)
+    lower, upper = "word " * 60, "WORD " * 60
+    rows = [(i, upper if i % 300 == 299 else lower, f"l{i % 300:03}") for i in range(600)]
+    rows += [(1000, lower, "l299"), (1001, upper, None), (1002, None, "none"), (1003, "few words", "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["q"] for r in quality.judge(docs, into="q").collect()}
+    assert len(got) == len(rows)
+    for i in range(600):
+        if i % 300 < 299:
+            assert got[i]["class_distance"] == pytest.approx(0, abs=1e-6)
+    whole = [4 * 60, 3 * 60, 4 * 60 * 2, 0, 0]
+    assert got[299]["class_distance"] == pytest.approx(shannon([0, 60, 240, 0, 0], whole), abs=1e-6)
+    assert got[1000]["class_distance"] == pytest.approx(shannon([240, 60, 0, 0, 0], whole), abs=1e-6)
+    assert got[1001]["class_distance"] == pytest.approx(0, abs=1e-6)
+    assert got[1002]["class_distance"] is None and got[1003]["class_distance"] is None
