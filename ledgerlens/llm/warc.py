@@ -6,7 +6,11 @@ one task and read by one task, record by record.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import math
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,10 +26,13 @@ MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64_000_000
 SALTS = 16
 CHUNK = 1 << 20
-MAX_HEADER = 1 << 20
+# Compressed bytes inflated at once.
+SLICE = 1 << 14
+VERSION_LINE = 20
 
 # Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1."
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
 GZIP = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -207,7 +214,61 @@ class Window:
 
 
 class Broken(Exception):
-    """Why the bytes at an offset are no valid record."""
+    """Why the bytes at an offset are no valid record, and where to search on if not one later."""
+
+    def __init__(self, why: str, resume: int | None = None) -> None:
+        super().__init__(why)
+        self.resume = resume
+
+
+def digest_bytes(value: str) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a digest in hex or base32; null for a form or algorithm not known."""
+    name, colon, text = value.partition(":")
+    name, text = name.strip().lower().replace("-", ""), text.strip()
+    if not colon or name not in DIGESTS:
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        if len(text) == 2 * size:
+            return name, bytes.fromhex(text)
+        bare = text.rstrip("=").upper()
+        raw = base64.b32decode(bare + "=" * (-len(bare) % 8))
+    except (ValueError, binascii.Error):
+        return None
+    return (name, raw) if len(raw) == size else None
+
+
+def http_bodies(block: bytes) -> list[bytes]:
+    """What the payload digest of an HTTP block may be of: the body behind the header as sent, and,
+    as some writers have it, the body freed of its chunks or the whole block."""
+    head, found, body = block.partition(b"\r\n\r\n")
+    if not found:
+        return [b"", block]
+    out = [body, block]
+    if re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head):
+        parts, at = [], 0
+        while size := re.match(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n", body[at:at + 1000]):
+            n, at = int(size[1], 16), at + size.end()
+            if n == 0:
+                out.append(b"".join(parts))
+                break
+            parts.append(body[at:at + n])
+            at += n + 2
+    return out
+
+
+def check_digest(headers: dict[str, str], block: bytes) -> None:
+    """Compare the payload digest with the block, or with the HTTP body in it; unknown forms and
+    records without a payload of their own (revisits, segments) are not checked."""
+    want = digest_bytes(headers.get("warc-payload-digest", ""))
+    if want is None or headers.get("warc-type") in ("revisit", "continuation"):
+        return
+    if "warc-segment-number" in headers:
+        return
+    kind = headers.get("content-type", "").partition(";")[0].strip().lower()
+    bodies = http_bodies(block) if kind == "application/http" else [block]
+    if all(hashlib.new(want[0], b).digest() != want[1] for b in bodies):
+        raise Broken("payload digest differs")
 
 
 def parse(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -231,50 +292,95 @@ def parse(block: bytes) -> tuple[dict[str, str], bytes]:
     if rest[int(length):] != b"\r\n\r\n":
         raise Broken("record does not end after its content")
     payload = rest[:int(length)]
-    digest = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") != "revisit" and digest.startswith("sha1:"):
-        if hashlib.sha1(payload).hexdigest() != digest[5:]:
-            raise Broken("payload digest differs")
+    check_digest(headers, payload)
     return headers, payload
 
 
-def member(window: Window, at: int) -> tuple[bytes, int]:
-    """The whole gzip member at an offset, and the offset after it."""
-    inflate, parts, pos = zlib.decompressobj(wbits=31), [], at
-    while not inflate.eof:
-        if pos == window.end and not window.more():
-            raise Broken("compressed member is cut short")
-        piece = window.at(pos, window.end)
+class Inflated:
+    """The content of the gzip member at an offset, read forward; error says why it ends early."""
+
+    def __init__(self, window: Window, at: int) -> None:
+        self.window, self.begin, self.slice, self.pos = window, at, at, at
+        self.inflate, self.error = zlib.decompressobj(wbits=31), ""
+
+    def read(self, _: int) -> bytes:
+        while not self.inflate.eof and not self.error:
+            if self.pos == self.window.end and not self.window.more():
+                self.error = "compressed member is cut short"
+                break
+            self.slice = self.pos
+            piece = self.window.at(self.pos, min(self.pos + SLICE, self.window.end))
+            before = self.inflate.copy()
+            try:
+                out = self.inflate.decompress(piece)
+                self.pos += len(piece) - len(self.inflate.unused_data)
+            except zlib.error as e:
+                self.error, out = f"compressed member: {e}", self.until_damage(before, piece)
+            if out:
+                return out
+        return b""
+
+    @staticmethod
+    def until_damage(inflate, piece: bytes) -> bytes:
+        parts = []
         try:
-            parts.append(inflate.decompress(piece))
-        except zlib.error as e:
-            raise Broken(f"compressed member: {e}") from e
-        if not b"".join(parts[:2])[:len(VERSION)].startswith(VERSION[:min(len(VERSION), len(parts[0]))]):
-            raise Broken("member holds no record")
-        pos = window.end - len(inflate.unused_data)
-    return b"".join(parts), pos
+            for k in range(len(piece)):
+                parts.append(inflate.decompress(piece[k:k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts)
+
+
+def member(
+    window: Window, at: int
+) -> Iterator[tuple[int, dict | None, bytes | None, str | None]]:
+    """(offset read to, headers, payload, None) per record of the gzip member at an offset, and
+    (offset, None, None, reason) per gap between them.
+
+    Each waits for the next, so that the last one is given only if the member ends well.
+    """
+    inflated = Inflated(window, at)
+    text, held, given = Window(inflated, math.inf), None, False
+    if not text.need(len(VERSION)) or text.at(0, len(VERSION)) != VERSION:
+        raise Broken(inflated.error or "member holds no record")
+    for _, _, headers, payload, why in salvage(text.stream, math.inf, [VERSION], text):
+        if held is not None:
+            yield held
+            given = True
+            # The member is one: after damage the search goes on where it was found.
+            if inflated.slice - window.start > CHUNK:
+                window.forget(inflated.slice)
+        held = inflated.slice, headers, payload, why
+    if inflated.error:
+        raise Broken(inflated.error, max(inflated.slice, at + 1) if given else None)
+    yield inflated.pos, *held[1:]
 
 
 def plain(window: Window, at: int) -> tuple[bytes, int]:
     """The whole uncompressed record at an offset, and the offset after it."""
-    end = window.find(b"\r\n\r\n", at, MAX_HEADER)
-    if end < 0:
-        raise Broken("header is cut short")
-    length = 0
-    for line in window.at(at, end).split(b"\r\n"):
-        name, _, value = line.partition(b":")
+    length, line = 0, at
+    while True:
+        end = window.find(b"\r\n", line, VERSION_LINE if line == at else window.size)
+        if end < 0:
+            raise Broken("header is cut short")
+        if end == line:
+            break
+        name, colon, value = window.at(line, end).partition(b":")
+        if line == at and end - at > VERSION_LINE or line > at and not colon:
+            raise Broken("malformed header line")
         if name.strip().lower() == b"content-length" and value.strip().isdigit():
             length = int(value)
-    stop = end + 4 + length + 4
+        line = end + 2
+    stop = end + 2 + length + 4
     if stop > window.size or not window.need(stop):
         raise Broken("record is cut short")
     return window.at(at, stop), stop
 
 
-def next_candidate(window: Window, at: int) -> int:
+def next_candidate(window: Window, at: int, marks: list[bytes]) -> int:
     """The nearest later place where a member or a version line may start, or -1."""
     while True:
-        found = [window.data.find(mark, at - window.start) for mark in (GZIP, VERSION)]
+        found = [window.data.find(mark, at - window.start) for mark in marks]
         if max(found) >= 0:
             return window.start + min(f for f in found if f >= 0)
         at = max(at, window.end - len(VERSION) + 1)
@@ -284,36 +390,42 @@ def next_candidate(window: Window, at: int) -> int:
 
 
 def salvage(
-    stream, size: int
+    stream, size: float, marks: list[bytes] = [GZIP, VERSION], window: Window | None = None
 ) -> Iterator[tuple[int, int, dict | None, bytes | None, str | None]]:
     """(offset, length, headers, payload, None) per valid record, and per gap between valid records
     (offset, length, None, None, reason).
 
     After a failed check the search goes on one byte later for the next member or version line
-    that begins a valid record; the bytes between are one gap. Memory holds one record.
+    that begins a valid record; the bytes between are one gap. Memory holds one record. Of a member
+    of several records each has the bytes read since the one before: none, if they were read at
+    once, so that only the first can be read again from its offset. Records in front of damage
+    in such a member are given.
     """
-    window, at, gap, why = Window(stream, size), 0, None, ""
+    window, at, gap, why = window or Window(stream, size), 0, None, ""
     while window.need(at + 1):
         window.forget(at)
         try:
             lead = window.at(at, at + 3) if window.need(at + 3) else b""
-            if lead == GZIP:
-                block, end = member(window, at)
+            if lead == GZIP and GZIP in marks:
+                found = member(window, at)
             elif window.need(at + len(VERSION)) and window.at(at, at + len(VERSION)) == VERSION:
                 block, end = plain(window, at)
+                found = [(end, *parse(block), None)]
             else:
                 raise Broken("neither a member nor a version line")
-            headers, payload = parse(block)
+            for end, headers, payload, bad in found:
+                if bad:
+                    gap, why = (at, bad) if gap is None else (gap, why)
+                else:
+                    if gap is not None:
+                        yield gap, at - gap, None, None, why
+                        gap = None
+                    yield at, end - at, headers, payload, None
+                at = end
         except Broken as e:
             gap, why = (at, str(e)) if gap is None else (gap, why)
-            found = next_candidate(window, at + 1)
-            at = found if found >= 0 else window.end
-            continue
-        if gap is not None:
-            yield gap, at - gap, None, None, why
-            gap = None
-        yield at, end - at, headers, payload, None
-        at = end
+            later = next_candidate(window, at + 1 if e.resume is None else e.resume, marks)
+            at = later if later >= 0 else window.end
     if gap is not None:
         yield gap, window.end - gap, None, None, why
 
