@@ -49,6 +49,43 @@ TEMPLATES = {
         " disclaimer. Redistributions in binary form must reproduce the above copyright notice, this"
         " list of conditions and the following disclaimer in the documentation and/or other"
         " materials provided with the distribution."),
+    # The GNU notices leave out the version, by which alone their usual wordings differ too little.
+    "GPL-notice": (
+        "redistribute it and/or modify it under the terms of the GNU General Public License as"
+        " published by the Free Software Foundation"),
+    "LGPL-notice": (
+        "redistribute it and/or modify it under the terms of the GNU Lesser General Public License"
+        " as published by the Free Software Foundation"),
+    "LGPL-2.0-notice": (
+        "redistribute it and/or modify it under the terms of the GNU Library General Public License"
+        " as published by the Free Software Foundation"),
+    "AGPL-notice": (
+        "redistribute it and/or modify it under the terms of the GNU Affero General Public License"
+        " as published by the Free Software Foundation"),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a"
+        " copy of the MPL was not distributed with this file, You can obtain one at"),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or"
+        " without fee is hereby granted, provided that the above copyright notice and this"
+        " permission notice appear in all copies."),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to"
+        " copy, modify, publish, use, compile, sell, or distribute this software, either in source"
+        " code form or as a compiled binary, for any purpose, commercial or non-commercial, and by"
+        " any means."),
+    "CC0-1.0": "waived all copyright and related or neighboring rights to",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    **{f"CC-{code}-4.0-notice": (
+        f"licensed under a Creative Commons {name} 4.0 International License")
+       for code, name in {
+           "BY": "Attribution", "BY-SA": "Attribution-ShareAlike",
+           "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial",
+           "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+           "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items()},
 }
 
 
@@ -97,6 +134,12 @@ def template_index(spark: SparkSession, templates: Mapping[str, str]) -> list[di
     return [t for t in out if t["shingles"]]
 
 
+def few_words(templates: Mapping[str, str]) -> dict[str, str]:
+    """The words of each template too short for a shingle, between single spaces."""
+    words = {n: re.findall("[a-z0-9]+", t.lower()) for n, t in templates.items()}
+    return {n: f" {' '.join(w)} " for n, w in words.items() if 0 < len(w) < SHINGLE_WORDS}
+
+
 def _longs(values: list[int]) -> str:
     return "cast(array(" + ",".join(f"{v}L" if v > -2 ** 63 else f"({v + 1}L - 1L)"
                                     for v in values) + ") AS array<bigint>)"
@@ -130,7 +173,8 @@ def scan(
 
     Words are lower-cased runs of ASCII letters and digits. A template is found if some stretch of
     the text, at most twice as long, holds at least 80 % of its distinct five-word shingles (the
-    per cent are rounded down). A template of fewer than five words is never found.
+    per cent are rounded down). A template of fewer than five words is found, with 100, where all its
+    words follow each other; one without words is never found.
 
     Null and empty texts have no words and no licenses; texts are scanned whole; repeated rows get
     equal results; an empty table stays empty. An input column named as `into` is replaced, others
@@ -149,13 +193,21 @@ def scan(
         df, __short=_hits(F.col("__h"), short, 1),
         __wide=F.array_distinct(F.concat(*[
             _hits(_wide("__h", STRIDE, f), wide[b], STRIDE) for b, f in enumerate(BAND_MIXERS)])))
-    found = [F.struct(F.lit(t["name"]).alias("name"), _confirmed(t).cast("int").alias("containment"))
-             for t in sorted(index, key=lambda t: t["name"])]
+    few = few_words(templates)
+    if few:
+        spaced = F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" "))
+        df = once(df, __spaced=spaced)
+    held_in = {t["name"]: _confirmed(t).cast("int") for t in index}
+    held_in |= {n: F.when(F.contains("__spaced", F.lit(w)), 100) for n, w in few.items()}
+    found = [F.struct(F.lit(n).alias("name"), c.alias("containment"))
+             for n, c in sorted(held_in.items(), key=lambda x: x[0])]
     kind = "array<struct<name:string,containment:int>>"
     none = F.expr("array()").cast(kind)
     held = F.filter(F.array(*found), lambda x: F.coalesce(
         x["containment"] >= CONTAINMENT, F.lit(False))).cast(kind) if found else none
     hit = (F.size("__short") > 0) | (F.size("__wide") > 0)
+    for words in few.values():
+        hit = hit | F.contains("__spaced", F.lit(words))
     result = F.struct(
         F.size("__w").cast("long").alias("n_words"), F.when(hit, held).otherwise(none).alias("found"))
     return df.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(columns)], result.alias(into))

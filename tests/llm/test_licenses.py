@@ -48,3 +48,32 @@ def test_every_place_and_edit(spark):
     assert sum(bool(r["licenses"]["found"]) for r in got) > 40
     assert licenses.scan(df.limit(0)).count() == 0
     assert licenses.scan(df, templates={}).select("licenses.found").distinct().count() == 1
+
+
+def found(spark, texts, **kw):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [{x["name"]: x["containment"] for x in r["licenses"]["found"]}
+            for r in licenses.scan(df, **kw).orderBy("doc_id").collect()]
+
+
+def test_templates_under_five_words(spark):
+    got = found(spark, ["the MIT\nLicense, here", "submit license", "MIT", "mit mit license", None],
+                templates={"a": "MIT License", "b": "mit", "none": "..."})
+    assert got == [{"a": 100, "b": 100}, {}, {"b": 100}, {"a": 100, "b": 100}, {}]
+
+
+def test_usual_notices(spark):
+    gnu = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU"
+           " {}General Public License as published by the Free Software Foundation, either version 2 of the License,")
+    texts = {
+        gnu.format(""): "GPL-notice", gnu.format("Lesser "): "LGPL-notice",
+        gnu.format("Library "): "LGPL-2.0-notice", gnu.format("Affero "): "AGPL-notice",
+        licenses.TEMPLATES["MPL-2.0"] + " https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+        "// " + licenses.TEMPLATES["ISC-text"]: "ISC-text",
+        licenses.TEMPLATES["Unlicense"]: "Unlicense",
+        "To the extent possible under law, A has waived all copyright and related or neighboring rights to B.": "CC0-1.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0-notice",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0-notice",
+        "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+    }
+    assert [list(x) for x in found(spark, list(texts))] == [[n] for n in texts.values()]
