@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    decontamination, licenses, neardup, packing, quality, scoring, substrings, tokenfiles, urls, warc,
+    decontamination, licenses, neardup, packing, quality, scoring, substrings,
+    suffixdedup, tokenfiles, urls, warc,
 )
 from ledgerlens.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from ledgerlens.llm.tokens import word_tokenizer_path
@@ -148,3 +149,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     # The names compress so well that the list looks small enough to broadcast; it is not.
     return counted.join(written.hint("merge"), ["path", "ordinal"]).select(
         F.col("id").alias("doc_id"), "n_tokens", "start", "ordinal")
+
+
+@query("op11_suffix_array_dedup")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffixdedup.remove_earlier_bytes(
+        table(spark, folder, "documents"), into="d", keep=["doc_id"])
+    return cut.select("doc_id", "d.n_bytes", "d.n_removed", "d.n_spans",
+                      F.sha2("d.kept", 256).alias("kept_sha256"))
