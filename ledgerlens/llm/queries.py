@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    decontamination, licenses, neardup, packing, quality, scoring, substrings,
-    suffixdedup, tokenfiles, urls, warc,
+    decontamination, licenses, neardup, packing, periodic, quality, scoring,
+    substrings, suffixdedup, tokenfiles, urls, warc, whitening,
 )
 from ledgerlens.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from ledgerlens.llm.tokens import word_tokenizer_path
@@ -157,3 +157,46 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), into="d", keep=["doc_id"])
     return cut.select("doc_id", "d.n_bytes", "d.n_removed", "d.n_spans",
                       F.sha2("d.kept", 256).alias("kept_sha256"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of ids with crc32 % 10 = 0 go on, from some word, with a repeated unit."""
+    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    planted = docs.withColumn("__h", h).withColumn("__g", F.floor(F.col("__h") / 10))
+    planted = planted.withColumn("__w", F.when(F.col("__h") % 10 == 0, words))
+    planted = planted.withColumn("__n", F.expr("nullif(size(__w), 0)"))
+    planted = planted.withColumn("__a", F.expr("__g % __n"))
+    planted = planted.withColumn("__p", F.expr("1 + (__n - __a) div (3 + __g % 8)"))
+    line = F.expr("""array_join(transform(sequence(0, __n - 1), i -> element_at(__w, cast(
+        1 + if(i < __a, i, __a + (i - __a) % __p) AS int))), ' ')""")
+    return planted.select("doc_id", F.when(F.col("__n").isNotNull(), line).otherwise(
+        F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _with_planted_runs(table(spark, folder, "documents"))
+    found = periodic.find_runs(docs, into="p", keep=["doc_id"])
+    # By exact length over period, falling; then by start and period.
+    best = F.expr("""try_element_at(array_sort(p.runs, (a, b) -> CASE
+        WHEN a.length * b.period > b.length * a.period THEN -1
+        WHEN a.length * b.period < b.length * a.period THEN 1
+        WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1
+        WHEN a.period < b.period THEN -1 WHEN a.period > b.period THEN 1 ELSE 0 END), 1)""")
+    lines = F.expr("concat_ws('', transform(p.runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    return found.withColumn("b", best).select(
+        "doc_id", F.size("p.runs").cast("long").alias("n_runs"), "b.start", "b.length", "b.period",
+        F.expr("1000 * b.length div b.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("p.text", F.lit("")), 256).alias("collapsed_sha256"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(table(spark, folder, "embeddings"), into="w", keep=["vec_id"])
+    each = white.select("vec_id", "w.n", F.col("w.deviation").try_cast("long").alias("deviation"),
+                        "w.explained", "w.identity_error", F.posexplode("w.whitened").alias("k", "whitened"))
+    return each.select(
+        "vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "whitened",
+        F.expr("explained[k]").alias("explained"), "identity_error")
