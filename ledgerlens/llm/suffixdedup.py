@@ -9,9 +9,9 @@ sort together the fragments of one anchor:
    have no repeated window.
 2. Fragments of the other anchors go to shards by anchor. A shard sorts its suffixes in two stages
    and compares neighbours; of suffixes with a whole window in common all but the earliest are
-   marked. An anchor of very many places is dealt over several shards by place, and the windows
-   that are the earliest of theirs go to a second round of shards by the window itself, where only
-   one place per first shard is left of each. Marks pass through that round.
+   marked. An anchor of more places than fill a shard is first dealt over several by place, and the
+   windows that are the earliest of theirs go on to the other shards by the window itself, where
+   only one place per first shard is left of each.
 3. Blocks join the marked windows to spans and cut them.
 """
 
@@ -34,17 +34,17 @@ WINDOW_BYTES = 100
 ANCHOR_BYTES = 32
 BLOCK_BYTES = 4_000_000
 SHARD_BYTES = 6_000_000
-# Places of one anchor that one shard takes.
-SHARD_PLACES = 4_096
+# Places of one anchor that one shard takes: about SHARD_BYTES of fragments.
+SHARD_PLACES = 32_768
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                  0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D],
                 np.uint64)
 
-# Kinds of rows: a fragment, one of an anchor of many places, marked windows.
-FRAGMENT, SPREAD, MARK = 0, 1, 2
 _ANCHOR = row_type(anchor="long", block="int", n="long")
-_PIECE = row_type(to="long", kind="int", doc_id="long", block="int", ord="int", first="long",
-                  last="long", body="binary")
+# A fragment's text and first window, or, without a text, marked windows from first to last.
+_PIECE = row_type(to="long", doc_id="long", block="int", ord="int", first="long", last="long",
+                  body="binary")
+_MARK = row_type(block="int", ord="int", first="long", last="long")
 RESULT = T.StructType([
     T.StructField("n_bytes", T.LongType()),
     T.StructField("n_removed", T.LongType()),
@@ -135,82 +135,96 @@ def _cuts(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
 def _pieces(
     block: Block, number: int, again: pa.Table, window: int, shards: int, places: int,
 ) -> pa.Table:
-    """The fragments whose anchors occur again, each for its shard."""
+    """The fragments whose anchors occur again, each for its shard.
+
+    An anchor of more than `places` is dealt over shards of its own by place.
+    """
     known = again["anchor"].to_numpy().view(np.uint64)
     order = np.argsort(known)
     known, total = known[order], again["total"].to_numpy()[order]
-    if not len(known) or not len(block.anchor):
-        return _table([[]] * 7)
+    if not len(block.anchor):
+        return _table([[]] * 6)
     at = np.minimum(np.searchsorted(known, block.anchor), len(known) - 1)
     hit = np.flatnonzero(known[at] == block.anchor)
     key, count, text = block.anchor[hit], total[at[hit]], block.text[hit]
-    # An anchor of many places is dealt over its own shards, by place.
     with np.errstate(over="ignore"):
         place = mix((np.uint64(number) << np.uint64(32)) + block.first[hit].astype(np.uint64))
         salt = place % (-(-count // places)).astype(np.uint64)
-        spread = count > places
-        shard = np.where(spread, mix(key + (salt + np.uint64(1)) * _ODD[5]), key)
+        shard = np.where(count > places, mix(key + (salt + np.uint64(1)) * _ODD[5]), key)
     to = (shard >> np.uint64(1)) % np.uint64(shards)
-    first, last, base = block.first[hit], block.last[hit], block.starts[text]
+    first, base = block.first[hit], block.starts[text]
     return _table([
-        to.astype(np.int64), np.where(spread, SPREAD, FRAGMENT).astype(np.int32),
-        [block.ids[i] for i in text], np.full(len(hit), number, np.int32), text.astype(np.int32),
-        first - base, last - base], _cuts(block.data, first, last + window))
-
-
-def _sort_shard(shard: pa.Table, window: int, shards: int) -> pa.Table:
-    """Marks of all windows of a shard but the earliest; the earliest of spread anchors go on."""
-    kind = shard["kind"].to_numpy()
-    passing = shard.filter(pa.array(kind == MARK))
-    shard = shard.filter(pa.array(kind != MARK))
-    if not shard.num_rows:
+        to.astype(np.int64), [block.ids[i] for i in text], np.full(len(hit), number, np.int32),
+        text.astype(np.int32), first - base, [None] * len(hit)],
+        _cuts(block.data, first, block.last[hit] + window))
+
+
+class Shard:
+    """The fragments of a shard, their sorted suffixes, and which windows start earlier elsewhere."""
+
+    def __init__(self, pieces: pa.Table, window: int) -> None:
+        self.window, bodies = window, pieces["body"].to_pylist()
+        self.first = pieces["first"].to_numpy()
+        self.block, self.ord = pieces["block"].to_numpy(), pieces["ord"].to_numpy()
+        lengths = np.array([len(b) for b in bodies], np.int64)
+        self.suffixes = SuffixArray(
+            np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lengths) - lengths, lengths,
+            lengths - window + 1, window)
+        # Documents in order of their ids, nulls first, then by block and place in it.
+        ids, known = pieces["doc_id"].fill_null(0).to_numpy(), np.array(pieces["doc_id"].is_valid())
+        by = np.lexsort((self.ord, self.block, ids, known))
+        parts = [known[by], ids[by], self.block[by], self.ord[by]]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(np.append(True, np.any([p[1:] != p[:-1] for p in parts], axis=0)))
+        text, order = self.suffixes.text, self.suffixes.order
+        self.start = order - self.suffixes.starts[text] + self.first[text]
+        # Of neighbours with a whole window in common, the earliest.
+        place = (rank[text] << 40) + self.start
+        heads = np.flatnonzero(self.suffixes.common < window)
+        least = np.minimum.reduceat(place, heads)
+        self.later = place != np.repeat(least, np.diff(np.append(heads, len(place))))
+
+    def marks(self) -> list[np.ndarray]:
+        """block, ord, first and last of marked windows; those in a row are one mark."""
+        starts = self.suffixes.starts
+        where = np.sort(self.suffixes.order[self.later])
+        text = np.searchsorted(starts, where, "right") - 1
+        cut = np.flatnonzero((np.diff(where, prepend=-2) != 1) | (np.diff(text, prepend=-1) != 0))
+        stop = np.append(cut[1:], len(where))[:len(cut)] - 1
+        text = text[cut]
+        base = self.first[text] - starts[text]
+        return [self.block[text], self.ord[text], where[cut] + base, where[stop] + base]
+
+    def earliest(self, ids: list, shards: int) -> pa.Table:
+        """The windows not marked, as fragments of their own, for shards by the window."""
+        on = np.flatnonzero(~self.later)
+        at, text = self.suffixes.order[on], self.suffixes.text[on]
+        rows = np.lib.stride_tricks.sliding_window_view(self.suffixes.line, self.window)[at]
+        key = np.zeros(len(on), np.uint64)
+        for i in range(0, self.window - 7, 8):
+            key = mix(key ^ np.ascontiguousarray(rows[:, i:i + 8]).view("<u8").ravel())
+        to = (key >> np.uint64(1)) % np.uint64(shards)
+        return _table([
+            to.astype(np.int64), [ids[i] for i in text], self.block[text], self.ord[text],
+            self.start[on], [None] * len(on)], _cuts(self.suffixes.line, at, at + self.window))
+
+
+def _thin_shard(pieces: pa.Table, window: int, shards: int) -> pa.Table:
+    """Marks of a shard of an anchor of many places, and its earliest windows for other shards."""
+    shard = Shard(pieces, window)
+    block, ord_, first, last = shard.marks()
+    marks = _table([block.astype(np.int64), [None] * len(block), block, ord_, first, last])
+    return pa.concat_tables([marks, shard.earliest(pieces["doc_id"].to_pylist(), shards)])
+
+
+def _sort_shard(rows: pa.Table, window: int) -> pa.Table:
+    """Marks of all windows of a shard but the earliest, and the marks that came with it."""
+    passing = rows.filter(rows["body"].is_null()).select(_MARK.names)
+    pieces = rows.filter(rows["body"].is_valid())
+    if not pieces.num_rows:
         return passing
-    bodies = shard["body"].to_pylist()
-    lengths = np.array([len(b) for b in bodies], np.int64)
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    first, last = shard["first"].to_numpy(), shard["last"].to_numpy()
-    sorted_ = SuffixArray(data, np.cumsum(lengths) - lengths, lengths, last - first + 1, window)
-    # Documents in order of their ids, nulls first, then by block and place in it.
-    place = shard.select(["doc_id", "block", "ord"]).to_pandas()
-    ids = shard["doc_id"].fill_null(-(1 << 63)).to_numpy()
-    known = np.array(shard["doc_id"].is_valid())
-    by = np.lexsort((place["ord"], place["block"], ids, known))
-    new = np.append(True, np.diff(np.stack([
-        known[by], ids[by], place["block"].to_numpy()[by], place["ord"].to_numpy()[by]])).any(axis=0))
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.cumsum(new) - 1
-    text = sorted_.text
-    start = sorted_.order - sorted_.starts[text] + first[text]
-    order = (rank[text] << 40) + start
-    heads = np.flatnonzero(sorted_.common < window)
-    least = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.append(heads, len(order))))
-    later = order != least
-    # Marked windows in a row become one mark.
-    where = np.sort(sorted_.order[later])
-    owner = np.searchsorted(sorted_.starts, where, "right") - 1
-    cut = np.flatnonzero((np.diff(where, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0))
-    stop = np.append(cut[1:], len(where)) - 1 if len(cut) else cut
-    owner, base = owner[cut], (first - sorted_.starts)[owner[cut]]
-    doc_ids, ords = shard["doc_id"].to_pylist(), shard["ord"].to_numpy()
-    blocks = shard["block"].to_numpy()
-    marks = _table([
-        blocks[owner].astype(np.int64), np.full(len(cut), MARK, np.int32), [None] * len(cut),
-        blocks[owner], ords[owner], where[cut] + base, where[stop] + base])
-    on = np.flatnonzero(~later & (shard["kind"].to_numpy()[text] == SPREAD))
-    if not len(on):
-        return pa.concat_tables([passing, marks])
-    at, text = sorted_.order[on], text[on]
-    bodies = _cuts(sorted_.line, at, at + window)
-    keys = np.zeros(len(on), np.uint64)
-    rows = np.lib.stride_tricks.sliding_window_view(sorted_.line, window)[at]
-    for i in range(0, window - 7, 8):
-        word = np.ascontiguousarray(rows[:, i:i + 8]).view("<u8").ravel()
-        keys = mix(keys ^ word)
-    windows = _table([
-        ((keys >> np.uint64(1)) % np.uint64(shards)).astype(np.int64),
-        np.full(len(on), FRAGMENT, np.int32), [doc_ids[i] for i in text], blocks[text],
-        ords[text], start[on], start[on]], bodies)
-    return pa.concat_tables([passing, marks, windows])
+    marks = pa.Table.from_arrays(Shard(pieces, window).marks(), names=_MARK.names)
+    return pa.concat_tables([passing, marks.cast(passing.schema)])
 
 
 def _cut(block: Block, marks: pa.Table, window: int) -> list[tuple]:
@@ -281,15 +295,17 @@ def remove_earlier_bytes(
         return _anchors(block, key[0].as_py())
 
     def pieces(key, table, again):
+        if not again.num_rows or not table.num_rows:
+            return _table([[]] * 6)
         block = Block(table)
-        if again.num_rows:
-            block.fragments(window, anchor)
-        else:
-            block.anchor = np.zeros(0, np.uint64)
+        block.fragments(window, anchor)
         return _pieces(block, key[0].as_py(), again, window, shards, shard_places)
 
+    def thin(table):
+        return _thin_shard(table, window, shards)
+
     def sort(table):
-        return _sort_shard(table, window, shards)
+        return _sort_shard(table, window)
 
     def cut(key, table, marks):
         from pyspark.sql.pandas.types import to_arrow_type
@@ -302,9 +318,12 @@ def remove_earlier_bytes(
     by_block = placed.groupBy("__block")
     found = by_block.applyInArrow(anchors, _ANCHOR)
     again = found.withColumn(
-        "total", F.sum("n").over(Window.partitionBy("anchor"))).filter("total > 1")
-    sent = by_block.cogroup(again.groupBy("block")).applyInArrow(pieces, _PIECE)
-    marks = sent.groupBy("to").applyInArrow(sort, _PIECE).groupBy("to").applyInArrow(sort, _PIECE)
+        "total", F.sum("n").over(Window.partitionBy("anchor"))).filter(
+        "total > 1").select("block", "anchor", "total")
+    few, many = (again.filter(F.col("total") <= shard_places), again.filter(F.col("total") > shard_places))
+    pieces_of = lambda of: by_block.cogroup(of.groupBy("block")).applyInArrow(pieces, _PIECE)
+    spread = pieces_of(many).groupBy("to").applyInArrow(thin, _PIECE)
+    marks = pieces_of(few).unionAll(spread).groupBy("to").applyInArrow(sort, _MARK)
     done = by_block.cogroup(marks.groupBy("block")).applyInArrow(cut, schema)
     return done.select(
         *[F.col(f"__k{i}").alias(c) for i, c in enumerate(columns)], F.col("__r").alias(into))
