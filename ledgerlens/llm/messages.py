@@ -8,18 +8,31 @@ there, and an answer needs no key.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import zstandard
 
 
+@cache
+def _squeeze() -> zstandard.ZstdCompressor:
+    """One per process; a new one for each message would cost more than its work."""
+    return zstandard.ZstdCompressor(level=1)
+
+
+@cache
+def _expand() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Byte planes, compressed: the high bytes of small numbers cost nothing."""
     planes = values.view(np.uint8).reshape(len(values), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return _squeeze().compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unplanes(data: bytes, kind: type, n: int) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(_expand().decompress(data), np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).reshape(n)
 

@@ -45,6 +45,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.quick = self._quick_form()
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -52,15 +53,38 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
+    def _quick_form(self) -> bool:
+        """Whether the bare model encodes words of ASCII letters as the whole tokenizer does.
+
+        Normalising and cutting such words takes most of the tokenizer's time and changes nothing;
+        this is tried on every pair of letters, so a tokenizer that treats some otherwise is used whole.
+        """
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.bare = Tokenizer.from_str(self.tokenizer.to_str())
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        pairs = [a + b for a in letters for b in letters]
+        pairs += [a + b + a + b for a, b in pairs]
+        quick, whole = ([e.ids for e in t.encode_batch_fast(pairs, add_special_tokens=False)]
+                        for t in (self.bare, self.tokenizer))
+        upper = [e.ids for e in self.tokenizer.encode_batch_fast(
+            [p.upper() for p in pairs], add_special_tokens=False)]
+        return quick == whole == upper
+
+    def _letters(self, words: list[bytes], bare: bool) -> list[bytes]:
         """Ids of words of letters alone, many at a time: each ends with its one word-end token."""
         out: list[bytes] = []
-        for at in range(0, len(words), 2000):
-            part = words[at:at + 2000]
-            ids = np.frombuffer(self._each([" ".join(part)])[0], "<u4")
+        tokenizer = self.bare if bare else self.tokenizer
+        for at in range(0, len(words), 500):
+            part = words[at:at + 500]
+            found = tokenizer.encode_batch_fast(
+                [b" ".join(part).decode()], add_special_tokens=False)[0].ids
+            ids = np.array(found, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or stops[-1] != len(ids):  # some letter is not one to it
-                out += self._each(part)
+                out += self._each([w.decode() for w in part])
                 continue
             data, start = ids.tobytes(), 0
             for stop in (4 * stops).tolist():
@@ -72,32 +96,45 @@ class WordEncoder:
         """Bring the ids of all these words into the cache."""
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        missing = [w for w in words if w not in cache]
-        cache.update((w, older[w]) for w in missing if w in older)
-        # Most new words are letters with a mark behind, which is a piece of its own.
-        split, odd = [], []
-        for word in missing:
-            if word in older:
+        cache, find = self.cache, self.older.get
+        quick = self.quick
+        plain: set[bytes] = set()
+        letters: set[bytes] = set()
+        odd: set[bytes] = set()
+        split = []
+        for word in [w for w in words if w not in cache]:
+            ids = find(word)
+            if ids is not None:
+                cache[word] = ids
                 continue
-            text = word.decode()
-            core = text.rstrip(".,;:!?")
-            if core.isalpha():
-                folded = core.lower() if core.isascii() else core
-                split.append((word, folded.encode(), text[len(core):].encode()))
+            # Most new words are letters with a mark behind, which is a piece of its own.
+            core = word.rstrip(b".,;:!?")
+            if quick and core.isalpha():
+                core = core.lower()
+                of = plain
+            elif core and core.decode().isalpha():
+                of = letters
             else:
-                odd.append(text)
-        cores = list({c for _, c, _ in split if c not in cache})
-        cache.update((c, older[c]) for c in cores if c in older)
-        cores = [c for c in cores if c not in older]
-        cache.update(zip(cores, self._letters([c.decode() for c in cores])))
-        odd += {t.decode() for _, _, t in split if t and t not in cache}
-        for at in range(0, len(odd), 20_000):
-            part = odd[at:at + 20_000]
-            cache.update(zip([t.encode() for t in part], self._each(part)))
+                odd.add(word)
+                continue
+            if core != word:
+                split.append((word, core, word[len(core):]))
+                if core in cache:
+                    continue
+                ids = find(core)
+                if ids is not None:
+                    cache[core] = ids
+                    continue
+            of.add(core)
+        for new, bare in ((list(plain), True), (list(letters), False)):
+            cache.update(zip(new, self._letters(new, bare)))
+        odd.update({t for _, _, t in split if t and t not in cache})
+        rest = list(odd)
+        for at in range(0, len(rest), 20_000):
+            part = rest[at:at + 20_000]
+            cache.update(zip(part, self._each([w.decode() for w in part])))
         for word, core, tail in split:
-            if tail or word != core:
-                cache[word] = cache[core] + cache[tail] if tail else cache[core]
+            cache[word] = cache[core] + cache[tail] if tail else cache[core]
 
     def encode(self, texts: list[bytes | None], end_id: int) -> list[np.ndarray]:
         """Ids of each text, with the end id last; a null text has the end id alone."""
