@@ -1,8 +1,8 @@
 """Quality rules: distance of each document's histograms from its language's reference.
 
-Only built-in expressions: no Python runs on the executors. The counts of one text stay inside its
-row, so the only shuffle is the one that sums the histograms of each language; texts are shuffled
-only if there are more than MAX_BROADCAST_LANGUAGES languages.
+Only built-in expressions: no Python runs on the executors. Texts are read once, and the counts of
+each stay in its row, on reliable storage; the only shuffle is the one that sums the histograms
+of each language, and beyond MAX_BROADCAST_LANGUAGES languages the one that joins their references.
 """
 
 from __future__ import annotations
@@ -99,19 +99,16 @@ def with_histograms(df: DataFrame, language: Column) -> DataFrame:
     return once(df, __classes=class_counts(), __common=word_counts(common_list(language)))
 
 
-def references(docs: DataFrame, text_column: str, language_column: str) -> DataFrame:
+def references(counted: DataFrame) -> DataFrame:
     """One row per language: __rl, and the shares of its summed histograms, __a and __b.
 
-    The sums are over all documents long enough, so every language of a document that is judged by
-    its histograms has its row. __b is null for a language without a list of common words.
+    The sums are over all rows of __l, __n, __classes and __common that are long enough, so every
+    language of a document that is judged by its histograms has its row. __b is null for a language
+    without a list of common words.
     """
-    language = F.coalesce(F.col(f"`{language_column}`"), F.lit(""))
-    narrow = docs.select(language.alias("__l"), F.col(f"`{text_column}`").alias("__x"))
-    counted = with_histograms(with_words(narrow, F.col("__x")), F.col("__l"))
-    long_enough = counted.filter(F.size("__w") >= GUARD_WORDS)
     sums = [F.sum(F.col("__classes")[i]).alias(f"a{i}") for i in range(N_CLASSES)]
     sums += [F.sum(F.get("__common", F.lit(i))).alias(f"b{i}") for i in range(N_COMMON + 1)]
-    rows = long_enough.groupBy(F.col("__l").alias("__rl")).agg(*sums)
+    rows = counted.filter(F.col("__n") >= GUARD_WORDS).groupBy(F.col("__l").alias("__rl")).agg(*sums)
     return pin(rows.select("__rl", _shares("a", N_CLASSES).alias("__a"),
                            _shares("b", N_COMMON + 1).alias("__b")))
 
@@ -200,12 +197,10 @@ def judge(
     input column named as `into` is replaced; others pass unchanged, whatever their names.
     """
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() != into.lower()]
-    refs = references(docs, text_column, language_column)
     stay = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(columns)]
     df = docs.select(
         *stay, F.coalesce(F.col(f"`{language_column}`"), F.lit("")).alias("__l"),
         F.col(f"`{text_column}`").alias("__x"))
-    df = with_references(df, refs)
     df = with_histograms(with_words(df, F.col("__x")), F.col("__l"))
     df = once(df, __s=windows_sorted())
     df = once(
@@ -214,6 +209,14 @@ def judge(
         __r=repeated_words(),
         __lines=F.expr(rf"filter(split(__t, '\n', -1), x -> x rlike '[^ \\t-\\r]')"),
     )
+    # The texts are read once: what follows needs only their counts.
+    counted = pin(df.select(
+        *[f"__k{i}" for i in range(len(columns))], "__l", "__n", "__r", "__classes", "__common",
+        F.length(F.array_join("__w", "")).cast("bigint").alias("__chars"),
+        (F.length("__t") - F.length(F.regexp_replace("__t", "[#*$%&|<>]", "")))
+        .cast("bigint").alias("__symbols"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("__dup")))
+    df = with_references(counted, references(counted))
     guarded = F.col("__n") >= GUARD_WORDS
     df = once(
         df,
@@ -226,11 +229,9 @@ def judge(
         F.coalesce(F.col("__db") > max_word_distance * F.col("__dz"), F.lit(False)))
     result = F.struct(
         F.col("__n").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("bigint").alias("word_chars"),
-        (F.length("__t") - F.length(F.regexp_replace("__t", "[#*$%&|<>]", "")))
-        .cast("bigint").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint")
-        .alias("n_dup_lines"),
+        F.col("__chars").alias("word_chars"),
+        F.col("__symbols").alias("n_symbols"),
+        F.col("__dup").alias("n_dup_lines"),
         F.col("__r").alias("n_repeat_words"),
         F.col("__fail").alias("base_failed"),
         F.col("__da").alias("class_distance"),
