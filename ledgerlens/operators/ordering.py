@@ -1,167 +1,283 @@
 """Order-dependent operators that never sort the whole table, or one hot group, in a single task.
 
-Row numbers and running sums follow the same idea: range-partition by the full order (a final
-per-row tie value splits even identical rows over several ranges), pin the result so that both
-passes see the same ranges, work inside each range, and add the totals of the ranges before it.
-What is broadcast is one row per range, so it is bounded by the number of partitions.
+All follow one idea at every size. Rows are counted, which gives the number of ranges; a sample of
+the sort keys, so many per range, gives their bounds. Every row finds its range by a binary search in
+the bounds, so the ranges are the same in each pass over the rows, whatever ran in between. One pass
+over narrow columns counts or sums each range; what the ranges before it add up to is a row per
+range. The rows themselves are exchanged once, by the window inside their range.
+
+A hash of all columns is the last sort key, so even rows equal in every given key are told apart
+and dealt over several ranges, unless they are the same in all columns.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Rows of a range; a range is what one task sorts.
+RANGE_ROWS = 1_000_000
+# Sampled keys per range: with so many a range is hardly ever twice as large as meant.
+SAMPLES = 40
+# A page is a plain top-n as long as all tasks together hold no more rows than this for it.
+TOP_ROWS = 1_000_000
+# Ranges into which one step of a deep page cuts the rows it still has to look at.
+PAGE_RANGES = 1_000
+
+
+@dataclass(frozen=True)
+class Order:
+    """A sort key: a column, its direction, and where its nulls stand."""
+
+    column: Column | str
+    descending: bool = False
+    nulls_last: bool = False
+
+    @property
+    def value(self) -> Column:
+        return F.col(f"`{self.column}`") if isinstance(self.column, str) else self.column
+
+    @property
+    def sort(self) -> Column:
+        c = self.value
+        if self.descending:
+            return c.desc_nulls_last() if self.nulls_last else c.desc_nulls_first()
+        return c.asc_nulls_last() if self.nulls_last else c.asc_nulls_first()
+
+    def after(self, a: Column, b: Column) -> Column:
+        """Whether value a stands behind value b."""
+        null_after = F.lit(self.nulls_last)
+        beyond = a < b if self.descending else a > b
+        return F.when(a.isNull(), b.isNotNull() & null_after).when(
+            b.isNull(), ~null_after).otherwise(beyond)
+
+
+def asc(column: Column | str, nulls_last: bool = False) -> Order:
+    return Order(column, False, nulls_last)
+
+
+def desc(column: Column | str, nulls_last: bool = True) -> Order:
+    return Order(column, True, nulls_last)
+
+
+def sorts(order: Sequence[Order]) -> list[Column]:
+    return [o.sort for o in order]
+
+
+def _tie(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema
+                        if "map<" not in f.dataType.simpleString()])
+
 
-from ledgerlens.session import default_partitions, pin
+class Ranges:
+    """Bounds of ranges of about equal size in an order, found in a bounded sample of the rows."""
 
-# A group up to this many rows is summed by one ordinary window; larger ones are split by range.
-WINDOW_GROUP_ROWS = 1_000_000
-# Pages ending up to this row are a plain top-n; deeper ones go through row numbers.
-TOP_N_ROWS = 100_000
+    def __init__(self, df: DataFrame, order: Sequence[Order], rows: int, ranges: int) -> None:
+        self.order, self.bounds, self.spark = list(order), [], df.sparkSession
+        keys = df.select(*[o.value.alias(f"k{i}") for i, o in enumerate(order)])
+        self.schema = keys.schema
+        if ranges > 1:
+            named = [Order(f"k{i}", o.descending, o.nulls_last) for i, o in enumerate(order)]
+            sample = keys.sample(min(1.0, SAMPLES * ranges / rows), 7)
+            found = sample.orderBy(*sorts(named)).collect()
+            at = sorted({len(found) * i // ranges for i in range(1, ranges)})
+            self.bounds = list(dict.fromkeys(found[i] for i in at if i < len(found)))
 
-_LOW33 = (1 << 33) - 1
+    def assign(self, df: DataFrame, next_key: str | None = None) -> DataFrame:
+        """Add __range, the number of bounds not behind the row, and the next bound as a struct."""
+        if not self.bounds:
+            df = df.withColumn("__range", F.lit(0))
+            none = F.lit(None).cast(self.schema)
+            return df.withColumn(next_key, none) if next_key else df
+        one = T.StructType([T.StructField("bounds", T.ArrayType(self.schema))])
+        bounds = self.spark.createDataFrame([(self.bounds,)], one).scalar()
+        halves = [1 << i for i in reversed(range(len(self.bounds).bit_length()))]
+        values = [o.value for o in self.order]
+
+        def step(low: Column, half: Column) -> Column:
+            bound = F.get("__bounds", low + half - 1)
+            inside = F.lit(True)
+            for i, o in reversed(list(enumerate(self.order))):
+                b = bound.getField(f"k{i}")
+                inside = o.after(values[i], b) | (values[i].eqNullSafe(b) & inside)
+            return F.when((low + half <= len(self.bounds)) & inside, low + half).otherwise(low)
+
+        df = df.withColumn("__bounds", bounds)
+        place = F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), step)
+        df = df.withColumn("__range", place)
+        if next_key:
+            df = df.withColumn(next_key, F.get("__bounds", F.col("__range")))
+        return df.drop("__bounds")
+
+
+def ranges_of(
+    df: DataFrame, order: Sequence[Order], range_rows: int, sized_by: DataFrame | None = None,
+) -> Ranges:
+    rows = (df if sized_by is None else sized_by).count()
+    return Ranges(df, order, rows, -(-rows // range_rows))
 
 
 def global_row_number(
     df: DataFrame,
-    order: Sequence[Column],
+    order: Sequence[Order],
     out: str,
     restart: str | None = None,
-    partitions: int | None = None,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """Number all rows 1..n in the given order without a single-task sort.
+    """Number all rows 1..n in the given order without a single-task sort of them all.
 
     With a restart column (of few values) each of its values is numbered from 1, in the same pass.
     """
-    n = partitions or default_partitions(df.sparkSession)
-    kind = F.col(restart) if restart else F.lit(0)
-    tied = df.withColumns({"__kind": kind, "__tie": F.monotonically_increasing_id()})
-    keys = ["__kind", *order, "__tie"]
-    ranged = tied.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    # The generated id holds the partition in its high bits and the position in its low 33 bits.
-    pinned = pin(ranged.withColumn("__at", F.monotonically_increasing_id()).drop("__tie"))
-    parts = pinned.withColumn("__part", F.shiftright("__at", 33))
-    sizes = parts.groupBy("__kind", "__part").agg(F.count(F.lit(1)).alias("__size"))
-    earlier = (Window.unboundedPreceding, -1)
-    of_kind = Window.partitionBy("__kind").orderBy("__part").rowsBetween(*earlier)
-    in_part = Window.partitionBy("__part").orderBy("__kind").rowsBetween(*earlier)
-    total = lambda w: F.coalesce(F.sum("__size").over(w), F.lit(0))
-    # One row per range, and one more per value of the restart column.
-    starts = sizes.select("__kind", "__part", (total(of_kind) - total(in_part)).alias("__start"))
-    position = F.col("__at").bitwiseAND(F.lit(_LOW33)) + 1
-    return (
-        parts.join(F.broadcast(starts), ["__kind", "__part"])
-        .withColumn(out, (F.col("__start") + position).cast("bigint"))
-        .select(*[F.col(f"`{c}`") for c in df.columns], out)
-    )
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    kind = [restart] if restart else []
+    tied = df.withColumn("__tie", _tie(df))
+    full = [*[asc(k) for k in kind], *order, asc("__tie")]
+    ranges = ranges_of(tied, full, range_rows)
+    placed = ranges.assign(tied)
+    inside = Window.partitionBy("__range", *kind).orderBy(*sorts([*order, asc("__tie")]))
+    numbered = placed.withColumn("__at", F.row_number().over(inside))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if not ranges.bounds:
+        return numbered.select(*columns, F.col("__at").cast("bigint").alias(out))
+    sizes = placed.groupBy("__range", *kind).count().orderBy("__range").collect()
+    before: dict = {}
+    starts = []
+    for r in sizes:
+        own = r[restart] if restart else None
+        starts.append((r["__range"], own, before.get(own, 0)))
+        before[own] = before.get(own, 0) + r["count"]
+    schema = T.StructType([
+        T.StructField("__r", T.IntegerType()),
+        T.StructField("__kind", df.schema[restart].dataType if restart else T.IntegerType()),
+        T.StructField("__start", T.LongType())])
+    side = F.broadcast(df.sparkSession.createDataFrame(starts, schema))  # a row per range and kind
+    same = F.col("__range") == F.col("__r")
+    if restart:
+        same = same & F.col(f"`{restart}`").eqNullSafe(F.col("__kind"))
+    return numbered.join(side, same).select(
+        *columns, (F.col("__start") + F.col("__at")).cast("bigint").alias(out))
+
+
+def _carried(ranges: Ranges, totals: dict[int, list], n_keys: int, n_sums: int) -> list[tuple]:
+    """(range, sums): what earlier ranges hold of the key that each range begins with."""
+    def same(a, b) -> bool:
+        return all(x == y or (x != x and y != y) for x, y in zip(a[:n_keys], b[:n_keys]))
+
+    out, now = [], [None] * n_sums
+    for at, bound in enumerate(ranges.bounds):
+        if at and not same(ranges.bounds[at - 1], bound):
+            now = [None] * n_sums
+        own = totals.get(at, [None] * n_sums)
+        now = [b if a is None else a if b is None else a + b for a, b in zip(now, own)]
+        out.append((at + 1, *now))
+    return out
 
 
 def running_sums(
     df: DataFrame,
     sums: dict[str, Column],
     keys: Sequence[str],
-    order: Sequence[Column],
-    max_group_rows: int = WINDOW_GROUP_ROWS,
-    partitions: int | None = None,
+    order: Sequence[Order],
+    range_rows: int = RANGE_ROWS,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add running sums per key group in the given order, from the first row to the current one.
 
-    The group sizes are counted first (one small shuffle of partial counts): ordinary groups use a
-    window, and as soon as one group is too large for a task all are summed by range. When df is
-    costly, pass a cheaper frame with the same rows per key as sized_by.
+    A group that goes over several ranges carries its sums from one to the next, so a hot group is
+    summed by many tasks. When df is costly, pass a cheaper frame of as many rows as sized_by.
     """
-    if largest_group(df if sized_by is None else sized_by, keys) <= max_group_rows:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(v).over(w).alias(name) for name, v in sums.items()])
-    return running_sums_by_range(df, sums, keys, order, partitions)
-
-
-def running_sums_by_range(
-    df: DataFrame,
-    sums: dict[str, Column],
-    keys: Sequence[str],
-    order: Sequence[Column],
-    partitions: int | None = None,
-) -> DataFrame:
-    n = partitions or default_partitions(df.sparkSession)
     names = list(sums)
-    valued = df.select(
-        "*",
-        *[v.alias(f"__v{i}") for i, v in enumerate(sums.values())],
-        F.monotonically_increasing_id().alias("__tie"),
-    )
-    ranged = valued.repartitionByRange(n, *[F.col(f"`{k}`") for k in keys], *order, "__tie")
-    pinned = pin(ranged.withColumn("__part", F.spark_partition_id()))
-
-    totals = pinned.groupBy(*keys, "__part").agg(
-        *[F.sum(f"__v{i}").alias(f"__t{i}") for i in range(len(names))]
-    )
-    before = Window.partitionBy(*keys).orderBy("__part")
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    # Only a key that continues from an earlier range needs an offset: fewer rows than ranges.
-    offsets = (
-        totals.select(
-            *[F.col(f"`{k}`").alias(f"__k{j}") for j, k in enumerate(keys)],
-            F.col("__part").alias("__p"),
-            F.row_number().over(Window.partitionBy(*keys).orderBy("__part")).alias("__nth"),
-            *[F.sum(f"__t{i}").over(before).alias(f"__o{i}") for i in range(len(names))],
-        )
-        .filter("__nth > 1")
-        .drop("__nth")
-    )
-    inside = Window.partitionBy("__part", *keys).orderBy(*order, "__tie")
+    valued = df.withColumns({f"__v{i}": v for i, v in enumerate(sums.values())})
+    valued = valued.withColumn("__tie", _tie(df))
+    ranges = ranges_of(valued, [*[asc(k) for k in keys], *order, asc("__tie")], range_rows, sized_by)
+    placed = ranges.assign(valued)
+    inside = Window.partitionBy("__range", *keys).orderBy(*sorts([*order, asc("__tie")]))
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = pinned.select(
-        "*", *[F.sum(f"__v{i}").over(inside).alias(f"__l{i}") for i in range(len(names))]
-    )
-    same = F.col("__part") == F.col("__p")
-    for j, k in enumerate(keys):
-        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{j}"))
-    joined = local.join(F.broadcast(offsets), same, "left")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    local = [F.sum(f"__v{i}").over(inside) for i in range(len(names))]
+    if not ranges.bounds:
+        return placed.select(*columns, *[v.alias(c) for v, c in zip(local, names)])
+
+    # Of each range only the key that goes on into the next one is needed.
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__next.k{i}"))
+    ends = ranges.assign(valued, "__next").filter(F.col("__next").isNotNull() & same)
+    totals = ends.groupBy("__range").agg(*[F.sum(f"__v{i}").alias(f"__o{i}") for i in range(len(names))])
+    found = {r["__range"]: list(r[1:]) for r in totals.collect()}
+    schema = T.StructType([T.StructField("__r", T.IntegerType()), *totals.schema.fields[1:]])
+    carried = df.sparkSession.createDataFrame(_carried(ranges, found, len(keys), len(names)), schema)
+    # The first key of a range, the only one with a sum from before it.
+    firsts = df.sparkSession.createDataFrame(
+        [(i + 1, b) for i, b in enumerate(ranges.bounds)],
+        T.StructType([T.StructField("__r", T.IntegerType()), T.StructField("__first", ranges.schema)]))
+    side = F.broadcast(carried.join(F.broadcast(firsts), "__r"))  # a row per range
+    begins = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        begins = begins & F.col(f"`{k}`").eqNullSafe(F.col(f"__first.k{i}"))
+    summed = placed.select("*", *[v.alias(f"__l{i}") for i, v in enumerate(local)])
     total = lambda i: F.coalesce(
-        F.col(f"__l{i}") + F.col(f"__o{i}"), F.col(f"__l{i}"), F.col(f"__o{i}")
-    )
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns], *[total(i).alias(c) for i, c in enumerate(names)]
-    )
+        F.col(f"__l{i}") + F.col(f"__o{i}"), F.col(f"__l{i}"), F.col(f"__o{i}"))
+    return summed.join(side, begins, "left").select(
+        *columns, *[total(i).alias(c) for i, c in enumerate(names)])
 
 
 def sort_columns(
     sort_by: str, direction: str, allowed: Sequence[str], default: str, tie: Sequence[str]
-) -> list[Column]:
+) -> list[Order]:
     """Order by a permitted column (else the default), NULLs last both ways, then a unique tie."""
-    col = F.col(sort_by if sort_by in allowed else default)
-    first = col.asc_nulls_last() if direction.upper() == "ASC" else col.desc_nulls_last()
-    return [first, *[F.col(t).asc() for t in tie]]
+    column = sort_by if sort_by in allowed else default
+    return [Order(column, direction.upper() != "ASC", True), *[asc(t) for t in tie]]
 
 
 def page(
-    df: DataFrame, order: Sequence[Column], number: int, size: int, top_n_rows: int = TOP_N_ROWS
+    df: DataFrame, order: Sequence[Order], number: int, size: int, top_rows: int = TOP_ROWS
 ) -> DataFrame:
-    """Page `number` (from 1). Shallow pages are a top-n; deep ones filter on row numbers."""
-    return window_of_rows(df, order, (number - 1) * size, size, top_n_rows)
+    """Page `number` (from 1); see window_of_rows."""
+    return window_of_rows(df, order, (number - 1) * size, size, top_rows)
 
 
 def window_of_rows(
     df: DataFrame,
-    order: Sequence[Column],
+    order: Sequence[Order],
     offset: int,
     limit: int,
-    top_n_rows: int = TOP_N_ROWS,
+    top_rows: int = TOP_ROWS,
+    page_ranges: int = PAGE_RANGES,
 ) -> DataFrame:
-    if offset + limit <= top_n_rows:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    numbered = global_row_number(df, order, "__row")
-    return numbered.filter(F.col("__row").between(offset + 1, offset + limit)).drop("__row")
+    """The rows from `offset` on, at most `limit` of them, in order.
+
+    As long as a plain top-n would have the tasks hold more than top_rows rows, the sort keys are
+    counted by ranges, and only the ranges that hold the page are looked at further: each step reads
+    narrow columns once and leaves about a page_ranges-th of the rows.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = [*order, asc("__tie")]
+    rows = df.withColumn("__tie", _tie(df))
+    left = None
+    while (offset + limit) * tasks > top_rows:
+        if left is None:
+            left = rows.count()
+        ranges = Ranges(rows, full, left, min(page_ranges, left))
+        placed = ranges.assign(rows)
+        sizes = dict(placed.groupBy("__range").count().collect())
+        first = last = before = seen = 0
+        for at in sorted(sizes):
+            if seen <= offset:
+                first, before = at, seen
+            if seen < offset + limit:
+                last = at
+            seen += sizes[at]
+        wanted = {at: n for at, n in sizes.items() if first <= at <= last}
+        if sum(wanted.values()) >= left:
+            break  # the page is all that is left, or rows the same in all columns
+        rows = placed.filter(F.col("__range").between(first, last)).drop("__range")
+        left, offset = sum(wanted.values()), offset - before
+    return rows.orderBy(*sorts(full)).offset(offset).limit(limit).drop("__tie")
 
 
 def total_pages(total: int, size: int) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.periods import as_date, month_label
 from ledgerlens.functions.predicates import where_all
 from ledgerlens.operators.aggregates import column_profile, count_by, filter_values
-from ledgerlens.operators.ordering import page
+from ledgerlens.operators.ordering import Order, page
 from ledgerlens.operators.reshape import few_values, pivot_sum
 from ledgerlens.plans.revenue import CATEGORY_BUDGET, CATEGORY_TASKS
 
@@ -134,7 +134,7 @@ def card_filter_values(df: DataFrame, columns: Sequence[str] = FILTER_COLUMNS) -
 
 
 def explore(
-    df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 100,
+    df: DataFrame, order: Sequence[Order], number: int = 1, size: int = 100,
     category: str | None = None, text: str | None = None, cols: CardColumns = CardColumns(),
 ) -> tuple[DataFrame, DataFrame]:
     """One page of the filtered table, and the total number of filtered rows."""

@@ -12,7 +12,7 @@ from ledgerlens.functions.formulas import (
     with_fingerprints,
 )
 from ledgerlens.functions.predicates import contains_ci
-from ledgerlens.operators.ordering import top, window_of_rows
+from ledgerlens.operators.ordering import Order, asc, desc, sorts, top, window_of_rows
 from ledgerlens.operators.reshape import edges, exploded_links, link_ids
 
 # ---- Fixed values: group labels, export headers, list lengths. ----
@@ -233,8 +233,8 @@ def catalog_summary(analysis: DataFrame, formulas: DataFrame) -> dict[str, DataF
 
 # ---- Listing, search, export ----
 
-def _by_views() -> list[Column]:
-    return [F.col("total_views").desc_nulls_last(), F.col("bm_id").asc()]
+def _by_views() -> list[Order]:
+    return [desc("total_views"), asc("bm_id")]
 
 
 def group_listing(
@@ -254,7 +254,7 @@ def search_formulas(analysis: DataFrame, formulas: DataFrame, text: str, limit:
         hit = F.col("bm_id") == int(text)
     else:
         hit = contains_ci(F.col("bm_name"), text) if text else F.lit(False)
-    return top(with_names(analysis, formulas).filter(hit), limit, *_by_views())
+    return top(with_names(analysis, formulas).filter(hit), limit, *sorts(_by_views()))
 
 
 def with_card(analysis: DataFrame, cards_of: DataFrame, text: str) -> DataFrame:
@@ -279,7 +279,7 @@ def export_catalog(
     full = named.withColumns({
         "group_label": F.coalesce(labels, F.col("group_label")),
         "card_ids": F.coalesce("card_ids", F.lit("")),
-    }).orderBy("group_number", *_by_views(), "card_ids")
+    }).orderBy("group_number", *sorts(_by_views()), "card_ids")
     return full.select(*[F.col(k).alias(v) for k, v in HEADERS[lang].items()])
 
 

@@ -18,7 +18,7 @@ from ledgerlens.operators.aggregates import distinct_values, state_counts
 from ledgerlens.operators.merging import (
     best_per_key, first_wins, last_writes, overlay, propagate_last,
 )
-from ledgerlens.operators.ordering import top, window_of_rows
+from ledgerlens.operators.ordering import asc, desc, top, window_of_rows
 from ledgerlens.sources.sinks import append_table
 
 # ---- Fixed values: provider words without meaning, states, time zone, export headers. ----
@@ -389,7 +389,7 @@ def list_datasets(
     wanted = [*([equals_ci(F.col("provider_type"), provider)] if provider else []),
               *at_least(F.col("card_count"), min_cards, null_is_zero=False)]
     hits = where_all(datasets, wanted)
-    order = [F.col("last_updated").desc_nulls_last(), F.col("id").asc()]
+    order = [desc("last_updated"), asc("id")]
     return window_of_rows(hits, order, offset, limit), hits.agg(F.count(F.lit(1)).alias("total"))
 
 
@@ -398,7 +398,7 @@ def list_dataflows(
 ) -> tuple[DataFrame, DataFrame]:
     wanted = [equals_ci(F.col("last_execution_state"), state)] if state else []
     hits = where_all(dataflows, wanted)
-    order = [F.col("last_execution_time").desc_nulls_last(), F.col("id").asc()]
+    order = [desc("last_execution_time"), asc("id")]
     return window_of_rows(hits, order, offset, limit), hits.agg(F.count(F.lit(1)).alias("total"))
 
 

@@ -24,7 +24,7 @@ from ledgerlens.functions.predicates import (
 )
 from ledgerlens.operators.aggregates import child_counts
 from ledgerlens.operators.merging import HOT_ROWS, lookup
-from ledgerlens.operators.ordering import WINDOW_GROUP_ROWS, global_row_number, running_sums
+from ledgerlens.operators.ordering import RANGE_ROWS, asc, global_row_number, running_sums
 from ledgerlens.operators.reshape import expand_months, unpivot_numbered, unpivot_pairs
 from ledgerlens.session import broadcast_if_small, pin
 from ledgerlens.sources.files import read_table
@@ -149,9 +149,8 @@ class RevenueConfig:
     history_ceiling: dt.date = dt.date(2024, 12, 31)
     calendar_first_year: int = 2024
     link_base: str = "https://tracker.example/view/"
-    window_group_rows: int = WINDOW_GROUP_ROWS
+    range_rows: int = RANGE_ROWS
     hot_rows: int = HOT_ROWS
-    partitions: int | None = None
 
 
 def issue_link(key: Column, base: str) -> Column:
@@ -250,8 +249,8 @@ def branch_recurring(
     )
     month = F.lpad(F.col("calendar_month_int").cast("string"), 2, "0")
     titled = rows.withColumn("title", joined(F.col("product"), F.lit("("), month, F.lit(MONTH_PART)))
-    order = [F.col(c).asc_nulls_last() for c in ("calendar_date", "title", "shop", "code", "price")]
-    numbered = global_row_number(titled, order, "id", restart="kind", partitions=cfg.partitions)
+    order = [asc(c, True) for c in ("calendar_date", "title", "shop", "code", "price")]
+    numbered = global_row_number(titled, order, "id", restart="kind", range_rows=cfg.range_rows)
     kept = numbered.filter(F.col("calendar_date") >= F.lit(cfg.fee_floor).cast("date"))
     return _conform(kept, {
         "プロジェクトID": F.lit(cfg.project_id),
@@ -312,12 +311,10 @@ def cumulative_sales(
     """
     cost = F.col("税抜費用（int）")
     billed = one_of(F.col("ステータス名"), BILLED_STATUSES, F.col("請求日"))
-    order = [F.col("請求日").asc_nulls_last(), F.col("課題ID").asc_nulls_last(),
-             F.col("課題タイトル").asc_nulls_last(), F.col("税抜費用").asc_nulls_last(),
-             F.col("ステータス名").asc_nulls_last()]
+    order = [asc(c, True) for c in ("請求日", "課題ID", "課題タイトル", "税抜費用", "ステータス名")]
     sums = {"累計売上額（見込み）": cost, "__actual": F.when(billed, cost)}
     both = pin(running_sums(
-        tasks, sums, ["請求日（期）"], order, cfg.window_group_rows, cfg.partitions, sized_by))
+        tasks, sums, ["請求日（期）"], order, cfg.range_rows, sized_by))
     keys = ["請求日", "課題ID", "課題タイトル"]
     named = [F.col(k).alias(f"__{i}") for i, k in enumerate(keys)]
     names = [f"__{i}" for i in range(len(keys))]
@@ -348,10 +345,10 @@ def budget_cumulative(budget: DataFrame, ref_date: dt.date, cfg: RevenueConfig)
         "請求日", date_from_parts(F.col("__year"), F.col("請求月"), F.lit("01"))
     )
     dated = rows.withColumn("請求日（期）", period_label(F.col("請求日"), ref_date))
-    order = [F.col("請求日").asc_nulls_last(), F.col("売上予算額").asc_nulls_last()]
+    order = [asc("請求日", True), asc("売上予算額", True)]
     summed = running_sums(
         dated, {"累計売上予算額": F.col("売上予算額")}, ["請求日（期）", "カテゴリ"], order,
-        cfg.window_group_rows, cfg.partitions,
+        cfg.range_rows,
     )
     return summed.withColumnRenamed("__year", "請求年")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.predicates import equals_ci, low_usage, search, where_all
 from ledgerlens.operators.aggregates import count_and_sum, distinct_values
 from ledgerlens.operators.merging import upsert
-from ledgerlens.operators.ordering import page, sort_columns, top, window_of_rows
+from ledgerlens.operators.ordering import asc, page, sort_columns, top, window_of_rows
 
 # Sortable columns and list lengths.
 CARD_SORTS = ("view_count", "title", "card_type", "page_title", "owner_name", "last_viewed_at")
@@ -123,7 +123,7 @@ def low_usage_cards(
 
 
 def low_usage_page(low: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    order = [F.col("view_count").asc_nulls_first(), F.col("title").asc(), F.col("id").asc()]
+    order = [asc("view_count"), asc("title"), asc("id")]
     return window_of_rows(low, order, offset, limit)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ordering import asc
 from ledgerlens.plans import cards
 from ledgerlens.operators.aggregates import column_profile, filter_values
 from ledgerlens.queries.registry import ORDERS_DATED, REF_DATE, Tables, orders_dated, query
@@ -105,8 +106,8 @@ def filter_value_counts(t: Tables) -> DataFrame:
 """)
 def explore(t: Tables) -> DataFrame:
     rows, total = cards.explore(
-        orders_dated(t), [F.asc("o_orderkey")], number=2, size=50, category="O", text="H", cols=COLUMNS)
-    return rows.select("o_orderkey", "o_orderpriority", "cents", F.lit(total.first()[0]).alias("total_rows"))
+        orders_dated(t), [asc("o_orderkey")], number=2, size=50, category="O", text="H", cols=COLUMNS)
+    return rows.select("o_orderkey", "o_orderpriority", "cents", total.scalar().alias("total_rows"))
 
 
 @query("q_summary", f"""

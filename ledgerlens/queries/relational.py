@@ -12,6 +12,7 @@ from ledgerlens.functions.periods import half_year_index, month_start, period_la
 from ledgerlens.functions.predicates import severity
 from ledgerlens.operators import merging, ordering, reshape
 from ledgerlens.operators.aggregates import child_counts, count_by, distinct_values
+from ledgerlens.operators.ordering import asc
 from ledgerlens.queries.registry import (
     ORDERS_DATED, REF_DATE, Tables, orders_dated, period_sql, query,
 )
@@ -218,7 +219,7 @@ def _running(t: Tables) -> tuple:
     o = orders_dated(t).withColumn("period", period_label(F.col("d"), REF_DATE))
     sums = {"forecast": F.col("cents"),
             "actual": F.when(F.col("o_orderstatus") == "F", F.col("cents"))}
-    return o, sums, ["period"], [F.col("d").asc(), F.col("o_orderkey").asc()]
+    return o, sums, ["period"], [asc("d"), asc("o_orderkey")]
 
 
 RUNNING_COLUMNS = ["o_orderkey", "period", "forecast", "actual"]
@@ -231,7 +232,7 @@ def running_sum(t: Tables) -> DataFrame:
 
 @query("q_running_sum_ranged", RUNNING_SQL)
 def running_sum_ranged(t: Tables) -> DataFrame:
-    return ordering.running_sums_by_range(*_running(t)).select(*RUNNING_COLUMNS)
+    return ordering.running_sums(*_running(t), range_rows=2_000).select(*RUNNING_COLUMNS)
 
 
 @query("q_running_sum_2key", """
@@ -246,7 +247,7 @@ def running_sum_2key(t: Tables) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey",
         F.to_date("l_shipdate").alias("d"), F.col("l_quantity").cast("bigint").alias("qty"))
     rows = rows.withColumn("half", half_year_index(F.col("d")).cast("bigint"))
-    order = [F.col(c).asc() for c in ("d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "qty")]
+    order = [asc(c) for c in ("d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "qty")]
     summed = ordering.running_sums(
         rows, {"running_qty": F.col("qty")}, ["half", "l_returnflag"], order)
     return summed.select("l_orderkey", "l_linenumber", "half", "l_returnflag", "running_qty")
@@ -257,14 +258,14 @@ def running_sum_2key(t: Tables) -> DataFrame:
 """)
 def global_row_number(t: Tables) -> DataFrame:
     o = orders_dated(t).select("o_orderkey", "d")
-    order = [F.col("d").asc(), F.col("o_orderkey").asc()]
-    return ordering.global_row_number(o, order, "id").select("o_orderkey", "id")
+    order = [asc("d"), asc("o_orderkey")]
+    return ordering.global_row_number(o, order, "id", range_rows=2_000).select("o_orderkey", "id")
 
 
-def _paged(t: Tables, top_n_rows: int) -> DataFrame:
+def _paged(t: Tables, top_rows: int) -> DataFrame:
     order = ordering.sort_columns("cents", "DESC", ["cents", "d"], "d", ["o_orderkey"])
     hits = orders_dated(t).filter(F.col("o_orderpriority").contains("E"))
-    return ordering.page(hits, order, 3, 100, top_n_rows).select("o_orderkey", "cents")
+    return ordering.page(hits, order, 3, 100, top_rows).select("o_orderkey", "cents")
 
 
 PAGE_SQL = f"""
@@ -275,12 +276,12 @@ PAGE_SQL = f"""
 
 @query("q_page", PAGE_SQL)
 def page(t: Tables) -> DataFrame:
-    return _paged(t, ordering.TOP_N_ROWS)
+    return _paged(t, ordering.TOP_ROWS)
 
 
 @query("q_page_deep", PAGE_SQL)
 def page_deep(t: Tables) -> DataFrame:
-    return _paged(t, 0)
+    return _paged(t, 1_000)
 
 
 @query("q_severity_sort_top", """

@@ -8,6 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ordering import asc
 from ledgerlens.plans import cards, revenue
 from ledgerlens.sources.files import input_files, load_inputs, read_config
 from ledgerlens.sources.sinks import StepCounts
@@ -166,7 +167,7 @@ def test_budget_and_history(report):
 
 
 def test_split_running_totals_agree(sources, report):
-    small = revenue.RevenueConfig(window_group_rows=1, hot_rows=1, partitions=4)
+    small = revenue.RevenueConfig(range_rows=40, hot_rows=1)
     assert rows(revenue.final_output(sources, REF, small)) == rows(report)
 
 
@@ -211,7 +212,7 @@ def test_cards_over_the_report(report):
     parts = cards.summary(report)
     assert [r[0] for r in parts["categories"].collect()] == ["ウェイト別課題", "課題リスト", "予算"]
     assert parts["budget"].count() == 12 and all(r["month"] is None for r in parts["monthly"].collect())
-    page, total_rows = cards.explore(report, [F.asc("課題ID"), F.asc("担当者種別")], 1, 10, "ウェイト別課題", "月分")
+    page, total_rows = cards.explore(report, [asc("課題ID"), asc("担当者種別")], 1, 10, "ウェイト別課題", "月分")
     assert page.count() == 10 and total_rows.first()[0] == 45
     detail = {r["name"]: r for r in cards.dataset_detail(report).collect()}
     assert len(detail) == 55 and detail["BLカテゴリ"]["distinct_count"] == 3
