@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
 SALTS = 100_000
+# The column by which readers of landed files tell the order in which records came.
+ARRIVAL = "__arrival"
 
 
 def _columns(df: DataFrame, skip: Sequence[str]) -> list[str]:
@@ -33,13 +35,30 @@ def best_per_key(
     return best.select(*keys, *[F.col("__best")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def arrival(df: DataFrame) -> list[str]:
+    """The column of the order of arrival, if the frame has it."""
+    return [ARRIVAL] if ARRIVAL in df.columns else []
+
+
 def last_writes(df: DataFrame, keys: Sequence[str], sequence: str | None = None) -> DataFrame:
-    """One row per key: the last by the sequence column, of equal ones the greatest by its values."""
-    rest = [F.col(f"`{f.name}`") for f in df.schema if f.name not in {*keys, sequence}
-            and "map<" not in f.dataType.simpleString()]
-    rank = [F.col(f"`{sequence}`")] if sequence else []
-    reduced = best_per_key(df, keys, [*rank, *rest] or [F.lit(0)])
-    return reduced.drop(sequence) if sequence else reduced
+    """One row per key: the last by the sequence column, or else by the order of arrival.
+
+    Rows equal in both are the same write repeated, of which the greatest by its values counts. A
+    frame with neither must hold each key once; a second row of a key ends the job, as nothing says
+    which came last.
+    """
+    sequence = sequence or next(iter(arrival(df)), None)
+    if sequence:
+        rest = [F.col(f"`{f.name}`") for f in df.schema if f.name not in {*keys, sequence}
+                and "map<" not in f.dataType.simpleString()]
+        return best_per_key(df, keys, [F.col(f"`{sequence}`"), *rest]).drop(sequence)
+    rest = _columns(df, keys)
+    row = F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(1).alias("__one"))
+    one = df.groupBy(*keys).agg(F.any_value(row).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    known = F.when(F.col("__n") == 1, F.col("__row")).otherwise(F.raise_error(
+        F.lit(f"several rows of one {', '.join(keys)}, and no sequence to tell the last")))
+    return one.withColumn("__row", known).select(
+        *keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def upsert(
@@ -53,6 +72,7 @@ def upsert(
 
     Repeated keys in the updates are reduced to the last write first; see last_writes.
     """
+    target = target.drop(ARRIVAL)
     updates = last_writes(updates, keys, sequence)
     changed = [c for c in _columns(updates, keys) if c in target.columns]
     new = updates.select(
@@ -80,6 +100,7 @@ def overlay(
 
     Of several details of a key the last write counts; see last_writes.
     """
+    base = base.drop(ARRIVAL)
     detail = last_writes(detail, keys, sequence)
     shared = [c for c in _columns(detail, keys) if c in base.columns]
     extra = [c for c in _columns(detail, keys) if c not in base.columns]

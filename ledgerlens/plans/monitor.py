@@ -16,7 +16,7 @@ from ledgerlens.functions.predicates import (
 )
 from ledgerlens.operators.aggregates import distinct_values, state_counts
 from ledgerlens.operators.merging import (
-    best_per_key, first_wins, last_writes, overlay, propagate_last,
+    arrival, best_per_key, first_wins, last_writes, lookup, overlay, propagate_last,
 )
 from ledgerlens.operators.ordering import asc, desc, top, window_of_rows
 from ledgerlens.sources.sinks import append_table
@@ -93,7 +93,7 @@ def normalise_details(detail: DataFrame) -> DataFrame:
         _text("streamId").alias("stream_id"),
         F.col("scheduleActive").alias("schedule_active"),
         _text("status").alias("status"), _text("state").alias("state"),
-        F.col("lastUpdated").alias("last_updated"),
+        F.col("lastUpdated").alias("last_updated"), *arrival(detail),
     )
 
 
@@ -120,18 +120,20 @@ def merge_dataset_detail(base: DataFrame, detail: DataFrame) -> DataFrame:
 def merge_schedule(base: DataFrame, detail: DataFrame, streams: DataFrame) -> DataFrame:
     """Search records with counts from their details and states from their streams' schedules.
 
-    The state of the stream's last execution wins over the status of the details.
+    The state of the stream's last execution wins over the status of the details. Of several
+    details of a record, or records of a stream, the last to arrive counts.
     """
     d = last_writes(detail, ["id"]).select(
         "id", F.col("row_count").alias("__rows"), F.col("card_count").alias("__cards"),
         F.col("status").alias("__status"), blank_to_null(F.col("stream_id")).alias("__stream"),
     )
     s = last_writes(stream_detail(streams), ["stream_id"]).select(
-        F.col("stream_id").cast("string").alias("__stream"), F.lit(True).alias("__found"),
+        F.col("stream_id").cast("string").alias("__stream_id"), F.lit(True).alias("__found"),
         F.col("last_execution.state").alias("__state"), F.col("schedule_state").alias("__schedule"),
     )
     state = F.coalesce(blank_to_null(F.col("state")), F.col("status"), F.lit(""))
-    return base.join(d, "id", "left").join(s, "__stream", "left").withColumns({
+    # Most records have no stream: a lookup spreads them, and any stream of very many records.
+    return lookup(base.join(d, "id", "left"), s, "__stream", "__stream_id").withColumns({
         "row_count": F.coalesce("__rows", "row_count"),
         "card_count": F.coalesce("__cards", "card_count"),
         "stream_id": F.coalesce("__stream", "stream_id"),
@@ -247,7 +249,7 @@ def stream_detail(streams: DataFrame) -> DataFrame:
         F.col("currentExecutionState").alias("current_execution_state"),
         F.col("currentExecution").isNotNull().alias("is_running"),
         source("tags").alias("tags"),
-        source("scheduleActive").alias("schedule_active"),
+        source("scheduleActive").alias("schedule_active"), *arrival(streams),
     )
 
 

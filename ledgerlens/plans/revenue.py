@@ -27,8 +27,8 @@ from ledgerlens.operators.merging import HOT_ROWS, lookup
 from ledgerlens.operators.ordering import RANGE_ROWS, asc, global_row_number, running_sums
 from ledgerlens.operators.reshape import expand_months, unpivot_numbered, unpivot_pairs
 from ledgerlens.session import broadcast_if_small, pin
-from ledgerlens.sources.files import read_table
-from ledgerlens.sources.sinks import StepCounts, replace_table, write_csv
+from ledgerlens.sources.sinks import StepCounts, write_csv
+from ledgerlens.sources.store import Store
 
 # ---- Fixed values: words, codes and column names that make up the report's contract. ----
 PROJECT_ID = 1073851282
@@ -438,11 +438,14 @@ def run_report(
     csv_path: str | None = None,
     cfg: RevenueConfig | None = None,
 ) -> dict[str, int]:
-    """Build the report, replace the stored table (and CSV), and return rows per step."""
+    """Build the report, publish it as the stored table's next version (and CSV), and return rows per step.
+
+    A run that fails leaves the last report whole.
+    """
     spark = next(iter(sources.values())).sparkSession
     counts = StepCounts()
     out = counts.watch("final_output", final_output(sources, ref_date, cfg, counts))
-    replace_table(out, table_path, partition_by=["BLカテゴリ"])
+    Store(spark, table_path).publish({"report": out}, partition_by={"report": ["BLカテゴリ"]})
     if csv_path:
         write_csv(read_report(spark, table_path), csv_path)
     return counts.result()
@@ -453,5 +456,5 @@ def read_report(spark: SparkSession, table_path: str) -> DataFrame | None:
 
     The table is partitioned by category, which nearly every card filters on.
     """
-    stored = read_table(spark, table_path)
+    stored = Store(spark, table_path).read("report")
     return None if stored is None else stored.select(*[f"`{c}`" for c, _ in OUTPUT_SCHEMA])

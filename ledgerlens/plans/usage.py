@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.predicates import equals_ci, low_usage, search, where_all
 from ledgerlens.operators.aggregates import count_and_sum, distinct_values
-from ledgerlens.operators.merging import upsert
+from ledgerlens.operators.merging import arrival, upsert
 from ledgerlens.operators.ordering import asc, page, sort_columns, top, window_of_rows
 
 # Sortable columns and list lengths.
@@ -43,12 +43,12 @@ def view_updates(info: DataFrame) -> DataFrame:
         F.coalesce("viewInfo.totalViewCount", F.lit(0)).alias("view_count"),
         F.when(last > 0, F.timestamp_millis(last)).alias("last_viewed_at"),
         source["dataSourceId"].alias("datasource_id"),
-        source["dataSourceName"].alias("datasource_name"),
+        source["dataSourceName"].alias("datasource_name"), *arrival(info),
     )
 
 
 def refresh_view_counts(cards: DataFrame, info: DataFrame) -> DataFrame:
-    """Existing cards updated by the info records; unknown cards are not added."""
+    """Existing cards updated by the last info record of each; unknown cards are not added."""
     return upsert(cards, view_updates(info), ["id"], insert=False)
 
 

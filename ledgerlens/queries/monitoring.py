@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.plans import monitor
+from ledgerlens.operators.merging import ARRIVAL
 from ledgerlens.queries.registry import NOW, Tables, query
 
 from ledgerlens.sources.payloads import payload_schema
@@ -265,12 +266,18 @@ def schedule_merge(t: Tables) -> DataFrame:
         F.when(F.col("c_acctbal") < 0, "inactive").otherwise("").alias("state"), F.lit("VALID").alias("status"))
     detail = t.supplier.select(
         text("s_suppkey").alias("id"), F.col("s_nationkey").alias("row_count"), F.lit(1).alias("card_count"),
-        F.when(F.col("s_nationkey") < 12, "SUCCESS").otherwise("").alias("status"), text("s_suppkey").alias("stream_id"))
+        F.when(F.col("s_nationkey") < 12, "SUCCESS").otherwise("").alias("status"), text("s_suppkey").alias("stream_id"),
+        F.lit(2).alias(ARRIVAL))
+    # The last record counts, though an earlier one is greater in every column.
+    detail = detail.unionByName(detail.withColumns({
+        "row_count": F.col("row_count") + 1000, "status": F.lit("ZZZ"), "stream_id": F.lit("zzz"), ARRIVAL: F.lit(1)}))
     state = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).otherwise("")
     payload = F.to_json(F.struct(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("scheduleState"),
         F.struct(state.alias("currentState")).alias("lastExecution")))
     streams = t.orders.select(F.from_json(payload, payload_schema("stream")).alias("r")).select("r.*")
+    streams = streams.withColumn(ARRIVAL, F.lit(2)).unionByName(streams.withColumns(
+        {"scheduleState": F.lit("zzz"), ARRIVAL: F.lit(1)}))
     return monitor.merge_schedule(base, detail, streams).select(
         "id", "row_count", "stream_id", "schedule_state", "dataset_status", "last_execution_state")
 

@@ -12,13 +12,15 @@ from ledgerlens.functions.periods import half_year_index, month_start, period_la
 from ledgerlens.functions.predicates import severity
 from ledgerlens.operators import merging, ordering, reshape
 from ledgerlens.operators.aggregates import child_counts, count_by, distinct_values
+from ledgerlens.operators.merging import ARRIVAL
 from ledgerlens.operators.ordering import asc
 from ledgerlens.queries.registry import (
     ORDERS_DATED, REF_DATE, Tables, orders_dated, period_sql, query,
 )
 from ledgerlens.session import broadcast_if_small, scratch_path
-from ledgerlens.sources.files import read_csv, read_csv_named, text_schema
+from ledgerlens.sources.files import read_csv, read_csv_named, read_json_lines, text_schema
 from ledgerlens.sources.sinks import read_snapshot, replace_table, write_csv, write_snapshot
+from ledgerlens.sources.store import Store
 
 
 # ---- joins ----
@@ -142,9 +144,9 @@ def overlay_detail(t: Tables) -> DataFrame:
         F.col("s_suppkey").alias("id"),
         F.when(F.col("s_nationkey") < 10, "").otherwise(F.col("s_name")).alias("name"),
         F.when(F.col("s_nationkey") < 18, F.col("s_acctbal")).alias("balance"))
-    # A lesser row of every key, which must not count nor double the base row.
-    lesser = detail.withColumns({"name": F.lit(None).cast("string"), "balance": F.lit(None).cast("double")})
-    return merging.overlay(base, lesser.unionByName(detail), ["id"])
+    # An earlier row of every key, greater in all columns, must not count nor double the base row.
+    earlier = detail.withColumns({"name": F.lit("zzz"), "balance": F.lit(1e12), ARRIVAL: F.lit(1)})
+    return merging.overlay(base, earlier.unionByName(detail.withColumn(ARRIVAL, F.lit(2))), ["id"])
 
 
 @query("q_first_wins_merge", """
@@ -399,10 +401,57 @@ def extract_refs(t: Tables) -> DataFrame:
 
 @query("q_upsert_repeated", UPSERT_SQL)
 def upsert_repeated(t: Tables) -> DataFrame:
-    """Repeated keys without a sequence: the greatest row counts."""
+    """Repeated keys in landed files: the last to arrive counts, though the first are greater."""
     target, updates = _upserted(t)
-    updates = updates.withColumn("c_name", F.when(F.col("seq") == 1, "A").otherwise(F.col("c_name")))
-    return merging.upsert(target, updates.drop("seq"), ["c_custkey"])
+    return merging.upsert(target, _landed(updates), ["c_custkey"])
+
+
+def _landed(updates: DataFrame) -> DataFrame:
+    """The updates written to two files as JSON lines, the older ones first, and read again."""
+    folder = scratch_path(updates.sparkSession, "landed")
+    name = F.when(F.col("seq") == 1, "zzz").otherwise(F.col("c_name"))
+    for n, of in (("a", "seq = 1"), ("b", "seq = 2")):
+        part = updates.filter(of).withColumn("c_name", name).drop("seq")
+        part.write.json(f"{folder}/{n}")
+        if n == "b":  # within a file, too, a later line wins
+            twice = part.withColumn("c_name", F.lit("zz"))
+            twice.unionByName(part).coalesce(1).write.json(f"{folder}/c")
+    schema = updates.drop("seq").schema
+    return read_json_lines(updates.sparkSession, [f"{folder}/{n}" for n in "abc"], schema, arrival=True)
+
+
+@query("q_upsert_incremental", UPSERT_SQL)
+def upsert_incremental(t: Tables) -> DataFrame:
+    """Landed updates merged into a stored table, of which only the touched buckets are written."""
+    target, updates = _upserted(t)
+    store = Store(t.spark, scratch_path(t.spark, "store"))
+    store.publish({"customer": target}, {"customer": ["c_custkey"]})
+    landed = _landed(updates)
+    half = F.col("c_custkey") % 40 == 0
+    store.upsert("customer", landed.filter(half))
+    store.upsert("customer", landed.filter(~half))
+    return store.read("customer")
+
+
+@query("q_refresh_tables", """
+    SELECT 'nation' AS "table", n_nationkey AS id, n_name AS name FROM nation
+    UNION ALL SELECT 'region', r_regionkey, r_name FROM region
+""")
+def refresh_tables(t: Tables) -> DataFrame:
+    """Two tables refreshed together; a run that fails in between leaves the old pair."""
+    store = Store(t.spark, scratch_path(t.spark, "store"))
+    nation = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    region = t.region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    store.publish({"nation": nation.limit(0), "region": region.limit(0)})
+    store.publish({"nation": nation, "region": region})
+    broken = region.withColumn("name", F.when(F.col("id") >= 0, F.raise_error(F.lit("broken on purpose"))))
+    try:
+        store.publish({"nation": nation.withColumn("name", F.lit("new")), "region": broken})
+    except Exception as e:  # the job's own error
+        if "broken on purpose" not in str(e):
+            raise
+    both = [store.read(n).select(F.lit(n).alias("table"), "id", "name") for n in ("nation", "region")]
+    return both[0].unionByName(both[1])
 
 
 # ---- sources and sinks ----

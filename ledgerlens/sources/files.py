@@ -7,9 +7,11 @@ import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ledgerlens.operators.merging import ARRIVAL
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -80,8 +82,22 @@ def load_inputs(
     return tables
 
 
-def read_json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def read_json_lines(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, arrival: bool = False
+) -> DataFrame:
+    """Landed JSON lines; with arrival also the order in which they came, for last write wins.
+
+    Files come in the order of their paths, the lines of a file from the first on. A split of a
+    file is read from its start to its end by one task, so the splits' offsets and the row ids
+    inside a task tell the order, whichever tasks read them.
+    """
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    if not arrival:
+        return rows
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", place.alias(ARRIVAL))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

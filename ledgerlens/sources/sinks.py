@@ -58,12 +58,6 @@ def write_snapshot(df: DataFrame, path: str) -> int:
     return version
 
 
-def refresh_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """Full refresh: every given table is replaced, edge tables included."""
-    for name, df in tables.items():
-        replace_table(df, os.path.join(folder, name))
-
-
 class StepCounts:
     """Row counts per step, observed while the job runs instead of counted in extra jobs."""
 

@@ -10,7 +10,8 @@ from ledgerlens.plans import formulas as fx
 from ledgerlens.plans import usage
 from ledgerlens.sources.files import read_json_lines
 from ledgerlens.sources.payloads import payload_schema
-from ledgerlens.sources.sinks import refresh_tables, write_csv
+from ledgerlens.sources.sinks import write_csv
+from ledgerlens.sources.store import Store, refresh_tables
 
 
 @pytest.fixture(scope="module")
@@ -118,8 +119,9 @@ def test_export(spark, analysis, tables, tmp_path):
 def test_refresh_replaces_edges_too(spark, tables, tmp_path):
     refresh_tables({"dependency_map": spark.createDataFrame([(9, 9)], "bm_id bigint, depends_on_bm_id bigint")}, str(tmp_path))
     refresh_tables(tables, str(tmp_path))
-    assert rows(spark.read.parquet(str(tmp_path / "dependency_map"))) == [(1, 3)]
-    assert spark.read.parquet(str(tmp_path / "formulas")).count() == 4
+    store = Store(spark, str(tmp_path))
+    assert rows(store.read("dependency_map")) == [(1, 3)]
+    assert store.read("formulas").count() == 4
 
 
 def test_prune_formula(landed):

@@ -1,6 +1,7 @@
 """Reshaping, merging and aggregate operators on small hand-checked rows."""
 
 import datetime as dt
+import json
 import re
 
 import pytest
@@ -145,13 +146,38 @@ def test_filter_values_cut_off_counts_blank_but_not_null(spark):
     assert rows(aggregates.filter_values(df, ["three"], 3)) == [("three", "a", 1), ("three", "b", 1)]
 
 
-def test_repeated_updates_without_a_sequence_give_one_row(spark):
+def test_the_last_to_arrive_wins(spark):
     target = spark.createDataFrame([(1, "a")], "id int, v string")
-    updates = spark.createDataFrame([(1, "b"), (1, "c"), (2, "d"), (2, "d")], "id int, v string")
+    updates = spark.createDataFrame(
+        [(1, "z", 1), (1, "c", 3), (1, "y", 2), (2, "d", 1), (2, "d", 1)], f"id int, v string, {merging.ARRIVAL} int")
     assert rows(merging.upsert(target, updates, ["id"])) == [(1, "c"), (2, "d")]
     assert rows(merging.overlay(target, updates, ["id"])) == [(1, "c")]
 
 
+def test_repeated_updates_without_an_order_are_an_error(spark):
+    target = spark.createDataFrame([(1, "a")], "id int, v string")
+    updates = spark.createDataFrame([(1, "b"), (1, "c"), (2, "d")], "id int, v string")
+    with pytest.raises(Exception, match="no sequence to tell the last"):
+        merging.upsert(target, updates, ["id"]).collect()
+    assert rows(merging.upsert(target, updates.filter("v <> 'b'"), ["id"])) == [(1, "c"), (2, "d")]
+
+
+def test_arrival_follows_files_and_lines(spark, tmp_path):
+    from ledgerlens.sources.files import read_json_lines
+
+    for name, first in (("b", 0), ("a", 50_000)):
+        (tmp_path / f"{name}.json").write_text("".join(
+            json.dumps({"id": i % 7, "n": first + i}) + "\n" for i in range(50_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        landed = read_json_lines(spark, str(tmp_path), "id int, n int", arrival=True)
+        assert landed.rdd.getNumPartitions() > 4
+        got = rows(merging.last_writes(landed, ["id"]))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((i % 7, i) for i in range(49_993, 50_000))  # of the file that comes last
+
+
 def test_broken_csv_rows_stay_away_from_every_selection(spark, tmp_path):
     from ledgerlens.sources.files import read_csv, read_csv_named, text_schema
 
