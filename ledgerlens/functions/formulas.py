@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.casts import squeeze_space, strip_space
+from ledgerlens.operators.barrier import once
 
 # Placeholders of the structural form, and the digest length.
 REF_MARK = "BM_REF"
@@ -54,16 +55,11 @@ def with_fingerprints(
     """
     text, normal = F.col("__text"), F.col("__normal")
     only = lambda c: F.when(text == "", "").otherwise(digest(c))
-    return (
-        df.withColumn("__text", strip_space(F.coalesce(expression, F.lit(""))))
-        .withColumn("__normal", normalised(text))
-        .withColumns({
-            "duplicate_hash": only(text),
-            "normalized_hash": only(normal),
-            "structure_hash": only(structural(normal, ref_token)),
-        })
-        .drop("__text", "__normal")
-    )
+    df = once(df, __text=strip_space(F.coalesce(expression, F.lit(""))))
+    df = once(df, __normal=normalised(text))
+    return once(
+        df, duplicate_hash=only(text), normalized_hash=only(normal),
+        structure_hash=only(structural(normal, ref_token))).drop("__text", "__normal")
 
 
 def complexity(expression: Column, ref_token: str = DEFAULT_REF_TOKEN) -> Column:

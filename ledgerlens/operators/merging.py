@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Keys with more rows than this are looked up by broadcast, at most so many of them.
+# Keys with more rows than this are looked up by several tasks.
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
+# Parts over which rows without a key are spread.
 SALTS = 100_000
 # The column by which readers of landed files tell the order in which records came.
 ARRIVAL = "__arrival"
@@ -125,35 +125,24 @@ def lookup(
 ) -> DataFrame:
     """Left join to a table with one row per key, whatever the skew of the left keys.
 
-    Keys with more than hot_rows rows (the largest MAX_HOT_KEYS of them) find their row by
-    broadcast. For the shuffle, rows with such a key or none get a second key from a hash of their
-    values, the same on a rerun: they match nothing there, and do not meet in one task.
+    A key with more than hot_rows rows is cut into as many parts as it has hot_rows: its rows take
+    one by a hash of their values, the same on a rerun, and its row on the right is repeated for each
+    part. Rows without a key match nothing and are spread. The list of such keys holds no more than
+    rows / hot_rows of them, so it is broadcast.
     """
     k, values = F.col(f"`{left_key}`"), _columns(right, [right_key])
-    sizes = left.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter((F.col("n") > hot_rows) & F.col("k").isNotNull())
-    hot = [r["k"] for r in large.orderBy(F.desc("n")).limit(MAX_HOT_KEYS).collect()]
+    sizes = left.filter(k.isNotNull()).groupBy(k.alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+    parts = F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__parts")
+    hot = F.broadcast(sizes.filter(F.col("__n") > hot_rows).select("__hot", parts))
 
-    away = k.isNull() | k.isin(hot) if hot else k.isNull()
     hashable = [F.col(f"`{f.name}`") for f in left.schema if "map<" not in f.dataType.simpleString()]
-    spread = F.pmod(F.xxhash64(*hashable), F.lit(SALTS)) + 1
-    salted = left.withColumn("__salt", F.when(away, spread).otherwise(0))
-    # Always 0, but not a constant to the optimizer: that would drop it from the shuffle keys.
-    side = right.withColumn("__zero", F.pmod(F.xxhash64(F.col(f"`{right_key}`")), F.lit(1)))
-    joined = salted.join(
-        side, (k == F.col(f"`{right_key}`")) & (F.col("__salt") == F.col("__zero")), "left"
-    )
-    if not hot:
-        return joined.select(*[F.col(f"`{c}`") for c in left.columns + values])
-    few = right.filter(F.col(f"`{right_key}`").isin(hot)).select(
-        F.col(f"`{right_key}`").alias("__hot"), *[F.col(f"`{c}`").alias(f"__h_{c}") for c in values]
-    )
-    both = joined.join(F.broadcast(few), k == F.col("__hot"), "left")
-    found = [
-        F.when(F.col("__hot").isNotNull(), F.col(f"__h_{c}")).otherwise(F.col(f"`{c}`")).alias(c)
-        for c in values
-    ]
-    return both.select(*[F.col(f"`{c}`") for c in left.columns], *found)
+    spread = F.when(k.isNull(), F.lit(SALTS)).otherwise(F.coalesce("__parts", F.lit(1)))
+    salted = left.join(hot, k == F.col("__hot"), "left").withColumn(
+        "__part", F.pmod(F.xxhash64(*hashable), spread).cast("int")).drop("__hot", "__parts")
+    side = right.join(hot, F.col(f"`{right_key}`") == F.col("__hot"), "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    joined = salted.join(side, (k == F.col(f"`{right_key}`")) & (F.col("__part") == F.col("__salt")), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in left.columns + values])
 
 
 def first_wins(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

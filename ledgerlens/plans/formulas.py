@@ -12,8 +12,10 @@ from ledgerlens.functions.formulas import (
     with_fingerprints,
 )
 from ledgerlens.functions.predicates import contains_ci
+from ledgerlens.operators.merging import lookup
 from ledgerlens.operators.ordering import Order, asc, desc, sorts, top, window_of_rows
 from ledgerlens.operators.reshape import edges, exploded_links, link_ids
+from ledgerlens.session import pin
 
 # ---- Fixed values: group labels, export headers, list lengths. ----
 LABELS = {
@@ -89,7 +91,8 @@ def usage_facts(formulas: DataFrame, cards_of: DataFrame, deps: DataFrame, cards
     """Formulas with active card count, summed views and how many formulas refer to them."""
     active = cards_of.filter("is_active").select("bm_id", "card_id")
     views = cards.select(F.col("id").alias("card_id"), "view_count")
-    per_formula = active.join(views, "card_id", "left").groupBy("bm_id").agg(
+    views = views.withColumnRenamed("card_id", "__card")
+    per_formula = lookup(active, views, "card_id", "__card").groupBy("bm_id").agg(
         F.count(F.lit(1)).alias("__cards"),
         F.sum(F.coalesce("view_count", F.lit(0))).alias("__views"),
     )
@@ -147,8 +150,8 @@ def classify_usage(
     if owners is None:
         named = facts.withColumn("owner_name", F.lit(""))
     else:
-        known = owners.select(F.col("id").alias("owner_id"), F.col("name").alias("owner_name"))
-        named = facts.join(known, "owner_id", "left")
+        known = owners.select(F.col("id").alias("__owner"), F.col("name").alias("owner_name"))
+        named = lookup(facts, known, "owner_id", "__owner")
     group = usage_group(
         F.col("active_cards_count"), F.col("referenced_by_count"), F.col("total_views"), threshold
     )
@@ -181,10 +184,12 @@ def duplicate_members(
 ) -> DataFrame:
     """(value, count, id) rows of the k largest duplicate groups; no group is gathered anywhere.
 
-    The kept values are at most k rows, so they are broadcast and the table is read in place.
+    Values are counted and then listed, so they are made once and pinned with their ids. The kept
+    values are at most k rows, so they are broadcast and the pinned rows are read in place.
     """
-    keys = F.broadcast(duplicate_keys(df, key, k))
-    return df.select(key, id_col).join(keys, key).select(key, "cnt", id_col)
+    made = pin(df.select(key, id_col).filter(F.col(key) != ""))
+    keys = F.broadcast(duplicate_keys(made, key, k))
+    return made.join(keys, key).select(key, "cnt", id_col)
 
 
 def with_names(analysis: DataFrame, formulas: DataFrame) -> DataFrame:
@@ -219,8 +224,14 @@ def group_counts(analysis: DataFrame) -> DataFrame:
 
 
 def catalog_summary(analysis: DataFrame, formulas: DataFrame) -> dict[str, DataFrame]:
-    """Sections of the summary; duplicates are the repeated values with their numbers."""
+    """Sections of the summary; duplicates are the repeated values with their numbers.
+
+    The analysis is made once, for all sections, and pinned.
+    """
     n = SUMMARY_DUPLICATES
+    analysis = pin(analysis.select(
+        "bm_id", "group_number", "group_label", "duplicate_hash", "normalized_hash",
+        "structure_hash", "dataset_names"))
     return {
         "groups": group_counts(analysis),
         "duplicates_exact": duplicate_keys(analysis, "duplicate_hash", n),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordering import asc
 from ledgerlens.plans import cards
-from ledgerlens.operators.aggregates import column_profile, filter_values
+from ledgerlens.operators.aggregates import (
+    column_profile, column_sketches, filter_values, merged_sketches,
+)
 from ledgerlens.queries.registry import ORDERS_DATED, REF_DATE, Tables, orders_dated, query
 
 COLUMNS = cards.CardColumns(
@@ -84,6 +88,20 @@ def profile(t: Tables) -> DataFrame:
     return stats.drop("type").withColumn("samples", F.nullif(F.array_join("samples", "|"), F.lit("")))
 
 
+@query("q_profile_sketches", " UNION ALL ".join(f"""
+    SELECT '{c}' AS name, count(*) AS total_rows, count(*) FILTER ({c} IS NULL) AS null_count, 1 AS close FROM orders"""
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")))
+def profile_sketches(t: Tables) -> DataFrame:
+    """Sketches of each order status, merged: within 4 % of the exact distinct values."""
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    parts = [column_sketches(rows.filter(F.col("o_orderstatus") == s)) for s in ("F", "O", "P")]
+    whole = merged_sketches(functools.reduce(DataFrame.unionByName, parts))
+    exact = column_profile(rows, samples=0).select("name", "distinct_count")
+    close = F.abs(F.col("approx_distinct") - F.col("distinct_count")) <= 0.04 * F.col("distinct_count")
+    return whole.join(exact, "name").select(
+        "name", "total_rows", "null_count", close.cast("int").alias("close"))
+
+
 @query("q_filter_values", """
     WITH p AS (SELECT p_brand, p_type, p_name, CAST(p_partkey AS VARCHAR) AS p_partkey,
                       CASE WHEN p_size < 10 THEN '' WHEN p_size < 20 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS p_size FROM part),

@@ -107,7 +107,7 @@ def lookup_hot_keys(t: Tables) -> DataFrame:
     key = F.when(kind == "click", 7).when(kind != "view", F.col("user_id"))
     rows = t.events.select("event_id", key.alias("key"))
     names = t.customer.select("c_custkey", "c_name")
-    return merging.lookup(rows, names, "key", "c_custkey", hot_rows=100).select("event_id", "c_name")
+    return merging.lookup(rows, names, "key", "c_custkey", hot_rows=2).select("event_id", "c_name")
 
 
 @query("q_conform_filter", """

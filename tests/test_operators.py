@@ -103,14 +103,42 @@ def test_lookup_spreads_hot_and_missing_keys(spark):
         right = spark.range(100).select(F.col("id").alias("key"), F.lit("x").alias("name"))
         out = merging.lookup(left, right, "k", "key", hot_rows=100)
         plan = out._jdf.queryExecution().executedPlan().toString()
-        assert re.search(r"hashpartitioning\(.*__salt#", plan)
+        assert re.search(r"hashpartitioning\(.*__part#", plan)
         sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
         assert out.count() == 8000 and max(sizes) < 3000
+        # Far more hot keys than any list of them could name.
+        many = spark.range(20_000).select((F.col("id") % 4000).alias("k"), "id")
+        names = spark.range(4000).select(F.col("id").alias("key"), F.col("id").cast("string").alias("name"))
+        found = merging.lookup(many, names, "k", "key", hot_rows=2)
+        assert found.filter("name = cast(k as string)").count() == found.count() == 20_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_profile_counts_all_kinds_of_values(spark):
+    df = spark.createDataFrame(
+        [(0.0, b"\xff", [1], "a"), (-0.0, b"\xfe", [1], None), (float("nan"), None, [2], ""), (None, b"\xff", None, "a")],
+        "x double, b binary, l array<int>, s string")
+    got = aggregates.column_profile(df, samples=1)
+    assert rows(got.select("name", "total_rows", "null_count", "distinct_count")) == [
+        ("b", 4, 1, 2), ("l", 4, 1, 2), ("s", 4, 1, 2), ("x", 4, 1, 2)]
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    none = aggregates.column_profile(df.limit(0))
+    assert [tuple(r)[2:] for r in none.collect()] == [(0, 0, 0, [])] * 4
+
+
+def test_digests_are_made_once(spark):
+    from ledgerlens.functions.formulas import with_fingerprints
+
+    df = spark.createDataFrame([(1, "SUM(`a`) -- x"), (2, "sum(a)"), (3, "")], "id int, e string")
+    made = with_fingerprints(df, "e").filter("structure_hash <> ''")
+    both = made.join(made.groupBy("structure_hash").count(), "structure_hash").select("id", "count")
+    assert rows(both) == [(1, 2), (2, 2)]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("md5(") == 3 and plan.count("regexp_replace(") <= 12
+
+
 def test_pivot_refuses_too_many_headers(spark):
     with pytest.raises(ValueError, match="1000"):
         reshape.few_values(spark.range(2000), "id")
