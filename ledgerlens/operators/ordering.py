@@ -12,6 +12,7 @@ and dealt over several ranges, unless they are the same in all columns.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.operators.barrier import once
+
 # Rows of a range; a range is what one task sorts.
 RANGE_ROWS = 1_000_000
 # Sampled keys per range: with so many a range is hardly ever twice as large as meant.
@@ -27,7 +30,10 @@ SAMPLES = 40
 # A page is a plain top-n as long as all tasks together hold no more rows than this for it.
 TOP_ROWS = 1_000_000
 # Ranges into which one step of a deep page cuts the rows it still has to look at.
-PAGE_RANGES = 1_000
+PAGE_RANGES = 200
+# Whole timestamps in JSON.
+_FORMAT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+           "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 @dataclass(frozen=True)
@@ -84,7 +90,10 @@ class Ranges:
         if ranges > 1:
             named = [Order(f"k{i}", o.descending, o.nulls_last) for i, o in enumerate(order)]
             sample = keys.sample(min(1.0, SAMPLES * ranges / rows), 7)
-            found = sample.orderBy(*sorts(named)).collect()
+            # The sample is small, so one task sorts it; as JSON the keys go back into plans as they are.
+            row = F.to_json(F.struct(*keys.columns), _FORMAT)
+            ordered = sample.coalesce(1).sortWithinPartitions(*sorts(named))
+            found = [r[0] for r in ordered.select(row).collect()]
             at = sorted({len(found) * i // ranges for i in range(1, ranges)})
             self.bounds = list(dict.fromkeys(found[i] for i in at if i < len(found)))
 
@@ -94,25 +103,28 @@ class Ranges:
             df = df.withColumn("__range", F.lit(0))
             none = F.lit(None).cast(self.schema)
             return df.withColumn(next_key, none) if next_key else df
-        one = T.StructType([T.StructField("bounds", T.ArrayType(self.schema))])
-        bounds = self.spark.createDataFrame([(self.bounds,)], one).scalar()
+        bounds = self.literal()
         halves = [1 << i for i in reversed(range(len(self.bounds).bit_length()))]
         values = [o.value for o in self.order]
 
         def step(low: Column, half: Column) -> Column:
-            bound = F.get("__bounds", low + half - 1)
-            inside = F.lit(True)
-            for i, o in reversed(list(enumerate(self.order))):
-                b = bound.getField(f"k{i}")
-                inside = o.after(values[i], b) | (values[i].eqNullSafe(b) & inside)
-            return F.when((low + half <= len(self.bounds)) & inside, low + half).otherwise(low)
-
-        df = df.withColumn("__bounds", bounds)
+            def moved(bound: Column) -> Column:
+                inside = F.lit(True)
+                for i, o in reversed(list(enumerate(self.order))):
+                    b = bound.getField(f"k{i}")
+                    inside = o.after(values[i], b) | (values[i].eqNullSafe(b) & inside)
+                return F.when((low + half <= len(self.bounds)) & inside, low + half).otherwise(low)
+
+            # A lambda of its own names the bound once; the plan then holds the bounds once.
+            return F.get(F.transform(F.array(F.get(bounds, low + half - 1)), moved), F.lit(0))
+
         place = F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), step)
-        df = df.withColumn("__range", place)
-        if next_key:
-            df = df.withColumn(next_key, F.get("__bounds", F.col("__range")))
-        return df.drop("__bounds")
+        df = once(df, __range=place)
+        return df.withColumn(next_key, F.get(bounds, F.col("__range"))) if next_key else df
+
+    def literal(self) -> Column:
+        """The bounds as one constant of the plan: as a column they would be copied into every row."""
+        return F.from_json(F.lit(f"[{','.join(self.bounds)}]"), T.ArrayType(self.schema), _FORMAT)
 
 
 def ranges_of(
@@ -164,15 +176,16 @@ def global_row_number(
 
 def _carried(ranges: Ranges, totals: dict[int, list], n_keys: int, n_sums: int) -> list[tuple]:
     """(range, sums): what earlier ranges hold of the key that each range begins with."""
-    def same(a, b) -> bool:
-        return all(x == y or (x != x and y != y) for x, y in zip(a[:n_keys], b[:n_keys]))
-
-    out, now = [], [None] * n_sums
-    for at, bound in enumerate(ranges.bounds):
-        if at and not same(ranges.bounds[at - 1], bound):
-            now = [None] * n_sums
-        own = totals.get(at, [None] * n_sums)
-        now = [b if a is None else a if b is None else a + b for a, b in zip(now, own)]
+    def key(bound: str) -> list:
+        row = json.loads(bound)
+        return [row.get(f"k{i}") for i in range(n_keys)]
+
+    out, now, last = [], [None] * n_sums, None
+    for at, own in enumerate(map(key, ranges.bounds)):
+        if own != last:
+            now, last = [None] * n_sums, own
+        more = totals.get(at, [None] * n_sums)
+        now = [b if a is None else a if b is None else a + b for a, b in zip(now, more)]
         out.append((at + 1, *now))
     return out
 
@@ -212,10 +225,8 @@ def running_sums(
     schema = T.StructType([T.StructField("__r", T.IntegerType()), *totals.schema.fields[1:]])
     carried = df.sparkSession.createDataFrame(_carried(ranges, found, len(keys), len(names)), schema)
     # The first key of a range, the only one with a sum from before it.
-    firsts = df.sparkSession.createDataFrame(
-        [(i + 1, b) for i, b in enumerate(ranges.bounds)],
-        T.StructType([T.StructField("__r", T.IntegerType()), T.StructField("__first", ranges.schema)]))
-    side = F.broadcast(carried.join(F.broadcast(firsts), "__r"))  # a row per range
+    first = F.get(ranges.literal(), F.col("__r") - 1)
+    side = F.broadcast(carried.withColumn("__first", first))  # a row per range
     begins = F.col("__range") == F.col("__r")
     for i, k in enumerate(keys):
         begins = begins & F.col(f"`{k}`").eqNullSafe(F.col(f"__first.k{i}"))

@@ -234,7 +234,7 @@ def running_sum(t: Tables) -> DataFrame:
 
 @query("q_running_sum_ranged", RUNNING_SQL)
 def running_sum_ranged(t: Tables) -> DataFrame:
-    return ordering.running_sums(*_running(t), range_rows=2_000).select(*RUNNING_COLUMNS)
+    return ordering.running_sums(*_running(t), range_rows=5_000).select(*RUNNING_COLUMNS)
 
 
 @query("q_running_sum_2key", """
@@ -261,7 +261,7 @@ def running_sum_2key(t: Tables) -> DataFrame:
 def global_row_number(t: Tables) -> DataFrame:
     o = orders_dated(t).select("o_orderkey", "d")
     order = [asc("d"), asc("o_orderkey")]
-    return ordering.global_row_number(o, order, "id", range_rows=2_000).select("o_orderkey", "id")
+    return ordering.global_row_number(o, order, "id", range_rows=5_000).select("o_orderkey", "id")
 
 
 def _paged(t: Tables, top_rows: int) -> DataFrame:

@@ -66,6 +66,21 @@ def test_ranges_keep_every_order(spark):
         assert found == sorted(found) and len(set(found)) > 10
 
 
+def test_bounds_of_every_type_keep_their_values(spark):
+    df = spark.range(300).select(
+        F.timestamp_micros(F.col("id") * 7 + 10 ** 15).alias("ts"), F.expr("date_add(DATE'0999-12-25', cast(id as int))").alias("d"),
+        (F.col("id") / F.lit(7.0)).alias("x"), F.expr("cast(id as decimal(30,10)) / 3").alias("dec"),
+        F.expr("if(id % 9 = 0, float('nan'), cast(id / 3 as float))").alias("f"),
+        F.expr("timestamp_micros(id * 7)").cast("timestamp_ntz").alias("ntz"), F.expr("id % 2 = 0").alias("flag"),
+        F.concat(F.lit("\"é\\\n"), "id").alias("s"), F.encode(F.col("id").cast("string"), "UTF-8").alias("bin"))
+    for c in df.columns:
+        found = ordering.Ranges(df, [asc(c)], 300, 30)
+        bounds = spark.range(1).select(F.inline(found.literal()))
+        assert bounds.join(df, bounds["k0"].eqNullSafe(df[c]), "left_anti").count() == 0
+        placed = [r["__range"] for r in found.assign(df).orderBy(c).collect()]
+        assert placed == sorted(placed) and (len(set(placed)) == 30 or c in ("flag", "f"))
+
+
 def test_rows_equal_in_the_order_are_dealt(spark):
     df = spark.range(600).select(F.lit("x").alias("k"), F.lit(1).alias("day"), F.col("id").alias("v"))
     got = ordering.running_sums(df, {"t": F.col("v") * 0 + 2}, ["k"], [asc("day")], 50)
