@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 
 # Words remembered in each of two generations of the cache.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
