@@ -152,7 +152,11 @@ AGGREGATIONS = {"SUM": F.sum, "COUNT": F.count, "AVG": F.avg, "MIN": F.min, "MAX
 
 @dataclass(frozen=True)
 class CardSpec:
-    """A card described by columns: rows, a measure, its aggregation, and optionally a pivot."""
+    """A card described by columns: rows, a measure, its aggregation, and optionally a pivot.
+
+    A filter maps a column to a value, to None for rows without one, or to a pair of a comparison of
+    COMPARISONS and its value.
+    """
 
     row: str | None
     value: str
@@ -177,31 +181,89 @@ def validate_card(spec: CardSpec, df: DataFrame) -> list[str]:
         problems.append(f"{kind} needs a value column")
     elif kind in ("SUM", "AVG") and types.get(spec.value) in ("string", "date", "boolean"):
         problems.append(f"{kind} needs a numeric column, not {spec.value}")
-    return problems
+    unknown = [g[0] for g in (spec.filters or {}).values() if isinstance(g, tuple) and g[0] not in COMPARISONS]
+    return problems + [f"unknown comparison: {c}" for c in unknown]
+
+
+COMPARISONS = {
+    "=": lambda c, v: c == v, "!=": lambda c, v: c != v, "<": lambda c, v: c < v,
+    "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v,
+    "contains": lambda c, v: c.cast("string").contains(v),
+    "in": lambda c, v: c.isin(list(v)),
+    "between": lambda c, v: c.between(v[0], v[1]),
+}
+
+
+def _hits(df: DataFrame, spec: CardSpec) -> DataFrame:
+    """Rows that pass all filters: a value, None for no value, or a pair of comparison and value."""
+    wanted = []
+    for name, given in (spec.filters or {}).items():
+        column = F.col(f"`{name}`")
+        how, value = given if isinstance(given, tuple) else ("=", given)
+        wanted.append(column.isNull() if value is None else COMPARISONS[how](column, value))
+    return where_all(df, wanted)
+
+
+def _measured(spec: CardSpec) -> Column:
+    measure = F.lit(1) if spec.value == "*" else F.col(f"`{spec.value}`")
+    return AGGREGATIONS[spec.aggregation.upper()](measure)
+
+
+def _by_value(spec: CardSpec, value: Column) -> Column:
+    return value.asc_nulls_last() if spec.sort.upper() == "ASC" else value.desc_nulls_last()
+
+
+def card_cells(df: DataFrame, spec: CardSpec) -> DataFrame:
+    """A card in long form: (kind, row, header, value), however many headers there are.
+
+    kind tells cells from totals: cell, row (of all headers), header (of all rows), all. So a row
+    or header without a value stays apart from the totals, and from the text null. All four come
+    from one pass over the rows.
+    """
+    if problems := validate_card(spec, df):
+        raise ValueError("; ".join(problems))
+    if spec.row is None or spec.pivot is None:
+        raise ValueError("a long card needs a row and a pivot")
+    named = _hits(df, spec).withColumns({"__row": F.col(f"`{spec.row}`"), "__header": F.col(f"`{spec.pivot}`")})
+    row, header = F.col("__row"), F.col("__header")
+    grouped = named.groupingSets([[row, header], [row], [header], []], row, header).agg(
+        _measured(spec).alias("value"), F.grouping_id().alias("__id"))
+    kind = F.when(F.col("__id") == 0, "cell").when(F.col("__id") == 1, "row").when(
+        F.col("__id") == 2, "header").otherwise("all")
+    return grouped.select(kind.alias("kind"), row.alias("row"), header.alias("header"), "value")
 
 
 def build_card(df: DataFrame, spec: CardSpec, headers: Sequence | None = None) -> DataFrame:
-    problems = validate_card(spec, df)
-    if problems:
+    """The card as a table: one row per row value, or a single value; with a pivot one column per header.
+
+    Rows are ordered by their value, with a pivot by that over all headers. Headers are few: found
+    first if not given, else card_cells has the long form. Rows without a pivot value have a column
+    of their own, last if found; its name is null, or (null) beside a header of that text.
+    """
+    if problems := validate_card(spec, df):
         raise ValueError("; ".join(problems))
-    hits = where_all(df, [F.col(f"`{c}`") == F.lit(v) for c, v in (spec.filters or {}).items()])
-    measure = F.lit(1) if spec.value == "*" else F.col(f"`{spec.value}`")
-    value = AGGREGATIONS[spec.aggregation.upper()](measure)
+    hits, value = _hits(df, spec), _measured(spec)
     if spec.row is None:
         return hits.agg(value.alias("value"))
-    groups = hits.groupBy(spec.row)
-    if spec.pivot:
-        # Rows without a pivot value have a column of their own, named null as Spark names it.
-        named = F.coalesce(F.col(f"`{spec.pivot}`").cast("string"), F.lit("null"))
-        if headers is None:
-            headers = few_values(hits, spec.pivot)
-            if not hits.filter(F.col(f"`{spec.pivot}`").isNull()).isEmpty():
-                headers = [*headers, "null"]
-        labels = hits.sparkSession.range(1).select(*[F.lit(h).cast("string") for h in headers]).first()
-        out = hits.withColumn("__pivot", named).groupBy(spec.row).pivot(
-            "__pivot", list(labels)).agg(value).orderBy(spec.row)
-    else:
-        out = groups.agg(value.alias("value"))
-        first = F.col("value").asc_nulls_last() if spec.sort.upper() == "ASC" else F.desc_nulls_last("value")
-        out = out.orderBy(first, F.col(f"`{spec.row}`").asc_nulls_last())
+    row = F.col(f"`{spec.row}`")
+    if spec.pivot is None:
+        out = hits.groupBy(row).agg(value.alias("value")).orderBy(
+            _by_value(spec, F.col("value")), row.asc_nulls_last())
+        return out if spec.limit is None else out.limit(spec.limit)
+    if headers is None:
+        headers = few_values(hits, spec.pivot)
+        if not hits.filter(F.col(f"`{spec.pivot}`").isNull()).isEmpty():
+            headers = [*headers, None]
+    texts = [h for h in headers if h is not None]
+    labels = hits.sparkSession.range(1).select(
+        F.lit(0).alias("__"), *[F.lit(h).cast("string") for h in texts]).first()[1:]
+    empty = "(null)" if "null" in map(str.lower, labels) else "null"
+    names = dict(zip(texts, labels))
+    cells = card_cells(df, spec).filter(F.col("kind").isin("cell", "row"))
+    wanted = lambda h: (F.col("kind") == "cell") & F.col("header").eqNullSafe(F.lit(h))
+    # Cells are found by their header, null-safe, and not by its name; each is one row by now.
+    wide = cells.groupBy(F.col("row").alias(spec.row)).agg(
+        F.max(F.when(F.col("kind") == "row", F.col("value"))).alias("__all"),
+        *[F.max(F.when(wanted(h), F.col("value"))).alias(empty if h is None else names[h]) for h in headers])
+    out = wide.orderBy(_by_value(spec, F.col("__all")), row.asc_nulls_last()).drop("__all")
     return out if spec.limit is None else out.limit(spec.limit)

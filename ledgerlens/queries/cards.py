@@ -176,6 +176,40 @@ def generic_card(t: Tables) -> DataFrame:
     return wide.select("o_orderpriority", *[F.round(c, 2).alias(c) for c in "FOP"])
 
 
+# A header without a value and one that is the text null, and more headers than a plan holds.
+CARD_ROWS = """(SELECT o_orderpriority AS r, o_totalprice, o_orderkey % 1500 AS many,
+    CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'P' THEN 'null' ELSE o_orderstatus END AS h FROM orders)"""
+
+
+def _card_rows(t: Tables) -> DataFrame:
+    status = F.col("o_orderstatus")
+    header = F.when(status == "P", "null").when(status != "F", status)
+    return t.orders.select(F.col("o_orderpriority").alias("r"), "o_totalprice",
+                           (F.col("o_orderkey") % 1500).alias("many"), header.alias("h"))
+
+
+@query("q_generic_card_nulls", f"""
+    SELECT r, count(*) FILTER (h = 'O') AS "O", nullif(count(*) FILTER (h = 'null'), 0) AS "null",
+        count(*) FILTER (h IS NULL) AS "(null)" FROM {CARD_ROWS} c WHERE o_totalprice >= 1000 GROUP BY r
+    ORDER BY count(*) DESC, r LIMIT 3
+""")
+def generic_card_nulls(t: Tables) -> DataFrame:
+    """The three largest rows of a pivot, with a NULL header beside the text null."""
+    spec = cards.CardSpec("r", "*", "COUNT", pivot="h", filters={"o_totalprice": (">=", 1000)}, limit=3)
+    return cards.build_card(_card_rows(t), spec)
+
+
+@query("q_generic_card_cells", f"""
+    SELECT CASE grouping(r, many) WHEN 0 THEN 'cell' WHEN 1 THEN 'row' WHEN 2 THEN 'header' ELSE 'all' END AS kind,
+        r AS "row", many AS header, count(*) AS "value" FROM {CARD_ROWS} c WHERE h IS NULL
+    GROUP BY GROUPING SETS ((r, many), (r), (many), ())
+""")
+def generic_card_cells(t: Tables) -> DataFrame:
+    """A pivot of more headers than columns can hold, in long form with its totals."""
+    spec = cards.CardSpec("r", "*", "COUNT", pivot="many", filters={"h": None})
+    return cards.card_cells(_card_rows(t), spec)
+
+
 @query("q_generic_card_top", """
     SELECT c_nationkey, count(*) AS "value" FROM customer WHERE c_mktsegment = 'BUILDING'
     GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5

@@ -219,12 +219,23 @@ def test_broken_csv_rows_stay_away_from_every_selection(spark, tmp_path):
 
 
 def test_pivot_keeps_rows_without_a_header(spark):
-    from ledgerlens.plans.cards import CardSpec, build_card
+    from ledgerlens.plans.cards import CardSpec, build_card, card_cells
 
     df = spark.createDataFrame([("a", "x", 1), ("a", None, 5), ("b", None, 7)], "r string, p string, v int")
     card = build_card(df, CardSpec(row="r", value="v", pivot="p"))
     assert card.columns == ["r", "x", "null"]
-    assert rows(card) == [("a", 1, 5), ("b", None, 7)]
+    assert [tuple(r) for r in card.collect()] == [("b", None, 7), ("a", 1, 5)]
+    text = df.unionByName(df.withColumns({"p": F.lit("null"), "v": F.col("v") * 100}))
+    card = build_card(text, CardSpec(row="r", value="v", pivot="p", sort="ASC"))
+    assert card.columns == ["r", "null", "x", "(null)"]
+    assert [tuple(r) for r in card.collect()] == [("a", 600, 1, 5), ("b", 700, None, 7)]
+    cells = card_cells(text, CardSpec(row="r", value="v", pivot="p", filters={"v": ("between", (1, 100))}))
+    assert rows(cells) == sorted([
+        ("cell", "a", "x", 1), ("cell", "a", "null", 100), ("cell", "a", None, 5), ("cell", "b", None, 7),
+        ("row", "a", None, 106), ("row", "b", None, 7), ("header", None, "x", 1), ("header", None, "null", 100),
+        ("header", None, None, 12), ("all", None, None, 113)], key=repr)
+    with pytest.raises(ValueError, match="unknown comparison"):
+        build_card(df, CardSpec(row="r", value="v", filters={"v": ("like", 1)}))
 
 
 def test_casts_follow_the_whole_text(spark):
