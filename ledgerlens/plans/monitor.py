@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from ledgerlens.operators.merging import (
     arrival, best_per_key, first_wins, last_writes, lookup, overlay, propagate_last,
 )
 from ledgerlens.operators.ordering import asc, desc, top, window_of_rows
-from ledgerlens.sources.sinks import append_table
+from ledgerlens.sources.sinks import replace_table
 
 # ---- Fixed values: provider words without meaning, states, time zone, export headers. ----
 PLAIN_PROVIDERS = ("STANDARD", "STANDARD_OAUTH")
@@ -318,23 +319,51 @@ def health_counts(checked: DataFrame) -> DataFrame:
     )
 
 
+def _of_run(path: str, run_id: str, check_type: str) -> str:
+    return f"{path}/run_id={quote(run_id, safe='')}/check_type={check_type}"
+
+
 def log_check(
     spark: SparkSession, check_type: str, checked: DataFrame, filters_json: str,
-    checked_at: dt.datetime, runs_path: str, alerts_path: str,
-) -> None:
-    """Append the counters of a run to the run log, and its alerts, one row each, beside it.
+    checked_at: dt.datetime, runs_path: str, alerts_path: str, run_id: str | None = None,
+    crawled: DataFrame | None = None,
+) -> str:
+    """Log the counters of a run, and its alerts, one row each, beside them; returns the run's id.
 
     Alerts are rows keyed by run rather than one JSON text, so that a bad day with millions of
-    alerts is still written in parallel; each row carries its details as JSON.
+    alerts is still written in parallel; each row carries its details as JSON. A run's rows have
+    folders of their own, which a run logged again replaces, so a rerun does not double anything. By
+    default the time of the check is the run's id. total_crawled counts the records that
+    were fetched, of which the checked ones passed the filters.
     """
+    run = run_id or checked_at.strftime("%Y%m%dT%H%M%S.%f")
     stamp = F.lit(checked_at).cast("timestamp").alias("checked_at")
-    kind = F.lit(check_type).alias("check_type")
-    append_table(
-        health_counts(checked).select(kind, "*", F.lit(filters_json).alias("filters_json"), stamp),
-        runs_path,
-    )
+    fetched = (checked if crawled is None else crawled).agg(F.count(F.lit(1)).alias("total_crawled"))
+    counts = health_counts(checked).select(
+        fetched.scalar().alias("total_crawled"), "*",
+        (F.col("total_checked") - F.col("ok_count")).alias("total_alerts"),
+        F.lit(filters_json).alias("filters_json"), stamp)
+    # The alerts come first: a run with counters is complete.
     details = F.to_json(F.struct(*[F.col(c) for c in checked.columns])).alias("details_json")
-    append_table(checked.filter(F.col("verdict") != "ok").select(kind, stamp, details), alerts_path)
+    replace_table(checked.filter(F.col("verdict") != "ok").select(stamp, details),
+                  _of_run(alerts_path, run, check_type))
+    replace_table(counts, _of_run(runs_path, run, check_type))
+    return run
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The logged rows of all runs, with run_id and check_type, both as text."""
+    found = spark.read.parquet(path)
+    kinds = [f"`{f.name}` {'string' if f.name in ('run_id', 'check_type') else f.dataType.simpleString()}"
+             for f in found.schema]
+    return spark.read.schema(", ".join(kinds)).parquet(path)
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """Alerts of each run over all its checks, and the checks as a list of counters."""
+    per = F.struct("check_type", "total_crawled", "total_checked", "ok_count", "failed_count", "stale_count")
+    return runs.groupBy("run_id").agg(
+        F.sum("total_alerts").alias("total_alerts"), F.sort_array(F.collect_list(per)).alias("checks"))
 
 
 # ---- Alerts and listings over the stored tables ----

@@ -122,9 +122,12 @@ def low_usage_cards(
     return where_all(cards, wanted)
 
 
-def low_usage_page(low: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+def low_usage_page(
+    low: DataFrame, limit: int = 100, offset: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """A page of the least viewed cards, and their total number."""
     order = [asc("view_count"), asc("title"), asc("id")]
-    return window_of_rows(low, order, offset, limit)
+    return window_of_rows(low, order, offset, limit), low.agg(F.count(F.lit(1)).alias("total"))
 
 
 def _low_by(low: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from ledgerlens.plans import monitor
 from ledgerlens.operators.merging import ARRIVAL
 from ledgerlens.queries.registry import NOW, Tables, query
 
+from ledgerlens.session import scratch_path
 from ledgerlens.sources.payloads import payload_schema
 
 # Words the event types stand for.
@@ -72,6 +73,23 @@ def health_summary(t: Tables) -> DataFrame:
     return monitor.health_counts(checked(t))
 
 
+@query("q_run_log", f"""
+    SELECT 'night/1' AS run_id, 'dataset' AS check_type, (SELECT count(*) FROM {DATASETS} d) AS total_crawled,
+        count(*) AS total_checked, 0 AS failed_count, count(*) FILTER (verdict <> 'ok') AS stale_count,
+        count(*) FILTER (verdict = 'ok') AS ok_count, count(*) FILTER (verdict <> 'ok') AS total_alerts,
+        count(*) FILTER (verdict <> 'ok') AS alert_rows FROM {HEALTH} h
+""")
+def run_log(t: Tables) -> DataFrame:
+    """A run logged twice, as by a repeated job, is read once."""
+    runs, alerts = scratch_path(t.spark, "runs"), scratch_path(t.spark, "alerts")
+    for _ in range(2):
+        monitor.log_check(t.spark, "dataset", checked(t), "{}", NOW, runs, alerts, "night/1", datasets(t))
+    rows = monitor.read_log(t.spark, alerts).groupBy("run_id", "check_type").agg(F.count(F.lit(1)).alias("alert_rows"))
+    return monitor.read_log(t.spark, runs).join(rows, ["run_id", "check_type"], "left").select(
+        "run_id", "check_type", "total_crawled", "total_checked", "failed_count", "stale_count", "ok_count",
+        "total_alerts", F.coalesce("alert_rows", F.lit(0)).alias("alert_rows"))
+
+
 FLOW_FAILED = """upper(dataset_status) <> 'DISABLED' AND (contains(upper(last_execution_state), 'FAILED')
     OR contains(upper(last_execution_state), 'ERROR') OR contains(upper(dataset_status), 'FAILED') OR contains(upper(dataset_status), 'ERROR'))"""
 

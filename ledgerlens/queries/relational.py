@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
+import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.formulas import referenced_ids
@@ -18,8 +19,12 @@ from ledgerlens.queries.registry import (
     ORDERS_DATED, REF_DATE, Tables, orders_dated, period_sql, query,
 )
 from ledgerlens.session import broadcast_if_small, scratch_path
-from ledgerlens.sources.files import read_csv, read_csv_named, read_json_lines, text_schema
-from ledgerlens.sources.sinks import read_snapshot, replace_table, write_csv, write_snapshot
+from ledgerlens.sources.files import (
+    input_files, load_inputs, read_config, read_csv, read_csv_named, read_json_lines, text_schema,
+)
+from ledgerlens.sources.sinks import (
+    StepCounts, input_sizes, read_snapshot, replace_table, write_csv, write_snapshot,
+)
 from ledgerlens.sources.store import Store
 
 
@@ -456,33 +461,83 @@ def refresh_tables(t: Tables) -> DataFrame:
 
 # ---- sources and sinks ----
 
+@query("q_named_inputs", """
+    SELECT 'nations' AS input, n_nationkey || '' AS id, n_name AS name FROM nation
+    UNION ALL SELECT 'regions', r_regionkey || '', r_name FROM region
+""")
+def named_inputs(t: Tables) -> DataFrame:
+    """Inputs by their logical names, from the files that a configuration names."""
+    folder = scratch_path(t.spark, "in")
+    write_csv(t.nation, f"{folder}/nation.csv")
+    write_csv(t.region, f"{folder}/region.csv")
+    config = {"inputs": [{"name": "nations", "file": "nation.csv"}, {"name": "regions", "file": "region.csv"}]}
+    t.spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.text(f"{folder}/config")
+    files = input_files(read_config(t.spark, f"{folder}/config"))
+    wanted = {"nations": ["n_nationkey", "n_name"], "regions": ["r_regionkey", "r_name"]}
+    found = load_inputs(t.spark, folder, files, wanted)
+    return functools.reduce(DataFrame.union, [
+        found[n].select(F.lit(n).alias("input"), F.col(c[0]).alias("id"), F.col(c[1]).alias("name"))
+        for n, c in wanted.items()])
+
+
+@query("q_step_and_input_counts", """
+    SELECT 'step' AS kind, 'all' AS name, count(*) AS "rows", NULL AS "columns" FROM orders
+    UNION ALL SELECT 'step', 'finished', count(*) FILTER (o_orderstatus = 'F'), NULL FROM orders
+    UNION ALL SELECT 'input', 'nation', (SELECT count(*) FROM nation), 3
+    UNION ALL SELECT 'input', 'region', (SELECT count(*) FROM region), 2
+""")
+def step_and_input_counts(t: Tables) -> DataFrame:
+    """Rows of each step, observed while it was written, and the sizes of inputs."""
+    steps = StepCounts()
+    finished = steps.watch("finished", steps.watch("all", t.orders).filter("o_orderstatus = 'F'"))
+    finished.write.format("noop").mode("overwrite").save()
+    counted = t.spark.createDataFrame(
+        [("step", n, c, None) for n, c in steps.result().items()],
+        "kind string, name string, rows long, columns int")
+    sizes = input_sizes({"nation": t.nation.select("n_nationkey", "n_name", "n_regionkey"),
+                         "region": t.region.select("r_regionkey", "r_name")})
+    return counted.unionByName(sizes.select(
+        F.lit("input").alias("kind"), F.col("table").alias("name"), "rows", "columns"))
+
+
 @query("q_csv_malformed", """
     SELECT setting, selection, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders,
         (VALUES ('lines'), ('multi')) s(setting), (VALUES ('all'), ('one'), ('count')) c(selection)
     WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 GROUP BY setting, selection
 """)
 def csv_malformed(t: Tables) -> DataFrame:
-    """Rows too short or too long are skipped, whatever the setting and the columns selected."""
-    path = scratch_path(t.spark, "orders")
-    key = F.col("o_orderkey").cast("string")
-    line = F.when(F.col("o_orderkey") % 7 == 0, key).when(
-        F.col("o_orderkey") % 11 == 0, F.concat(key, F.lit(",F,more"))).otherwise(
-        F.concat_ws(",", key, "o_orderstatus"))
-    # A tab as separator leaves the commas, also of the header, as they are.
-    lines = t.orders.select(line.alias("o_orderkey,o_orderstatus"))
-    lines.write.option("header", True).option("sep", "\t").csv(path)
+    """Rows too short or too long are skipped, whatever the columns selected, with cells of one
+    line and with cells of two, whose breaks are quoted."""
     out = []
-    for setting, multi_line in (("lines", False), ("multi", True)):
-        df = read_csv(t.spark, path, text_schema(["o_orderkey", "o_orderstatus"]), multi_line)
+    for setting, cell in (("lines", F.col("o_orderstatus")), ("multi", F.concat(
+            F.lit('"'), "o_orderstatus", F.lit(' ""x""\n, y"')))):
+        path = scratch_path(t.spark, f"orders_{setting}")
+        _write_lines(t.orders, cell, path)
+        df = read_csv(t.spark, path, text_schema(["o_orderkey", "o_orderstatus"]))
+        if setting == "multi":
+            df = df.filter(F.col("o_orderstatus").endswith(' "x"\n, y'))
         total = F.sum(F.col("o_orderkey").cast("bigint")).alias("total")
         whole = df.agg(F.count("o_orderstatus").alias("n"), total)
         one = df.select("o_orderkey").agg(F.count("o_orderkey").alias("n"), total)
-        count = df.agg(F.count(F.lit(1)).alias("n")).crossJoin(one.select("total"))
+        count = df.agg(F.count(F.lit(1)).alias("n")).withColumn("total", one.select("total").scalar())
         for selection, found in (("all", whole), ("one", one), ("count", count)):
             out.append(found.select(F.lit(setting).alias("setting"), F.lit(selection).alias("selection"), "n", "total"))
     return functools.reduce(DataFrame.union, out)
 
 
+def _write_lines(orders: DataFrame, cell: Column, path: str) -> None:
+    """Text files of a header and a line per order; every seventh is too short, every eleventh too long."""
+    key = F.col("o_orderkey").cast("string")
+    line = F.when(F.col("o_orderkey") % 7 == 0, key).when(
+        F.col("o_orderkey") % 11 == 0, F.concat(key, F.lit(",F,more"))).otherwise(
+        F.concat(key, F.lit(","), cell))
+    lines = orders.select(F.pmod(F.xxhash64("o_orderkey"), F.lit(8)).alias("part"), F.lit(1).alias("at"), line.alias("line"))
+    heads = orders.sparkSession.range(8).select(
+        F.col("id").alias("part"), F.lit(0).alias("at"), F.lit("o_orderkey,o_orderstatus").alias("line"))
+    placed = lines.unionAll(heads).repartition("part").sortWithinPartitions("part", "at")
+    placed.select("part", "line").write.partitionBy("part").text(path)
+
+
 @query("q_csv_roundtrip", """
     SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || '、"引用"' || chr(10) || '改行' AS n_name FROM nation
 """)

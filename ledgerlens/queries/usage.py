@@ -79,12 +79,13 @@ def dashboards(t: Tables) -> DataFrame:
 
 
 @query("q_low_usage", f"""
-    SELECT id, title, view_count FROM {CARDS} c WHERE view_count <= 10 OR view_count IS NULL
+    SELECT id, title, view_count, count(*) OVER () AS total FROM {CARDS} c WHERE view_count <= 10 OR view_count IS NULL
     ORDER BY view_count ASC NULLS FIRST, title, id LIMIT 100 OFFSET 10
 """)
 def low_usage(t: Tables) -> DataFrame:
     low = usage.low_usage_cards(cards(t), 10)
-    return usage.low_usage_page(low, 100, 10).select("id", "title", "view_count")
+    rows, total = usage.low_usage_page(low, 100, 10)
+    return rows.select("id", "title", "view_count", total.scalar().alias("total"))
 
 
 LOW = f"(SELECT * FROM {CARDS} c WHERE view_count <= 10 OR view_count IS NULL)"

@@ -6,11 +6,12 @@ import json
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ledgerlens.operators.barrier import once
 from ledgerlens.operators.merging import ARRIVAL
 
 
@@ -19,35 +20,81 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = True
-) -> DataFrame:
-    """CSV with a header row; malformed rows are skipped, whichever columns a query selects.
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """CSV with a header row, quoted line breaks included; malformed rows are skipped, whichever
+    columns a query selects.
 
-    Quoted line breaks make a file unsplittable, so pass multi_line=False for large plain files.
+    Files are read line by line in splits, by many tasks. Whether a line begins inside a quoted
+    cell follows from the quotes before it: each split counts its own, a row per split is summed up
+    in file order, and only lines of records that go over several are joined again.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "DROPMALFORMED")
-        .option("multiLine", multi_line)
-        # A pruned scan would not notice that a row is broken in the columns it skips.
-        .option("columnPruning", False)
-        .option("encoding", "UTF-8")
-        .option("escape", '"')
-        .csv(path)
-    )
-
-
-def read_csv_named(
-    spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True
-) -> DataFrame:
+    lines = _placed_lines(spark, path)
+    return _parsed(lines, schema)
+
+
+def _placed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Whole records as __record; the header of each file is left out."""
+    text = spark.read.text(path).select(
+        F.regexp_replace("value", "\r$", "").alias("__line"), F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__row"))
+    odd = (F.length("__line") - F.length(F.replace("__line", F.lit('"'), F.lit("")))) % 2
+    text = text.withColumn("__odd", odd.cast("long"))
+    here = ["__file", "__split"]
+    # Of each split: its quotes, and the rows of its last line that begins a record, whether the
+    # split itself begins inside quotes or not.
+    running = F.sum("__odd").over(
+        Window.partitionBy(*here).orderBy("__row").rowsBetween(Window.unboundedPreceding, -1))
+    local = text.withColumn("__before", F.coalesce(running, F.lit(0)) % 2)
+    last = lambda parity: F.max(F.when(F.col("__before") == parity, F.col("__row")))
+    splits = local.groupBy(*here).agg(
+        F.sum("__odd").alias("odd"), last(0).alias("even_last"), last(1).alias("odd_last"),
+        F.min("__row").alias("top"))
+    earlier = Window.partitionBy("__file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    entered = splits.withColumn("__in", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    own = F.struct("__split", F.when(F.col("__in") == 0, F.col("even_last")).otherwise(F.col("odd_last")).alias("row"))
+    begun = F.max(F.when(own["row"].isNotNull(), own)).over(earlier)
+    starts = entered.select(
+        *here, "__in", begun.alias("__open"),
+        (F.row_number().over(Window.partitionBy("__file").orderBy("__split")) == 1).alias("__first"), "top")
+    # A row per split, and a split is at least a block of a file.
+    known = local.join(F.broadcast(starts), here)
+    begins = (F.col("__before") + F.col("__in")) % 2 == 0
+    whole = begins & (F.col("__odd") == 0)
+    header = F.col("__first") & (F.col("__row") == F.col("top"))
+    single = known.filter(whole & ~header).select(F.col("__line").alias("__record"))
+    parts = known.filter(~whole).withColumn("__begins", begins)
+    mark = F.when(F.col("__begins"), F.struct("__split", F.col("__row").alias("row")))
+    since = F.max(mark).over(Window.partitionBy(*here).orderBy("__row").rowsBetween(Window.unboundedPreceding, 0))
+    joined = parts.withColumn("__of", F.coalesce(since, "__open")).groupBy("__file", "__of").agg(
+        F.sort_array(F.collect_list(F.struct("__split", "__row", "__line"))).alias("p"),
+        F.max(F.col("__begins") & header).alias("__header"))
+    several = joined.filter(~F.col("__header")).select(
+        F.array_join(F.transform("p", lambda x: x["__line"]), "\n").alias("__record"))
+    return single.unionAll(several)
+
+
+def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    broken = "__broken"
+    full = T.StructType([*schema.fields, T.StructField(broken, T.StringType())])
+    row = F.from_csv("__record", _ddl(full), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken, "escape": '"', "multiLine": "true"})
+    # An empty line is no row.
+    made = once(lines.filter(F.trim("__record") != ""), __r=row)
+    return made.filter(F.col(f"__r.{broken}").isNull()).select(
+        *[F.col(f"__r.`{f.name}`").alias(f.name) for f in schema])
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+
+
+def read_csv_named(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Pick columns by header name, whatever their order or the extra columns around them."""
     header = spark.read.option("header", True).option("escape", '"').csv(path).columns
     missing = [c for c in columns if c not in header]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
-    df = read_csv(spark, path, text_schema(header), multi_line)
+    df = read_csv(spark, path, text_schema(header))
     return df.select(*[df[f"`{c}`"] for c in columns])
 
 
@@ -66,7 +113,6 @@ def load_inputs(
     folder: str,
     files: Mapping[str, str],
     columns: Mapping[str, Sequence[str]],
-    multi_line: bool = True,
 ) -> dict[str, DataFrame]:
     """Logical table name to DataFrame; a table without a configured or readable file is an error."""
     tables = {}
@@ -74,7 +120,7 @@ def load_inputs(
         if name not in files:
             raise ValueError(f"no file configured for input table '{name}'")
         try:
-            df = read_csv_named(spark, os.path.join(folder, files[name]), wanted, multi_line)
+            df = read_csv_named(spark, os.path.join(folder, files[name]), wanted)
         except AnalysisException as e:
             raise FileNotFoundError(f"input table '{name}': cannot read {files[name]}") from e
         df.createOrReplaceTempView(name)

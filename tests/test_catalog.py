@@ -178,7 +178,7 @@ def test_stats_and_low_usage(card_table):
     assert [tuple(r) for r in usage.type_distribution(card_table).collect()] == [("kpi", 2, 53), ("doc", 1, 0)]
     assert [tuple(r) for r in usage.top_dashboards(card_table).collect()] == [("Home", 2, 53)]
     low = usage.low_usage_cards(card_table, 10)
-    assert [r["id"] for r in usage.low_usage_page(low).collect()] == ["c", "d", "b"]
+    assert [r["id"] for r in usage.low_usage_page(low)[0].collect()] == ["c", "d", "b"]
     assert rows(usage.low_usage_by_owner(low)) == [("", 3, 3, 2)]
     assert (1, "Home", 1, 3, 0) in rows(usage.low_usage_by_dashboard(low))
     assert ("kpi", 1, 3) in rows(usage.low_usage_by_type(low))

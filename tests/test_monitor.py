@@ -208,13 +208,22 @@ def test_grids_and_exports(spark):
     assert [r["ID"] for r in monitor.export_dataflows(full, "ERROR").collect()] == ["f"]
 
 
-def test_run_log_appends(spark, tmp_path):
+def test_a_run_logged_again_replaces_itself(spark, tmp_path):
     checked = monitor.dataset_health(datasets(spark, {"id": "1"}, {"id": "2", "last_updated": MS}), NOW).cache()
+    log = lambda rows, run, kind="dataset": monitor.log_check(
+        spark, kind, rows, '{"stale_hours": 24}', NOW, str(tmp_path / "runs"), str(tmp_path / "alerts"), run)
     for _ in range(2):
-        monitor.log_check(spark, "dataset", checked, '{"stale_hours": 24}', NOW, str(tmp_path / "runs"), str(tmp_path / "alerts"))
-    runs, alerts = (spark.read.parquet(str(tmp_path / n)) for n in ("runs", "alerts"))
-    assert [tuple(r)[:5] for r in runs.collect()] == [("dataset", 2, 0, 1, 1)] * 2
-    assert json.loads(alerts.first()["details_json"])["id"] == "1" and alerts.count() == 2
+        log(checked, "7")
+    first = log(checked, None)
+    log(checked, first, "dataflow")
+    read = lambda n: monitor.read_log(spark, str(tmp_path / n))
+    assert rows(read("runs").select("run_id", "check_type", "total_crawled", "total_checked", "total_alerts")) == sorted([
+        ("7", "dataset", 2, 2, 1), (first, "dataset", 2, 2, 1), (first, "dataflow", 2, 2, 1)])
+    assert read("alerts").count() == 3
+    assert json.loads(read("alerts").first()["details_json"])["id"] == "1"
+    assert rows(monitor.run_summary(read("runs")).select("run_id", "total_alerts")) == [(first, 2), ("7", 1)]
+    log(checked.filter("verdict = 'ok'"), "7")  # nothing is left of the alerts of before
+    assert read("alerts").filter("run_id = '7'").count() == 0
 
 
 # ---- readers and writers ----

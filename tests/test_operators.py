@@ -1,7 +1,9 @@
 """Reshaping, merging and aggregate operators on small hand-checked rows."""
 
 import datetime as dt
+import csv
 import json
+import random
 import re
 
 import pytest
@@ -210,12 +212,35 @@ def test_broken_csv_rows_stay_away_from_every_selection(spark, tmp_path):
     from ledgerlens.sources.files import read_csv, read_csv_named, text_schema
 
     (tmp_path / "x.csv").write_text("id,name\n1,a\n2\n3,c,more\n4,d\n")
-    for multi_line in (True, False):
-        df = read_csv(spark, str(tmp_path / "x.csv"), text_schema(["id", "name"]), multi_line)
-        assert rows(df) == [("1", "a"), ("4", "d")]
-        assert rows(df.select("id")) == [("1",), ("4",)] and df.count() == 2
-        named = read_csv_named(spark, str(tmp_path / "x.csv"), ["name"], multi_line)
-        assert rows(named) == [("a",), ("d",)]
+    df = read_csv(spark, str(tmp_path / "x.csv"), text_schema(["id", "name"]))
+    assert rows(df) == [("1", "a"), ("4", "d")]
+    assert rows(df.select("id")) == [("1",), ("4",)] and df.count() == 2
+    named = read_csv_named(spark, str(tmp_path / "x.csv"), ["name"])
+    assert rows(named) == [("a",), ("d",)]
+
+
+@pytest.mark.parametrize("split", ["700", "100000000"])
+def test_quoted_breaks_are_read_in_splits(spark, tmp_path, split):
+    from ledgerlens.sources.files import read_csv, text_schema
+
+    rng = random.Random(4)
+    cell = lambda: "".join(rng.choice("ab ,\"\n\né'") for _ in range(rng.choice([0, 1, 3, 9, 60]))).strip(" ")
+    data = [[str(i), cell(), cell()] for i in range(400)]
+    data[7][1] = "x\n" * 900  # over several splits
+    for name, end, header in (("a", "\n", "first"), ("b", "\r\n", "fi\nrst")):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator=end)
+            out.writerows([["id", header, "second"], *data[name == "b"::2]])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = read_csv(spark, str(tmp_path), text_schema(["id", "first", "second"]))
+        assert (spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20) == (split == "700")
+        assert rows(df) == sorted((tuple(c or None for c in r) for r in data), key=repr)
+        assert df.limit(0).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_pivot_keeps_rows_without_a_header(spark):
