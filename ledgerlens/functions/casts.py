@@ -40,11 +40,6 @@ def try_bigint(text: Column) -> Column:
     return number
 
 
-def double_to_bigint(x: Column) -> Column:
-    """DOUBLE to BIGINT rounded half to even (a plain cast would truncate)."""
-    return F.bround(x).cast("bigint")
-
-
 def joined(*parts: Column) -> Column:
     """Concatenation that skips NULL parts."""
     return F.concat_ws("", *parts)

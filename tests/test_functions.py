@@ -31,10 +31,6 @@ def test_try_bigint(spark):
     assert values(spark, list(cases), casts.try_bigint) == list(cases.values())
 
 
-def test_double_to_bigint_rounds_half_to_even(spark):
-    assert values(spark, [12.7, 2.5, 3.5, -2.5], casts.double_to_bigint, "double") == [13, 2, 4, -2]
-
-
 def test_joined_skips_null(spark):
     assert values(spark, [None, "x"], lambda c: casts.joined(F.lit("a"), c)) == ["a", "ax"]
 

@@ -30,13 +30,16 @@ def land(spark, tmp_path_factory):
 
 
 def test_dataset_search_defaults(land):
+    """Only an id; everything; a null in place of the card counts."""
     got = monitor.normalise_datasets(land(
-        "dataset_search", {"id": "1", "name": "Test DS 1", "rowCount": 100},
-        {"id": "2", "name": "Test DS 2", "rowCount": 200, "cardInfo": {"cardCount": 4}, "scheduleActive": False, "type": "csv"}))
-    assert [(r["id"], r["name"], r["row_count"]) for r in got.orderBy("id").collect()] == [("1", "Test DS 1", 100), ("2", "Test DS 2", 200)]
-    second = got.filter("id = '2'").first()
-    assert (second["card_count"], second["schedule_state"], second["provider_type"]) == (4, "INACTIVE", "csv")
-    assert got.filter("id = '1'").first()["schedule_state"] == ""
+        "dataset_search", {"id": "invoices"},
+        {"id": "shops", "name": "店舗", "rowCount": 31, "columnCount": 7, "cardInfo": {"cardCount": 4},
+         "scheduleActive": False, "type": "csv", "state": "x"},
+        {"id": "stock", "name": "在庫", "cardInfo": None, "scheduleActive": True, "dataProviderType": "sheet", "type": "csv"}))
+    shown = ("name", "row_count", "column_count", "card_count", "schedule_state", "provider_type", "state")
+    assert {r["id"]: tuple(r[c] for c in shown) for r in got.collect()} == {
+        "invoices": ("", 0, 0, 0, "", "", ""), "shops": ("店舗", 31, 7, 4, "INACTIVE", "csv", "x"),
+        "stock": ("在庫", 0, 0, 0, "ACTIVE", "sheet", "")}
 
 
 def test_provider_choice_order(land):
@@ -77,13 +80,13 @@ def test_schedule_merge(land):
 
 
 def test_dataflow_latest_execution(land):
-    stub = land("dataflow_stub", {"databaseId": "df_1", "name": "Test DF", "status": "PENDING",
+    stub = land("dataflow_stub", {"databaseId": "joins", "name": "売上結合", "status": "QUEUED",
                                   "outputDatasets": [{"dataSourceId": "a"}, {"id": "b"}]}, {"databaseId": "df_2"})
-    runs = land("execution", {"dataflowId": "df_1", "id": 1, "beginTime": 1500000000000, "state": "FAILED"},
-                {"dataflowId": "df_1", "id": 2, "beginTime": 1600000000000, "state": "SUCCESS"})
+    runs = land("execution", {"dataflowId": "joins", "id": 1, "beginTime": 1500000000000, "state": "FAILED"},
+                {"dataflowId": "joins", "id": 2, "beginTime": 1600000000000, "state": "SUCCESS"})
     got = {r["id"]: r for r in monitor.normalise_dataflows(stub, runs, NOW).collect()}
-    assert got["df_1"]["last_execution_state"] == "SUCCESS" and got["df_1"]["status"] == "PENDING"
-    assert got["df_1"]["output_dataset_ids"] == ["a", "b"] and got["df_2"]["last_execution_time"] is None
+    assert got["joins"]["last_execution_state"] == "SUCCESS" and got["joins"]["status"] == "QUEUED"
+    assert got["joins"]["output_dataset_ids"] == ["a", "b"] and got["df_2"]["last_execution_time"] is None
     assert got["df_2"]["output_dataset_count"] == 0 and got["df_2"]["paused"] is False
 
 
@@ -161,16 +164,22 @@ def test_dataflow_health_verdicts(spark):
 
 
 def test_alerts_and_listing(spark):
-    ds = datasets(spark, {"id": "failed_ds_1", "provider_type": "mysql", "last_execution_state": "FAILED", "card_count": 50},
-                  {"id": "ok"}, {"id": "off", "last_execution_state": "FAILED", "dataset_status": "Disabled (x)"})
-    df = dataflows(spark, {"id": "failed_df_1", "status": "FAILED", "last_execution_state": "SUCCESS"}, {"id": "ok"})
+    ds = datasets(
+        spark, {"id": "ledger", "provider_type": "sftp", "last_execution_state": "Failed_timeout", "card_count": 3},
+        {"id": "quiet", "provider_type": "sheet"}, {"id": "broken", "dataset_status": "error: schema"},
+        {"id": "retired", "last_execution_state": "FAILED", "dataset_status": "Disabled (x)"})
+    df = dataflows(spark, {"id": "nightly", "status": "failed to start", "last_execution_state": "SUCCESS"},
+                   {"id": "hourly", "last_execution_state": "SUCCESS"}, {"id": "new"})
     bad_ds, bad_df = monitor.alerts(ds, df)
-    assert [r["id"] for r in bad_ds.collect()] == ["failed_ds_1"] and [r["id"] for r in bad_df.collect()] == ["failed_df_1"]
-    page, total = monitor.list_datasets(ds, provider="MySQL")
-    assert total.first()[0] == 1 and page.first()["id"] == "failed_ds_1"
-    assert monitor.list_datasets(ds)[1].first()[0] == 3 and monitor.list_dataflows(df, "success")[0].count() == 1
-    assert rows(monitor.provider_types(ds)) == [("mysql",)]
-    assert rows(monitor.state_distribution(ds)) == [("FAILED", 2), ("UNKNOWN", 1)]
+    assert {r["id"] for r in bad_ds.collect()} == {"ledger", "broken"}
+    assert {r["id"] for r in bad_df.collect()} == {"nightly"}
+    page, total = monitor.list_datasets(ds, provider="SFTP")
+    assert (total.first()[0], page.first()["id"]) == (1, "ledger")
+    page, total = monitor.list_datasets(ds, limit=2, offset=2)
+    assert (total.first()[0], page.count()) == (4, 2)
+    assert monitor.list_dataflows(df, "success")[1].first()[0] == 2
+    assert rows(monitor.provider_types(ds)) == [("sftp",), ("sheet",)]
+    assert rows(monitor.state_distribution(ds)) == [("FAILED", 1), ("Failed_timeout", 1), ("UNKNOWN", 2)]
 
 
 def test_auto_check(spark):
