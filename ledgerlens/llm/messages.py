@@ -1,10 +1,4 @@
-"""Questions from blocks of documents about keys, answered by the tasks that own the keys.
-
-A block sorts its distinct 64-bit keys and sends each part of the key space its share, packed; a
-part puts together what all blocks sent it and sends every block its answers, in the order of the
-block's keys. So a key crosses the network once per block that holds it, however often it occurs
-there, and an answer needs no key.
-"""
+"""Packed arrays of numbers, and hashes of sequences."""
 
 from __future__ import annotations
 
@@ -54,12 +48,6 @@ def unpack_numbers(data: bytes, n: int, kind: type = np.uint32) -> np.ndarray:
     return _unplanes(data, kind, n)
 
 
-def part_edges(sorted_keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of the equal ranges of the key space begins in the sorted keys."""
-    part = ((sorted_keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-
-
 def mix(keys: np.ndarray) -> np.ndarray:
     """Spread 64-bit keys evenly (the finalizer of a public 64-bit mixer)."""
     k = keys.astype(np.uint64)

@@ -1,7 +1,7 @@
 """Language-model scoring: a weighted backoff automaton walked once, left to right, per text.
 
 Counts cover the whole corpus and are never in one place. A block of documents asks the owners of
-its n-grams for their counts in all training texts (see `messages`), and builds the part of the
+its n-grams for their counts in all training texts (see `routing`), and builds the part of the
 automaton that its texts can reach: a state per known context, an arc per seen n-gram, and a
 failure arc to the next shorter context. A task thus holds one block's automaton, of bounded size.
 
@@ -27,15 +27,15 @@ from pyspark.sql import types as T
 from ledgerlens.llm import messages
 from ledgerlens.llm.arrow import as_bytes, row_type, slices, to_table
 from ledgerlens.llm.blocks import block_of, count_blocks
+from ledgerlens.llm.routing import FAN, MESSAGE, Kind, Tree, answers_to, gather
 
 ORDER = 2
 PRIOR_MASS = 100.0
 # Pseudo-count of the base score.
 BASE_ADD = 0.1
 
-_MESSAGE = row_type(
-    __part="int", __block="int", __order="int", __n="int", __keys="binary", __counts="binary")
-_ANSWER = row_type(__block="int", __part="int", __order="int", __n="int", __totals="binary")
+# What is asked of each n-gram: the sum of its counts in all blocks.
+COUNTS = Kind()
 _NUMBERS = row_type(n_tokens="long", n_known="long", base_score="double", score="double")
 # A block and its automaton take some forty times this many bytes.
 BLOCK_CHARS = 5_000_000
@@ -146,51 +146,20 @@ class Grams:
         return np.bincount(own[own >= 0], minlength=len(self.key[k]))
 
 
-def ask(grams: Grams, learn: np.ndarray, block: int, parts: int) -> pa.Table:
-    rows = []
+def ask(grams: Grams, learn: np.ndarray, block: int, tree: Tree) -> pa.Table:
+    rows: list[tuple] = []
     for k, keys in enumerate(grams.key):
         order = np.argsort(keys, kind="stable")
-        own, counts = keys[order], grams.counts(k, learn)[order]
-        edges = messages.part_edges(own, parts)
-        for p in np.flatnonzero(np.diff(edges)):
-            a, z = edges[p], edges[p + 1]
-            rows.append((int(p), block, k, int(z - a), messages.pack_sorted(own[a:z]),
-                         messages.pack_numbers(counts[a:z], np.uint64)))
-    return to_table(rows, _MESSAGE)
-
-
-def answer(asked: pa.Table) -> pa.Table:
-    """Total counts for every message of one part."""
-    out = []
-    rows = asked.to_pylist()
-    for k in sorted({r["__order"] for r in rows}):
-        own = [r for r in rows if r["__order"] == k]
-        keys = np.concatenate([messages.unpack_sorted(r["__keys"], r["__n"]) for r in own])
-        counts = np.concatenate(
-            [messages.unpack_numbers(r["__counts"], r["__n"], np.uint64) for r in own])
-        order = np.argsort(keys, kind="stable")
-        group = np.cumsum(np.diff(keys[order], prepend=keys[order[:1]]) != 0)
-        totals = np.empty(len(keys), np.uint64)
-        summed = np.zeros(int(group[-1]) + 1, np.uint64)
-        np.add.at(summed, group, counts[order])
-        totals[order] = summed[group]
-        at = 0
-        for r in own:
-            out.append((r["__block"], r["__part"], k, r["__n"],
-                        messages.pack_numbers(totals[at:at + r["__n"]], np.uint64)))
-            at += r["__n"]
-    return to_table(out, _ANSWER)
+        rows += tree.send(0, block, k, COUNTS, keys[order], grams.counts(k, learn)[order])
+    return to_table(rows, MESSAGE)
 
 
 def totals_of(grams: Grams, answers: list[dict]) -> list[np.ndarray]:
     """Per order the total count of each gram, from the block's answers."""
     out = []
     for k, keys in enumerate(grams.key):
-        own = sorted((a for a in answers if a["__order"] == k), key=lambda a: a["__part"])
-        parts = [messages.unpack_numbers(a["__totals"], a["__n"], np.uint64) for a in own]
         totals = np.empty(len(keys), np.float64)
-        if parts:
-            totals[np.argsort(keys, kind="stable")] = np.concatenate(parts)
+        totals[np.argsort(keys, kind="stable")] = gather(answers, k, np.uint64)
         out.append(totals)
     return out
 
@@ -288,6 +257,7 @@ def score(
     order: int = ORDER,
     mass: float = PRIOR_MASS,
     block_chars: int = BLOCK_CHARS,
+    fan: int = FAN,
 ) -> DataFrame:
     """Add a struct to the columns of `keep`: the model's and the base log10 probability of a text.
 
@@ -300,9 +270,11 @@ def score(
     """
     keep = [c for c in keep if c.lower() != into.lower()]
     blocks = count_blocks(docs, text_column, block_chars)
+    tree = Tree.over(blocks, fan)
     hashed = list(dict.fromkeys([*keep, text_column]))
     given = docs.select(
-        block_of(hashed, blocks).alias("__block"), F.coalesce(train, F.lit(False)).alias("__train"),
+        block_of(hashed, blocks).cast("long").alias("__block"),
+        F.coalesce(train, F.lit(False)).alias("__train"),
         F.col(f"`{text_column}`").alias("__text"),
         *[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)])
     corpus = corpus_statistics(given.select("__train", "__text"))
@@ -315,7 +287,7 @@ def score(
 
     def send(key, block):
         learn = np.array(block["__train"].to_pylist(), bool)
-        return ask(Grams(as_bytes(block["__text"]), order), learn, key[0].as_py(), blocks)
+        return ask(Grams(as_bytes(block["__text"]), order), learn, key[0].as_py(), tree)
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
         scored = score_block(as_bytes(block["__text"]), answers.to_pylist(), corpus, order, mass)
@@ -323,9 +295,9 @@ def score(
         return pa.table(
             [*[block[f"__k{i}"] for i in range(width)], *numbers.columns], names=names)
 
-    asked = placed.groupBy("__block").applyInArrow(send, _MESSAGE)
-    answers = asked.groupBy("__part").applyInArrow(answer, _ANSWER)
-    scored = placed.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(finish, schema)
+    asked = placed.groupBy("__block").applyInArrow(send, MESSAGE)
+    answers = answers_to(asked, tree, dict.fromkeys(range(order), COUNTS))
+    scored = placed.groupBy("__block").cogroup(answers.groupBy("__to")).applyInArrow(finish, schema)
     result = F.struct("n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"),
                       "base_score", "score")
     return scored.select(

@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm import messages
-from ledgerlens.llm.arrow import as_bytes, others, row_type, to_table
+from ledgerlens.llm.arrow import as_bytes, others, to_table
 from ledgerlens.llm.automaton import SuffixAutomaton
 from ledgerlens.llm.blocks import block_of, count_blocks
+from ledgerlens.llm.routing import ECHO, FAN, MESSAGE, Kind, Tree, answers_to, gather
 
 WINDOW_WORDS = 35
 ANCHOR_WORDS = 8
@@ -40,12 +41,9 @@ BLOCK_CHARS = 5_000_000
 SHARD_FRAGMENTS = 64
 
 ONCE, ALL, SHARD, COMMON = 0, 1, 2, 3
-# Kinds of messages: anchors, shard fragments, windows of common anchors, a block's own states.
-ANCHORS, FRAGMENTS, WINDOWS, STATES = 0, 1, 2, 3
+# Kinds of questions: about anchors, fragments of shards, and windows of common anchors.
+ANCHORS, FRAGMENTS, WINDOWS = 0, 1, 2
 
-_MESSAGE = row_type(__part="int", __block="int", __kind="int", __n="int", __keys="binary",
-                    __counts="binary", __body="binary")
-_ANSWER = row_type(__block="int", __kind="int", __part="int", __n="int", __body="binary")
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("n_removed", T.LongType()),
@@ -139,64 +137,89 @@ class Fragments:
         return many, send
 
 
-def _send(rows: list, kind: int, block: int, keys, counts, parts: int, bodies=None) -> None:
-    edges = messages.part_edges(keys, parts)
-    for p in np.flatnonzero(np.diff(edges)):
-        a, z = int(edges[p]), int(edges[p + 1])
-        body = None
-        if bodies is not None:
-            body = bodies(a, z)
-        rows.append((int(p), block, kind, z - a, messages.pack_sorted(keys[a:z]),
-                     messages.pack_numbers(counts[a:z], np.uint64), body))
+class Anchors(Kind):
+    """How often an anchor occurs, in how many distinct fragments: the state of its fragments."""
 
+    answer = np.uint8
 
-def ask_anchors(f: Fragments, block: int, parts: int) -> pa.Table:
-    rows: list = []
+    def __init__(self, shard_fragments: int) -> None:
+        self.shard_fragments = shard_fragments
+
+    def pack(self, digests: np.ndarray) -> bytes:
+        return messages.pack_numbers(digests, np.uint64)
+
+    def unpack(self, bodies):
+        return np.concatenate([messages.unpack_numbers(b, n, np.uint64) for b, n in bodies])
+
+    def resolve(self, keys, counts, digests):
+        """Each entry is an anchor with one digest; 0 marks a common anchor."""
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        distinct = np.diff(np.append(begin, len(keys)))
+        state = np.where(
+            (digests[begin] == 0) | (distinct > self.shard_fragments), COMMON,
+            np.where(np.add.reduceat(counts, begin) == 1, ONCE, np.where(distinct == 1, ALL, SHARD)))
+        return np.repeat(state, distinct)
+
+
+class Shards(Kind):
+    """The windows of a fragment that occur again in its anchor's shard, by an automaton."""
+
+    answer = np.uint64
+
+    def __init__(self, window: int) -> None:
+        self.window = window
+
+    def pack(self, texts: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=3).compress(b"\n".join(texts))
+
+    def unpack(self, bodies):
+        texts = [t for b, _ in bodies for t in zstandard.ZstdDecompressor().decompress(b).split(b"\n")]
+        return _objects(texts)
+
+    def rank(self, texts):
+        number = {t: n for n, t in enumerate(sorted(set(texts)))}
+        return np.fromiter(map(number.__getitem__, texts), np.int64, len(texts))
+
+    def resolve(self, keys, counts, texts):
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        bits: list[int] = []
+        for a, z in zip(begin, np.append(begin[1:], len(keys))):
+            found = repeated_windows(dict(zip(texts[a:z], counts[a:z].tolist())), self.window)
+            bits += [found[t] for t in texts[a:z]]
+        return np.array(bits, np.uint64)
+
+
+class Windows(Kind):
+    """Whether a window occurs more than once."""
+
+    answer = np.uint8
+
+    def resolve(self, keys, counts, extra):
+        return counts > 1
+
+
+def _objects(texts: Sequence[bytes]) -> np.ndarray:
+    out = np.empty(len(texts), object)
+    out[:] = texts
+    return out
+
+
+def kinds_of(window: int, shard_fragments: int) -> dict[int, Kind]:
+    return {ANCHORS: Anchors(shard_fragments), FRAGMENTS: Shards(window), WINDOWS: Windows()}
+
+
+def ask_anchors(f: Fragments, block: int, tree: Tree, kinds: dict[int, Kind]) -> pa.Table:
     many, send = f.common()
     digest = np.where(many, np.uint64(0), f.digest)[send]  # 0 marks a common anchor
-    _send(rows, ANCHORS, block, f.key[send], f.number[send], parts,
-          lambda a, z: messages.pack_numbers(digest[a:z], np.uint64))
-    return to_table(rows, _MESSAGE)
-
-
-def answer_anchors(asked: pa.Table, shard_fragments: int) -> pa.Table:
-    rows = asked.to_pylist()
-    unpack = lambda name, n, r: messages.unpack_numbers(r[name], n, np.uint64)
-    key = np.concatenate([messages.unpack_sorted(r["__keys"], r["__n"]) for r in rows])
-    number = np.concatenate([unpack("__counts", r["__n"], r) for r in rows])
-    digest = np.concatenate([unpack("__body", r["__n"], r) for r in rows])
-    order = np.lexsort((digest, key))
-    k, d = key[order], digest[order]
-    new = np.append(True, k[1:] != k[:-1])
-    group = np.cumsum(new) - 1
-    begin = np.flatnonzero(new)
-    total = np.add.reduceat(number[order], begin)
-    distinct = np.add.reduceat((np.append(True, (d[1:] != d[:-1])) | new).astype(np.int64), begin)
-    marked = d[begin] == 0
-    state = np.where(
-        marked | (distinct > shard_fragments), COMMON,
-        np.where(total == 1, ONCE, np.where(distinct == 1, ALL, SHARD)))
-    out = np.empty(len(key), np.uint8)
-    out[order] = state[group]
-    answers, at = [], 0
-    for r in rows:
-        answers.append((r["__block"], ANCHORS, r["__part"], r["__n"],
-                        messages.pack_numbers(out[at:at + r["__n"]], np.uint8)))
-        at += r["__n"]
-    return to_table(answers, _ANSWER)
-
-
-def _gather(answers: list[dict], kind: int, number: type) -> np.ndarray:
-    own = sorted((a for a in answers if a["__kind"] == kind), key=lambda a: a["__part"])
-    parts = [messages.unpack_numbers(a["__body"], a["__n"], number) for a in own]
-    return np.concatenate(parts) if parts else np.zeros(0, number)
+    return to_table(list(tree.send(
+        0, block, ANCHORS, kinds[ANCHORS], f.key[send], f.number[send], digest)), MESSAGE)
 
 
 def states_of(f: Fragments, answers: list[dict]) -> np.ndarray:
     """The state of each distinct fragment of a block."""
     many, send = f.common()
     state = np.full(len(f.key), COMMON, np.uint8)
-    state[send] = _gather(answers, ANCHORS, np.uint8)
+    state[send] = gather(answers, ANCHORS, np.uint8)
     state[many] = COMMON
     return state
 
@@ -209,19 +232,19 @@ def common_windows(f: Fragments, state: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, f.hash(at, at + f.window)
 
 
-def ask_repeats(f: Fragments, answers: list[dict], block: int, parts: int) -> pa.Table:
-    rows: list = []
+def ask_repeats(
+    f: Fragments, answers: list[dict], block: int, tree: Tree, kinds: dict[int, Kind]
+) -> pa.Table:
     state = states_of(f, answers)
     shard = np.flatnonzero(state == SHARD)
-    texts = [f.text(int(f.sample[e])) for e in shard]
-    _send(rows, FRAGMENTS, block, f.key[shard], f.number[shard], parts,
-          lambda a, z: zstandard.ZstdCompressor(level=3).compress(b"\n".join(texts[a:z])))
+    texts = _objects([f.text(int(f.sample[e])) for e in shard])
+    rows = list(tree.send(
+        0, block, FRAGMENTS, kinds[FRAGMENTS], f.key[shard], f.number[shard], texts))
     _, hashes = common_windows(f, state)
     distinct, number = np.unique(hashes, return_counts=True)
-    _send(rows, WINDOWS, block, distinct, number, parts)
-    rows.append((block % parts, block, STATES, len(state), None, None,
-                 messages.pack_numbers(state, np.uint8)))
-    return to_table(rows, _MESSAGE)
+    rows += tree.send(0, block, WINDOWS, kinds[WINDOWS], distinct, number)
+    rows.append(tree.keep(block, len(state), messages.pack_numbers(state, np.uint8)))
+    return to_table(rows, MESSAGE)
 
 
 def repeated_windows(shard: dict[bytes, int], window: int) -> dict[bytes, int]:
@@ -237,45 +260,9 @@ def repeated_windows(shard: dict[bytes, int], window: int) -> dict[bytes, int]:
         for text, words in split.items()}
 
 
-def answer_repeats(asked: pa.Table, window: int) -> pa.Table:
-    rows = asked.to_pylist()
-    out = [(r["__block"], STATES, r["__part"], r["__n"], r["__body"])
-           for r in rows if r["__kind"] == STATES]
-    shards: dict[int, dict[bytes, int]] = {}
-    asked_texts = []
-    for r in (r for r in rows if r["__kind"] == FRAGMENTS):
-        keys = messages.unpack_sorted(r["__keys"], r["__n"]).tolist()
-        texts = zstandard.ZstdDecompressor().decompress(r["__body"]).split(b"\n")
-        for k, t, n in zip(keys, texts, messages.unpack_numbers(r["__counts"], r["__n"], np.uint64)):
-            own = shards.setdefault(k, {})
-            own[t] = own.get(t, 0) + int(n)
-        asked_texts.append((r, keys, texts))
-    found = {k: repeated_windows(s, window) for k, s in shards.items()}
-    for r, keys, texts in asked_texts:
-        bits = np.array([found[k][t] for k, t in zip(keys, texts)], np.uint64)
-        out.append((r["__block"], FRAGMENTS, r["__part"], r["__n"],
-                    messages.pack_numbers(bits, np.uint64)))
-    own = [r for r in rows if r["__kind"] == WINDOWS]
-    if own:
-        keys = np.concatenate([messages.unpack_sorted(r["__keys"], r["__n"]) for r in own])
-        number = np.concatenate(
-            [messages.unpack_numbers(r["__counts"], r["__n"], np.uint64) for r in own])
-        order = np.argsort(keys, kind="stable")
-        begin = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
-        total = np.add.reduceat(number[order], begin)
-        again = np.empty(len(keys), np.uint8)
-        again[order] = np.repeat(total > 1, np.diff(np.append(begin, len(keys))))
-        at = 0
-        for r in own:
-            out.append((r["__block"], WINDOWS, r["__part"], r["__n"],
-                        messages.pack_numbers(again[at:at + r["__n"]], np.uint8)))
-            at += r["__n"]
-    return to_table(out, _ANSWER)
-
-
 def marked_words(f: Fragments, answers: list[dict]) -> np.ndarray:
     """A mark per word of the block that lies in a repeated window."""
-    state = _gather(answers, STATES, np.uint8)
+    state = gather(answers, ECHO, np.uint8)
     width = f.window
     change = np.zeros(int(f.lengths.sum()) + 1, np.int64)
 
@@ -287,14 +274,14 @@ def marked_words(f: Fragments, answers: list[dict]) -> np.ndarray:
         whole = np.flatnonzero(state[f.entry] == ALL)
         mark(f.first[whole], f.last[whole] + width)
         bits = np.zeros(len(f.key), np.uint64)
-        bits[state == SHARD] = _gather(answers, FRAGMENTS, np.uint64)
+        bits[state == SHARD] = gather(answers, FRAGMENTS, np.uint64)
         own = np.flatnonzero(bits[f.entry] > 0)
         for i in range(width):
             hit = own[(bits[f.entry[own]] >> np.uint64(i)) & np.uint64(1) == 1]
             mark(f.first[hit] + i, f.first[hit] + i + width)
         at, hashes = common_windows(f, state)
         if len(at):
-            again = _gather(answers, WINDOWS, np.uint8) > 0
+            again = gather(answers, WINDOWS, np.uint8) > 0
             at = at[again[np.searchsorted(np.unique(hashes), hashes)]]
             mark(at, at + width)
     return np.cumsum(change[:-1]) > 0
@@ -328,6 +315,7 @@ def remove_repeats(
     anchor: int = ANCHOR_WORDS,
     block_chars: int = BLOCK_CHARS,
     shard_fragments: int = SHARD_FRAGMENTS,
+    fan: int = FAN,
 ) -> DataFrame:
     """Add a struct: n_words, n_removed, the text without repeats, and the spans cut from it.
 
@@ -345,9 +333,10 @@ def remove_repeats(
         raise ValueError("a window holds at least one anchor and at most 64")
     columns = others(docs.columns if keep is None else keep, into)
     blocks = count_blocks(docs, text_column, block_chars)
+    tree, kinds = Tree.over(blocks, fan), kinds_of(window, shard_fragments)
     hashed = list(dict.fromkeys([*(["doc_id"] if "doc_id" in docs.columns else []), text_column]))
     given = docs.select(
-        block_of(hashed, blocks).alias("__block"), F.col(f"`{text_column}`").alias("__text"),
+        block_of(hashed, blocks).cast("long").alias("__block"), F.col(f"`{text_column}`").alias("__text"),
         *[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(columns)])
     placed = given.repartition(blocks, "__block")
     fields = placed.select([f"__k{i}" for i in range(len(columns))]).schema.fields
@@ -358,10 +347,10 @@ def remove_repeats(
         return Fragments(as_bytes(block["__text"]), window, anchor, shard_fragments)
 
     def first(key, block):
-        return ask_anchors(fragments(block), key[0].as_py(), blocks)
+        return ask_anchors(fragments(block), key[0].as_py(), tree, kinds)
 
     def second(key, block, answers):
-        return ask_repeats(fragments(block), answers.to_pylist(), key[0].as_py(), blocks)
+        return ask_repeats(fragments(block), answers.to_pylist(), key[0].as_py(), tree, kinds)
 
     def third(key, block, answers):
         from pyspark.sql.pandas.types import to_arrow_type
@@ -373,17 +362,10 @@ def remove_repeats(
         return pa.table(
             [*[block[n] for n in names[:-1]], pa.array(results, to_arrow_type(RESULT))], names=names)
 
-    def again(asked):
-        return answer_anchors(asked, shard_fragments)
-
-    def repeats(asked):
-        return answer_repeats(asked, window)
-
     by_block = placed.groupBy("__block")
-    anchors = by_block.applyInArrow(first, _MESSAGE).groupBy("__part").applyInArrow(
-        again, _ANSWER)
-    found = by_block.cogroup(anchors.groupBy("__block")).applyInArrow(second, _MESSAGE).groupBy(
-        "__part").applyInArrow(repeats, _ANSWER)
-    done = by_block.cogroup(found.groupBy("__block")).applyInArrow(third, schema)
+    anchors = answers_to(by_block.applyInArrow(first, MESSAGE), tree, kinds)
+    asked = by_block.cogroup(anchors.groupBy("__to")).applyInArrow(second, MESSAGE)
+    repeats = answers_to(asked, tree, kinds)
+    done = by_block.cogroup(repeats.groupBy("__to")).applyInArrow(third, schema)
     return done.select(
         *[F.col(f"__k{i}").alias(c) for i, c in enumerate(columns)], F.col("__r").alias(into))

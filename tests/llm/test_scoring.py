@@ -43,11 +43,11 @@ DOCS = [(True, "The cat sat on the mat"), (True, "the cat ate THE rat the end"),
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-@pytest.mark.parametrize("chars", [20, 10_000])
-def test_same_as_a_plain_model(spark, order, chars):
+@pytest.mark.parametrize("chars,fan", [(20, 2), (20, 256), (10_000, 256)])
+def test_same_as_a_plain_model(spark, order, chars, fan):
     rows = [(i, t, learn) for i, (learn, t) in enumerate(DOCS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
-    got = scoring.score(docs, F.col("learn"), order=order, mass=3.0, block_chars=chars).select(
+    got = scoring.score(docs, F.col("learn"), order=order, mass=3.0, block_chars=chars, fan=fan).select(
         "doc_id", "lm.*").orderBy("doc_id").collect()
     want = list(plain_model(DOCS, order, 3.0))
     assert len(got) == len(want)

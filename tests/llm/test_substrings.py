@@ -41,12 +41,13 @@ def corpus(seed):
     return ["".join(w + rng.choice(seps) for w in d) for d in docs] + [None, "", " \n ", "é " * 40]
 
 
-@pytest.mark.parametrize("seed,chars,limit", [(1, 10 ** 7, 64), (2, 3000, 64), (3, 5000, 2), (4, 10 ** 6, 1)])
-def test_same_as_brute_force(spark, seed, chars, limit):
+@pytest.mark.parametrize("seed,chars,limit,fan", [
+    (1, 10 ** 7, 64, 256), (2, 3000, 64, 256), (3, 5000, 2, 3), (4, 10 ** 6, 1, 256), (5, 9000, 64, 2)])
+def test_same_as_brute_force(spark, seed, chars, limit, fan):
     texts = corpus(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = substrings.remove_repeats(
-        df, block_chars=chars, shard_fragments=limit).orderBy("doc_id").collect()
+        df, block_chars=chars, shard_fragments=limit, fan=fan).orderBy("doc_id").collect()
     assert [r["doc_id"] for r in got] == list(range(len(texts)))
     for r, text, (n, removed, kept) in zip(got, texts, brute(texts, 35)):
         d = r["dedup"]
