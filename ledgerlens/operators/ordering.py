@@ -90,9 +90,10 @@ class Ranges:
         if ranges > 1:
             named = [Order(f"k{i}", o.descending, o.nulls_last) for i, o in enumerate(order)]
             sample = keys.sample(min(1.0, SAMPLES * ranges / rows), 7)
-            # The sample is small, so one task sorts it; as JSON the keys go back into plans as they are.
+            # The sample is small, so one task sorts it, behind an exchange: coalesced, that task would also
+            # read all rows. As JSON the keys go back into plans as they are.
             row = F.to_json(F.struct(*keys.columns), _FORMAT)
-            ordered = sample.coalesce(1).sortWithinPartitions(*sorts(named))
+            ordered = sample.repartition(1).sortWithinPartitions(*sorts(named))
             found = [r[0] for r in ordered.select(row).collect()]
             at = sorted({len(found) * i // ranges for i in range(1, ranges)})
             self.bounds = list(dict.fromkeys(found[i] for i in at if i < len(found)))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import ordering
@@ -158,3 +159,10 @@ def test_sort_columns_puts_nulls_last_both_ways(skewed):
         assert all(v is None for v in values[first_null:])
     order = ordering.sort_columns("unknown", "ASC", ["v"], "id", ["id"])
     assert df.orderBy(*ordering.sorts(order)).first()["id"] == 0
+
+
+def test_bounds_are_sampled_where_the_rows_lie(spark):
+    task = F.udf(lambda _: TaskContext.get().partitionId(), "int")
+    df = spark.range(0, 8000, numPartitions=8)
+    found = ordering.Ranges(df, [asc(task("id"))], 8000, 8).bounds
+    assert len(found) > 1
