@@ -121,17 +121,20 @@ def overlay(
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot_rows: int = HOT_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Left join to a table with one row per key, whatever the skew of the left keys.
 
     A key with more than hot_rows rows is cut into as many parts as it has hot_rows: its rows take
     one by a hash of their values, the same on a rerun, and its row on the right is repeated for each
     part. Rows without a key match nothing and are spread. The list of such keys holds no more than
-    rows / hot_rows of them, so it is broadcast.
+    rows / hot_rows of them, so it is broadcast. When left is costly, pass a cheaper frame with the
+    same keys as sized_by.
     """
     k, values = F.col(f"`{left_key}`"), _columns(right, [right_key])
-    sizes = left.filter(k.isNotNull()).groupBy(k.alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+    keyed = (left if sized_by is None else sized_by).filter(k.isNotNull())
+    sizes = keyed.groupBy(k.alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
     parts = F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int").alias("__parts")
     hot = F.broadcast(sizes.filter(F.col("__n") > hot_rows).select("__hot", parts))
 

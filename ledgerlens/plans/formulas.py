@@ -136,14 +136,23 @@ def classify_usage(
     ref_token: str = DEFAULT_REF_TOKEN,
     url_base: str = "",
     lang: str = "vi",
+    of_text: bool = True,
 ) -> DataFrame:
-    """The analysis table: one row per formula. Its card ids are in `card_lists`."""
+    """The analysis table: one row per formula. Its card ids are in `card_lists`.
+
+    Without of_text the columns made from the formula's text are left out and no text is read: the
+    step that digests texts once is one the optimizer keeps, also where nothing uses the digests.
+    """
+    made = [
+        complexity(F.col("expression"), ref_token).alias("complexity_score"),
+        *map(F.col, ("duplicate_hash", "normalized_hash", "structure_hash")),
+    ] if of_text else []
     # The text is read and digested before any join, so that only digests are shuffled.
-    described = with_fingerprints(formulas, "expression", ref_token).select(
+    read = with_fingerprints(formulas, "expression", ref_token) if of_text else formulas
+    described = read.select(
         "id", "owner_id",
         first_names(json_list(F.col("datasources"))).alias("dataset_names"),
-        complexity(F.col("expression"), ref_token).alias("complexity_score"),
-        "duplicate_hash", "normalized_hash", "structure_hash",
+        *made,
         F.coalesce("legacy_id", F.lit("")).alias("legacy_id"),
     )
     facts = usage_facts(described, cards_of, deps, cards)
@@ -151,7 +160,8 @@ def classify_usage(
         named = facts.withColumn("owner_name", F.lit(""))
     else:
         known = owners.select(F.col("id").alias("__owner"), F.col("name").alias("owner_name"))
-        named = lookup(facts, known, "owner_id", "__owner")
+        # The facts hold each formula once, so owners are counted in the formulas.
+        named = lookup(facts, known, "owner_id", "__owner", sized_by=formulas)
     group = usage_group(
         F.col("active_cards_count"), F.col("referenced_by_count"), F.col("total_views"), threshold
     )
@@ -161,7 +171,7 @@ def classify_usage(
         labelled(group, lang).alias("group_label"),
         "active_cards_count", "total_views", "referenced_by_count", "dataset_names",
         F.lit("").alias("naming_flag"),
-        "complexity_score", "duplicate_hash", "normalized_hash", "structure_hash",
+        *[c for c in described.columns if c == "complexity_score" or c.endswith("_hash")],
         F.concat(F.lit(url_base), F.col("bm_id").cast("string")).alias("url"),
         "legacy_id",
         F.coalesce("owner_name", F.lit("")).alias("owner_name"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.plans import formulas as fx
 from ledgerlens.plans import usage
+from ledgerlens.queries import QUERIES
 from ledgerlens.sources.files import read_json_lines
 from ledgerlens.sources.payloads import payload_schema
 from ledgerlens.sources.sinks import write_csv
@@ -185,3 +186,11 @@ def test_stats_and_low_usage(card_table):
     by_dataset = usage.low_usage_by_dataset(card_table).first()
     assert tuple(by_dataset)[:4] == ("s1", "S", 2, 1) and float(by_dataset["low_usage_pct"]) == 50.0
     assert usage.low_usage_cards(card_table, 10, card_type="KPI ").count() == 1
+
+
+def test_texts_are_digested_once_and_only_where_digests_are_asked_for(spark):
+    digests = lambda q: QUERIES[q](
+        spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("md5(")
+    assert digests("q_export_labels") == digests("q_fingerprints") == 3
+    for q in ("q_group_counts", "q_cleanup_ranking", "q_search", "q_with_card"):
+        assert digests(q) == 0, q
