@@ -25,6 +25,8 @@ from ledgerlens.operators.barrier import once
 
 # Rows of a range; a range is what one task sorts.
 RANGE_ROWS = 1_000_000
+# Bytes of a range, as estimated from the columns; wide rows make ranges of fewer rows.
+RANGE_BYTES = 200_000_000
 # Sampled keys per range: with so many a range is hardly ever twice as large as meant.
 SAMPLES = 40
 # A page is a plain top-n as long as all tasks together hold no more rows than this for it.
@@ -128,11 +130,17 @@ class Ranges:
         return F.from_json(F.lit(f"[{','.join(self.bounds)}]"), T.ArrayType(self.schema), _FORMAT)
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Rough size of a row: 8 bytes a column, and 20 more where it is no number, date or flag."""
+    fixed = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    return sum(8 if isinstance(f.dataType, fixed) else 28 for f in df.schema)
+
+
 def ranges_of(
     df: DataFrame, order: Sequence[Order], range_rows: int, sized_by: DataFrame | None = None,
 ) -> Ranges:
     rows = (df if sized_by is None else sized_by).count()
-    return Ranges(df, order, rows, -(-rows // range_rows))
+    return Ranges(df, order, rows, max(-(-rows // range_rows), -(-rows * row_bytes(df) // RANGE_BYTES)))
 
 
 def global_row_number(

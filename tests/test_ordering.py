@@ -166,3 +166,12 @@ def test_bounds_are_sampled_where_the_rows_lie(spark):
     df = spark.range(0, 8000, numPartitions=8)
     found = ordering.Ranges(df, [asc(task("id"))], 8000, 8).bounds
     assert len(found) > 1
+
+
+def test_wide_rows_make_more_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE_BYTES", 80_000)
+    narrow = spark.range(1000)
+    wide = narrow.select("id", *[F.lit("x").alias(f"c{i}") for i in range(20)])
+    bounds = lambda df: len(ordering.ranges_of(df, [asc("id")], 10**6).bounds)
+    assert bounds(narrow) == 0
+    assert bounds(wide) == 7
