@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, neardup, packing, quality, substrings
 from ledgerlens.llm.registry import table
+from ledgerlens.llm.sieve import with_maybe
 from ledgerlens.llm.tokens import word_tokenizer_path
-from ledgerlens.session import scratch_path
+from ledgerlens.session import pin, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,11 +22,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, the document with the least id stays; of equal rows, one."""
+    """Of near-duplicates, the document with the least id stays; of equal rows, one.
+
+    Rows that are their key's only one and stay are not exchanged; the others are looked up.
+    """
     groups = neardup.find_groups(docs, row_key="__key")
-    kept = groups.filter("kept").select("__key").distinct()
+    keys = pin(groups.groupBy("__key").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept")).filter("n > 1 OR NOT kept"))
     keyed = docs.withColumn("__key", neardup.row_key_of("doc_id", "text"))
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    keyed = with_maybe(keyed, "__key", keys.select("__key"), "__maybe")
+    known = keys.withColumnRenamed("__key", "__k")
+    looked_up = keyed.filter("__maybe").join(known, F.col("__key") == F.col("__k"), "left")
+    # Of a key with several rows, one stays; a row whose key is not listed was taken for another.
+    left = looked_up.filter("__k IS NULL OR kept").dropDuplicates(["__key"])
+    return keyed.filter("NOT __maybe").select(*docs.columns).union(left.select(*docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from ledgerlens.llm import messages
 from ledgerlens.llm.arrow import as_bytes, row_type, slices, to_table
 from ledgerlens.llm.components import components
+from ledgerlens.llm.sieve import with_maybe
 from ledgerlens.session import pin
 
 SHINGLE_WORDS = 5
@@ -130,10 +131,14 @@ def sketch(docs: DataFrame, id_column: str, text_column: str, size: int) -> Data
 def wanted_sets(
     docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, size: int
 ) -> DataFrame:
-    """(__node, __n, __regs, __set) of the wanted classes, from one row of each."""
+    """(__node, __n, __regs, __set) of the wanted classes, from one row of each.
+
+    Most texts belong to no wanted class; a bitmap of the wanted rows keeps them from the exchange.
+    """
     texts = docs.select(
         row_key_of(id_column, text_column).alias("__r"),
         F.col(f"`{text_column}`").alias("__text"))
+    texts = with_maybe(texts, "__r", wanted.select("__row"), "__maybe").filter("__maybe")
     joined = wanted.join(texts, F.col("__row") == F.col("__r")).select(
         "__node", "__n", "__regs", "__text")
     schema = row_type(__node="binary", __n="long", __regs="binary", __set="binary")
@@ -340,8 +345,8 @@ def find_groups(
         F.first("__regs").alias("__regs"))
     members = pin(band_members(classes, per_cent))
     nodes = members.select("node").distinct()
-    wanted = classes.join(nodes, F.col("__node") == F.col("node")).select(
-        "__node", "__row", "__n", "__regs")
+    wanted = pin(classes.join(nodes, F.col("__node") == F.col("node")).select(
+        "__node", "__row", "__n", "__regs"))
     sets = pin(wanted_sets(docs, wanted, id_column, text_column, shingle_words))
 
     stars = members.filter("node <> leader").select(
