@@ -87,12 +87,21 @@ def missing_expressions(formulas: DataFrame) -> DataFrame:
 
 # ---- Analysis ----
 
+def active_links(cards_of: DataFrame) -> DataFrame:
+    """(bm_id, card_id) once for each link that is active in any of its rows.
+
+    A link may have several rows. Only active ones are exchanged, whatever the number of the others.
+    """
+    return cards_of.filter("is_active").select("bm_id", "card_id").distinct()
+
+
 def usage_facts(formulas: DataFrame, cards_of: DataFrame, deps: DataFrame, cards: DataFrame) -> DataFrame:
     """Formulas with active card count, summed views and how many formulas refer to them."""
-    active = cards_of.filter("is_active").select("bm_id", "card_id")
-    views = cards.select(F.col("id").alias("card_id"), "view_count")
-    views = views.withColumnRenamed("card_id", "__card")
-    per_formula = lookup(active, views, "card_id", "__card").groupBy("bm_id").agg(
+    views = cards.select(F.col("id").alias("__card"), "view_count")
+    # The rows of repeated links count as well for the sizes, so these need no exchange of links.
+    viewed = lookup(
+        active_links(cards_of), views, "card_id", "__card", sized_by=cards_of.filter("is_active"))
+    per_formula = viewed.groupBy("bm_id").agg(
         F.count(F.lit(1)).alias("__cards"),
         F.sum(F.coalesce("view_count", F.lit(0))).alias("__views"),
     )
@@ -180,7 +189,7 @@ def classify_usage(
 
 def card_lists(cards_of: DataFrame) -> DataFrame:
     """(formula, active card) rows; a list of any length, as no group is gathered anywhere."""
-    return cards_of.filter("is_active").select("bm_id", bare_card_id(F.col("card_id")).alias("card_id"))
+    return active_links(cards_of).select("bm_id", bare_card_id(F.col("card_id")).alias("card_id"))
 
 
 def duplicate_keys(df: DataFrame, key: str, k: int = MAX_DUPLICATE_GROUPS) -> DataFrame:

@@ -194,3 +194,13 @@ def test_texts_are_digested_once_and_only_where_digests_are_asked_for(spark):
     assert digests("q_export_labels") == digests("q_fingerprints") == 3
     for q in ("q_group_counts", "q_cleanup_ranking", "q_search", "q_with_card"):
         assert digests(q) == 0, q
+
+
+def test_links_in_several_rows_count_once(spark, tables, cards):
+    several = tables["card_map"].unionByName(tables["card_map"]).unionByName(
+        spark.createDataFrame([(1, "c1", False), (4, "c1", False), (4, "c1", None)], "bm_id bigint, card_id string, is_active boolean"))
+    once = fx.classify_usage(tables["formulas"], tables["card_map"], tables["dependency_map"], cards)
+    assert rows(fx.classify_usage(tables["formulas"], several, tables["dependency_map"], cards)) == rows(once)
+    assert rows(fx.card_lists(several)) == [(1, "c1"), (2, "55")]
+    plan = QUERIES["q_group_listing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bool_or" not in plan and "l_quantity#" in plan  # lines are filtered before they are grouped
