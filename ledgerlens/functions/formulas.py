@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.casts import squeeze_space, strip_space
+from ledgerlens.functions.casts import SPACE, squeeze_space, strip_space
 from ledgerlens.operators.barrier import once
 
 # Placeholders of the structural form, and the digest length.
@@ -21,25 +22,43 @@ DIGEST_CHARS = 12
 DEFAULT_REF_TOKEN = "FORMULA_REF"
 
 
+def changed_if(
+    text: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]
+) -> Column:
+    """The changed text where the test holds, else the text itself; the text is made once."""
+    one = F.transform(F.array(text), lambda x: F.when(test(x), change(x)).otherwise(x))
+    return F.get(one, F.lit(0))
+
+
+def masked(text: Column, needs: str, pattern: str, mark: str) -> Column:
+    """Matches of the pattern replaced; texts without the part that every match needs are not searched."""
+    return changed_if(
+        text, lambda x: F.contains(x, F.lit(needs)), lambda x: F.regexp_replace(x, pattern, mark))
+
+
+def stripped(text: Column) -> Column:
+    """White space at the ends removed; only a text with some at an end is searched."""
+    ends = lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1)))
+    return changed_if(text, lambda x: F.rlike(ends(x), F.lit(rf"(?U)[{SPACE}]")), strip_space)
+
+
 def normalised(text: Column) -> Column:
     """Comments and backticks removed, lower case, white space squeezed."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", ""), r"--[^\n]*", "")
+    bare = masked(masked(text, "/*", r"(?s)/\*.*?\*/", ""), "--", r"--[^\n]*", "")
     return squeeze_space(F.replace(F.lower(bare), F.lit("`"), F.lit("")))
 
 
 def structural(out: Column, ref_token: str = DEFAULT_REF_TOKEN) -> Column:
-    """A normalised text with references, strings, quoted names and numbers masked."""
-    token = re.escape(ref_token.lower())
-    masks = [
-        (rf"(?U){token}\(\d+\)", REF_MARK),
-        (r"'[^']*'", STRING_MARK),
-        (r'"[^"]*"', NAME_MARK),
-        # The look-ahead lets the matcher skip everything that is no digit cheaply.
-        (r"(?U)(?=\d)\b\d+(\.\d+)?\b", NUMBER_MARK),
-    ]
-    for pattern, mark in masks:
-        out = F.regexp_replace(out, pattern, mark)
-    return squeeze_space(out)
+    """A normalised text with references, strings, quoted names and numbers masked.
+
+    Marks are not blank and take the place of something, so the white space stays squeezed.
+    """
+    token = ref_token.lower()
+    out = masked(out, f"{token}(", rf"(?U){re.escape(token)}\(\d+\)", REF_MARK)
+    out = masked(out, "'", r"'[^']*'", STRING_MARK)
+    out = masked(out, '"', r'"[^"]*"', NAME_MARK)
+    # The look-ahead lets the matcher skip everything that is no digit cheaply.
+    return F.regexp_replace(out, r"(?U)(?=\d)\b\d+(\.\d+)?\b", NUMBER_MARK)
 
 
 def digest(text: Column) -> Column:
@@ -55,7 +74,7 @@ def with_fingerprints(
     """
     text, normal = F.col("__text"), F.col("__normal")
     only = lambda c: F.when(text == "", "").otherwise(digest(c))
-    df = once(df, __text=strip_space(F.coalesce(expression, F.lit(""))))
+    df = once(df, __text=stripped(F.coalesce(expression, F.lit(""))))
     df = once(df, __normal=normalised(text))
     return once(
         df, duplicate_hash=only(text), normalized_hash=only(normal),

@@ -6,6 +6,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.casts import squeeze_space, strip_space
+from ledgerlens.functions.formulas import normalised, stripped, structural, with_fingerprints
 from ledgerlens.plans import formulas as fx
 from ledgerlens.plans import usage
 from ledgerlens.queries import QUERIES
@@ -204,3 +206,22 @@ def test_links_in_several_rows_count_once(spark, tables, cards):
     assert rows(fx.card_lists(several)) == [(1, "c1"), (2, "55")]
     plan = QUERIES["q_group_listing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "bool_or" not in plan and "l_quantity#" in plan  # lines are filtered before they are grouped
+
+
+def test_forms_of_texts_are_those_of_a_plain_search(spark):
+    parts = ["", " ", "\n\t", "a", "A  b", "/* x\n 'q' */", "/*", "-- rest", "-", "'s t'", "'", '"N 1"', '"', "`", "12.5", "x7", "٣",
+             "FORMULA_REF(12)", "formula_ref(", "\u3000", "\u00a0z", "𝒳 "]
+    texts = [a + b + c for a in parts for b in parts for c in parts]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    normal = squeeze_space(F.replace(F.lower(F.regexp_replace(F.regexp_replace(
+        "t", r"(?s)/\*.*?\*/", ""), r"--[^\n]*", "")), F.lit("`"), F.lit("")))
+    plain = normal
+    for pattern, mark in ((r"(?U)formula_ref\(\d+\)", "BM_REF"), (r"'[^']*'", "STR"), (r'"[^"]*"', "COL"),
+                          (r"(?U)(?=\d)\b\d+(\.\d+)?\b", "NUM")):
+        plain = F.regexp_replace(plain, pattern, mark)
+    got = df.select(
+        stripped(F.col("t")).eqNullSafe(strip_space(F.col("t"))).alias("a"), normalised(F.col("t")).eqNullSafe(normal).alias("b"),
+        structural(normalised(F.col("t"))).eqNullSafe(squeeze_space(plain)).alias("c"))
+    assert got.filter("NOT (a AND b AND c)").count() == 0
+    plan = with_fingerprints(df, "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{2,}") == 1 and plan.count("ontains(") >= 5  # squeezed once, searched where there is a mark
