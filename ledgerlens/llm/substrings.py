@@ -59,6 +59,21 @@ class _Numbers(dict):
         return n
 
 
+def first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each `width` neighbouring values, of equals the first.
+
+    By doubling: stretches are put together from two shorter ones that may overlap, so a few
+    arrays of the values' length are held, not one of `width` times as many entries.
+    """
+    at, size = np.arange(len(values)), 1
+    while size < width:
+        step = min(size, width - size)
+        left, right = at[:-step], at[step:]
+        at = np.where(values[left] <= values[right], left, right)
+        size += step
+    return at
+
+
 class Fragments:
     """The fragments of a block's texts.
 
@@ -88,8 +103,7 @@ class Fragments:
             grams = x[:len(x) - anchor + 1]
             for i in range(1, anchor):
                 grams = messages.chain(grams, x[i:len(x) - anchor + 1 + i])
-            view = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1)
-            at = windows + view[windows].argmin(axis=1)
+            at = first_least(grams, window - anchor + 1)[windows]
             new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(windows, prepend=-2) != 1))
             self.first, self.at = windows[new], at[new]
             self.last = windows[np.append(new[1:], len(windows)) - 1]

@@ -1,8 +1,10 @@
 """Substring dedup against windows counted in a dictionary."""
 
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from ledgerlens.llm import substrings
@@ -84,3 +86,24 @@ def test_automaton_counts_places():
         want = [max((n for n in range(i + 2) if n == 0 or counts[tuple(line[i + 1 - n:i + 1])] > 1))
                 for i in range(len(line))]
         assert automaton.repeated(line) == want
+
+
+def test_least_of_neighbours():
+    rng = np.random.default_rng(7)
+    for n, width in ((1, 1), (30, 28), (28, 28), (500, 1), (500, 7), (500, 28), (500, 64)):
+        for high in (2, 5, 2 ** 63):
+            values = rng.integers(0, high, n).astype(np.uint64)
+            view = np.lib.stride_tricks.sliding_window_view(values, width)
+            want = view.argmin(axis=1) + np.arange(n - width + 1)
+            assert (substrings.first_least(values, width) == want).all()
+
+
+def test_memory_of_a_block_is_a_few_arrays_of_its_words():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(500)).encode() for _ in range(400)]
+    tracemalloc.start()
+    found = substrings.Fragments(texts, 35, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The places of all windows' short sequences in one array would be 28 * 8 bytes a word.
+    assert len(found.first) and peak < 200 * found.lengths.sum()
