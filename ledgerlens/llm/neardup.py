@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm import messages
+from ledgerlens.llm import messages, tokens
 from ledgerlens.llm.arrow import as_bytes, row_type, slices, to_table
 from ledgerlens.llm.components import components
 from ledgerlens.llm.sieve import with_maybe
@@ -64,6 +64,7 @@ class _Keys(dict):
 
 
 def shingle_sets(texts: Sequence[bytes | None], size: int) -> Iterator[np.ndarray]:
+    tokens.forget()  # a worker may have tokenised before; the sets need its memory
     keys = _Keys()
     for text in texts:
         yield shingles((text or b"").lower().split(), keys, size)

@@ -28,6 +28,14 @@ def encoder(path: str, plain: bool = False) -> WordEncoder:
     return _ENCODERS[path, plain]
 
 
+def forget() -> None:
+    """Let go of this process' encoders: their words take up to some hundred MB for as long as it lives.
+
+    Spark's Python workers live on from one operator's tasks to those of the next.
+    """
+    _ENCODERS.clear()
+
+
 class WordEncoder:
     """Ids of texts, word by word with a cache.
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from ledgerlens.llm import neardup
+from ledgerlens.llm import neardup, tokens
 
 
 def brute(docs, size):
@@ -78,3 +78,9 @@ def test_registers_and_estimate():
     assert filled == 128 and abs(guess - true) < 0.15
     assert neardup.registers(a).min() > 0 and neardup.registers(a[:0]).max() == 0
     assert neardup.promising(0.8, 128, 80) and not neardup.promising(0.3, 128, 80)
+
+
+def test_sets_are_made_without_the_words_of_an_encoder():
+    tokens.encoder(tokens.word_tokenizer_path()).encode([b"some words"], 2)
+    assert len(list(neardup.shingle_sets([b"a b c", None], 2))) == 2
+    assert not tokens._ENCODERS
